@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorfisc.llm import simhash
+from motorfisc.llm import mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (simhash.op1_simhash_dedup,)}
+    return {f.__name__: f for f in (simhash.op1_simhash_dedup, mixing.op2_mix_sources, sharding.op5_shard_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
