@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorfisc.llm import mixing, packing, sharding, simhash, tokens
+from motorfisc.llm import language, mixing, packing, sharding, simhash, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (simhash.op1_simhash_dedup, mixing.op2_mix_sources, sharding.op5_shard_documents, tokens.op6_token_counts, packing.op9_pack_documents)}
+    return {f.__name__: f for f in (simhash.op1_simhash_dedup, mixing.op2_mix_sources, sharding.op5_shard_documents, tokens.op6_token_counts, language.op7_language_id, toxicity.op8_toxicity, packing.op9_pack_documents)}
 
 
 def oracle_sql() -> dict[str, str]:
