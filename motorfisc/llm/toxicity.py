@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from motorfisc.llm.common import crc_mod, table
 #: Features are hashed into 2 ** HASH_BITS places; the last one is the constant.
 HASH_BITS = 20
 #: Labelled documents that are learned from at most: those of the least hashes of doc_id.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 8_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.1, 3
 _WORDS = regex.compile(r"\p{L}+").findall
 _KEPT, _HELD = 400_000, 2_000_000
@@ -102,9 +103,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     named = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = named.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    got = texts.select("doc_id", "toxic", feature_sets("text").alias("f")).toPandas()
-    got = got.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in got["doc_id"]], kind="stable")]
-    return fit([np.asarray(f, dtype=np.int64) for f in got["f"]], [int(y > 0) for y in got["toxic"]])
+    got = texts.select("doc_id", "toxic", feature_sets("text").alias("f")).toArrow()
+    ids, toxic, lists = got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["f"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+    return fit([flat[ends[i] : ends[i + 1]] for i in order], [int(toxic[i] > 0) for i in order])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
