@@ -166,7 +166,9 @@ def fit(counts: pd.DataFrame, path: str = VOCABULARY) -> SegmentModel:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str = VOCABULARY) -> SegmentModel:
     """Fits on (text, lang, doc_id) rows with a lang: at most ``rows`` of them, words counted on the executors."""
-    chosen = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit("language"), "doc_id").alias("h")).orderBy("h", F.xxhash64("text")).limit(rows)
+    labelled = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.lit("language"), "doc_id"))
+    last = labelled.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]  # so that no text is sorted
+    chosen = labelled.where(F.col("_h") <= F.lit(last)).select("lang", "text").limit(rows)
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return fit(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toPandas(), path)
 
