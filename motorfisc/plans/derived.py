@@ -26,18 +26,57 @@ FROM (
   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
 )"""
 
-SQL = {"offers": _OFFERS}
+
+
+def pick(place: str, values: list[str | None]) -> str:
+    """The value at ``place`` (any whole number) modulo their number, as a CASE that both engines have."""
+    told = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return f"CASE CAST({place} AS BIGINT) % {len(values)} " + " ".join(f"WHEN {i} THEN {told(v)}" for i, v in enumerate(values)) + " END"
+
+
+RAW_BRANDS = ["BMW", "vw", "Škoda", "Mercedes", "MINI", "Mazda", "toyota", " ALFA  Romeo", "Audi", "Lynk&Co", "Citroen", "Trabant"]
+MODELS = ["320d", "120i", "A4", "A3", "Octavia", "CX-5", "Corolla", "Serija 3 (F30)", "X1", "Giulia"]
+BADGES = ["xDrive20d", "40TDI", "45TFSI", "2.0i", "2.2d", "G120", "TS Hybrid", "1.5 TSI", "1.4 D-CVVT", "SKYACTIV-D 150", "PHEV", "1.5 dCi 110"]
+TRIMS = ["S tr", "Avant", "Advantage", "Steptronic", "Sportback quattro", "Limuzina ručni", "Automatik", "cross", "Kombi 4x4", "Gran Coupé", "Touring_8stupnjevaprijenosa_5vrata_140kW"]
+FUELS = ["D", "B", "MH", "H", "E", "G", "BENZIN EURO 6", "dizel", "Diesel", None, "električni"]
+
+_CARS = f"""
+SELECT p_partkey AS id, {pick("p_partkey", RAW_BRANDS)} AS raw_brand, {pick("floor(p_partkey / 12)", MODELS)} AS model,
+       concat({pick("floor(p_partkey / 7)", BADGES)}, ' ', {pick("floor(p_partkey / 5)", TRIMS)}, CASE WHEN p_partkey % 3 = 0 THEN concat(' ', p_name) ELSE '' END) AS variant,
+       {pick("floor(p_partkey / 3)", FUELS)} AS fuel_raw, CAST(CAST(round(p_retailprice * 20, 2) AS DECIMAL(12,2)) AS DOUBLE) AS price_eur,
+       CAST(90 + (p_partkey * 7) % 150 AS DOUBLE) AS co2_g_km, CASE WHEN p_partkey % 17 <> 0 THEN CAST(60 + p_size * 4 AS DOUBLE) END AS power_kw,
+       CASE WHEN p_type IN ('PROMO', 'ECONOMY', 'LARGE') THEN 'diesel' ELSE 'petrol' END AS fuel_type,
+       ADD_DAYS(DATE '2013-01-01', day_no) AS valid_from, p_name, p_type, p_brand
+FROM (SELECT *, CAST((p_partkey * 97) % 4300 AS INT) AS day_no FROM {{part}}) p"""
+
+_NUMBERS = f"""
+SELECT p_partkey AS id, CASE CAST(p_partkey AS BIGINT) % 10 WHEN 0 THEN concat(a, '.', b, ',', c) WHEN 1 THEN concat(a, ',', b, '.', c) WHEN 2 THEN concat(a, '.', b) WHEN 3 THEN concat(a, ',', '0')
+         WHEN 4 THEN concat(a, ',', b, ' ') WHEN 5 THEN 'n/a' WHEN 6 THEN concat(a, '.', b, '.', b) WHEN 7 THEN concat('  ', a, '.', c, ' ') WHEN 8 THEN '' ELSE concat(a, '*') END AS text,
+       CASE CAST(p_partkey AS BIGINT) % 5 WHEN 0 THEN concat(a, '+', c) WHEN 1 THEN concat(a, '*') WHEN 2 THEN concat(a, ',5') WHEN 3 THEN concat('1.6 (', a, ' kW)') ELSE a END AS power,
+       concat(a, '.', b, ' km') AS mileage, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size AS DOUBLE) END AS low, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size + 7 AS DOUBLE) END AS high, p_retailprice, p_size
+FROM (SELECT *, CAST(p_size + 10 AS STRING_TYPE) AS a, lpad(CAST(p_partkey * 7 % 1000 AS STRING_TYPE), 3, '0') AS b, lpad(CAST(p_partkey % 100 AS STRING_TYPE), 2, '0') AS c FROM {{part}}) p"""
+
+_DATES = """
+SELECT p_partkey AS id, CASE CAST(p_partkey AS BIGINT) % 12 WHEN 0 THEN concat(d, '.', m, '.', y) WHEN 1 THEN concat(d, '. ', m, '. ', y, '.') WHEN 2 THEN concat(y, '-', m, '-', d, 'T00:00:00.000Z') WHEN 3 THEN concat(d, '/', m, '/', y)
+         WHEN 4 THEN concat(m, '.', y) WHEN 5 THEN concat(m, '/', y) WHEN 6 THEN concat(y, '-', m) WHEN 7 THEN y WHEN 8 THEN 'soon' WHEN 9 THEN concat(d, '.', m, '.', substr(y, 3, 2)) WHEN 10 THEN concat('32.', m, '.', y) ELSE '' END AS text,
+       CASE CAST(p_partkey AS BIGINT) % 12 WHEN 0 THEN concat('BMW,MINI ', d, '.', m, '.', y, '..xlsx') WHEN 1 THEN concat('VOLVO ', y, ' ', d, '.', m, '..xlsx') WHEN 2 THEN concat('Dacia ', y, m, d, '.xls') WHEN 3 THEN concat('BMW ', y, ' ', m, d, '.xlsx')
+         WHEN 4 THEN concat('toyota', y, '_', m, d, '.xlsx') WHEN 5 THEN concat('Dacia - ', y, ' ', m, '.xls') WHEN 6 THEN concat('Suzuki_', y, '-', m, '-', d, '.xls') WHEN 7 THEN concat('Mazda (', d, '_', m, '_', substr(y, 3, 2), ').xls') WHEN 8 THEN concat('Chevrolet ', d, m, y, '.xls')
+         WHEN 9 THEN concat('Opel_', d, '.', m, '..xls') WHEN 10 THEN concat('Renault ', y, ' ', d, m, '.xls') ELSE concat('Brand ', y, '1301.xlsx') END AS file_name, CASE WHEN p_partkey % 24 < 12 THEN CAST(y AS INT) END AS folder_year,
+       CASE CAST(p_partkey AS BIGINT) % 4 WHEN 0 THEN y WHEN 1 THEN concat(y, '-', m) WHEN 2 THEN concat(y, '/', m) END AS period
+FROM (SELECT p_partkey, CAST(2012 + (p_partkey * 3) % 19 AS STRING_TYPE) AS y, lpad(CAST(1 + (p_partkey * 5) % 13 AS STRING_TYPE), 2, '0') AS m, lpad(CAST(1 + (p_partkey * 11) % 31 AS STRING_TYPE), 2, '0') AS d FROM {part}) p"""
+
+SQL = {"offers": _OFFERS, "cars": _CARS, "number_texts": _NUMBERS, "date_texts": _DATES}
 
 
 def duck(text: str) -> str:
     """The text as DuckDB has it."""
     text = re.sub(r"ADD_MONTHS\((.*?), (\w+)\)", r"CAST(\1 + to_months(\2) AS DATE)", text)
     text = re.sub(r"ADD_DAYS\((.*), (\w+)\) AS", r"CAST(\1 + to_days(\2) AS DATE) AS", text)
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{(\w+)\}", r"\1", text).replace("STRING_TYPE", "VARCHAR")
 
 
 def _spark(text: str) -> str:
-    return text.replace("ADD_DAYS(", "date_add(").replace("ADD_MONTHS(", "add_months(")
+    return text.replace("ADD_DAYS(", "date_add(").replace("ADD_MONTHS(", "add_months(").replace("STRING_TYPE", "STRING")
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

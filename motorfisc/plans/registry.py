@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorfisc.plans import tax_queries
+from motorfisc.plans import function_queries, tax_queries
 
-_MODULES = [tax_queries]
+_MODULES = [tax_queries, function_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
+    return {k: f for m in _MODULES for k, f in (m.QUERIES.items() if isinstance(m.QUERIES, dict) else ((f.__name__, f) for f in m.QUERIES))}
 
 
 def oracle_sql() -> dict[str, str]:
