@@ -65,13 +65,29 @@ SELECT p_partkey AS id, CASE CAST(p_partkey AS BIGINT) % 12 WHEN 0 THEN concat(d
        CASE CAST(p_partkey AS BIGINT) % 4 WHEN 0 THEN y WHEN 1 THEN concat(y, '-', m) WHEN 2 THEN concat(y, '/', m) END AS period
 FROM (SELECT p_partkey, CAST(2012 + (p_partkey * 3) % 19 AS STRING_TYPE) AS y, lpad(CAST(1 + (p_partkey * 5) % 13 AS STRING_TYPE), 2, '0') AS m, lpad(CAST(1 + (p_partkey * 11) % 31 AS STRING_TYPE), 2, '0') AS d FROM {part}) p"""
 
-SQL = {"offers": _OFFERS, "cars": _CARS, "number_texts": _NUMBERS, "date_texts": _DATES}
+_ENGINES = f"""
+SELECT p_partkey AS engine_id, {pick("floor(p_partkey / 3)", ["BMW", "Volkswagen", "Mazda", "Toyota"])} AS brand, concat({pick("floor(p_partkey / 3)", ["BMW", "Volkswagen", "Mazda", "Toyota"])}, ' ', {pick("floor(p_partkey / 12)", ["F30", "E90", "Golf VII", "Golf VIII", "CX-5", "Corolla", "X1"])}) AS title,
+       {pick("p_partkey", ["320d", "320i", "318d xDrive", "2.0 TDI", "1.5 TSI", "G120", "D150 Skyactiv", None, "1.8 Hybrid"])} AS engine_code,
+       CASE CAST(p_partkey AS BIGINT) % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(2008 + p_size % 10 AS STRING_TYPE) WHEN 2 THEN 'ab 2010' ELSE concat(CAST(2008 + p_size % 10 AS STRING_TYPE), '-', lpad(CAST(1 + p_partkey % 12 AS STRING_TYPE), 2, '0')) END AS production_start,
+       CASE CAST(p_partkey AS BIGINT) % 5 WHEN 0 THEN NULL ELSE concat(CAST(2013 + p_size % 9 AS STRING_TYPE), '-', lpad(CAST(1 + p_partkey % 12 AS STRING_TYPE), 2, '0')) END AS production_end,
+       CAST(CASE WHEN p_partkey % 23 = 0 THEN 150 ELSE 1200 + 100 * (p_partkey % 20) END AS DOUBLE) AS displacement_cc, CASE WHEN p_partkey % 19 <> 0 THEN CAST(CASE WHEN p_partkey % 61 = 1 THEN 0 ELSE 70 + (p_partkey * 7) % 120 END AS DOUBLE) END AS power_kw,
+       {pick("floor(p_partkey / 2)", ["diesel", "petrol", None])} AS fuel_type, CASE WHEN p_partkey % 13 <> 0 THEN CAST(100 + (p_partkey * 3) % 90 AS DOUBLE) END AS co2_min, CASE WHEN p_partkey % 17 <> 0 THEN CAST(CASE WHEN p_partkey % 71 = 2 THEN 610 ELSE 104 + (p_partkey * 3) % 90 + p_size % 9 - CASE WHEN p_partkey % 8 = 0 THEN 60 ELSE 0 END END AS DOUBLE) END AS co2_max,
+       {pick("p_partkey", ["confirmed", "refiled", "confirmed", "confirmed", "unverified"])} AS brand_check, concat('https://example.org/wiki/', CAST(p_partkey % 100 AS STRING_TYPE)) AS source_url, md5(CAST(p_partkey % 1600 AS STRING_TYPE)) AS source_fingerprint, CAST(p_partkey % 2 AS INT) AS variant_index
+FROM {{part}}"""
+
+_VEHICLES = f"""
+SELECT s_suppkey AS vehicle_id, {pick("s_suppkey", ["BMW", "Volkswagen", "Mazda", "Toyota"])} AS brand, {pick("floor(s_suppkey / 4)", ["320d F30", "Golf VII 2.0 TDI", "CX-5 D150", "Corolla 1.8", "X1 318d xDrive", ""])} AS v_model,
+       {pick("s_suppkey", ["Diesel", "benzin", None, "hybrid", "TDI"])} AS v_fuel, CASE WHEN s_suppkey % 9 <> 0 THEN CAST(80 + (s_suppkey * 11) % 90 AS DOUBLE) END AS v_power, CASE WHEN s_suppkey % 3 = 0 THEN CAST(1968 AS DOUBLE) END AS v_cc,
+       CASE WHEN s_suppkey % 8 <> 0 THEN ADD_DAYS(DATE '2012-01-01', d) END AS registered
+FROM (SELECT *, CAST((s_suppkey * 61) % 3600 AS INT) AS d FROM {{supplier}}) s"""
+
+SQL = {"engines": _ENGINES, "vehicles": _VEHICLES, "offers": _OFFERS, "cars": _CARS, "number_texts": _NUMBERS, "date_texts": _DATES}
 
 
 def duck(text: str) -> str:
     """The text as DuckDB has it."""
     text = re.sub(r"ADD_MONTHS\((.*?), (\w+)\)", r"CAST(\1 + to_months(\2) AS DATE)", text)
-    text = re.sub(r"ADD_DAYS\((.*), (\w+)\) AS", r"CAST(\1 + to_days(\2) AS DATE) AS", text)
+    text = re.sub(r"ADD_DAYS\((.*), (\w+)\)( END)? AS", r"CAST(\1 + to_days(\2) AS DATE)\3 AS", text)
     return re.sub(r"\{(\w+)\}", r"\1", text).replace("STRING_TYPE", "VARCHAR")
 
 
