@@ -96,5 +96,7 @@ def _spark(text: str) -> str:
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = _spark(SQL[name])
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", text))})
+    parts = re.split(r"(\{\w+\})", _spark(SQL[name]))
+    # braces that name no table stand for themselves
+    text = "".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts))
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in {p[1:-1] for p in parts[1::2]}})
