@@ -47,6 +47,8 @@ def scan(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
     full = ((q[:, None, :] - c[near]) ** 2).sum(2)
     full[np.isinf(np.take_along_axis(partial, near, 1))] = np.inf
     bound = full.max(1) if near.shape[1] >= k else np.full(len(q), np.inf)
+    # the first step's products round in the last digits of the squared lengths, which counts where vectors repeat
+    bound = bound + 1e-11 * ((q**2).sum(1) + (c**2).sum(1).max(initial=0))
 
     def passes(squared: np.ndarray, at: np.ndarray) -> np.ndarray:
         return squared * (n / seen) <= (1 + EPSILON / np.sqrt(seen)) ** 2 * bound[at] * (1 + 1e-9)
@@ -58,7 +60,7 @@ def scan(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
         squared = squared + ((q[a, seen : seen + more] - c[b, seen : seen + more]) ** 2).sum(1)
         seen += more
         # with all dimensions seen the distance is no guess any more
-        keep = passes(squared, a) if seen < n else squared <= bound[a] * (1 + 1e-6) + 1e-12
+        keep = passes(squared, a) if seen < n else squared <= bound[a] * (1 + 1e-6)
         a, b, squared = a[keep], b[keep], squared[keep]
     distance = np.sqrt(((queries[a] - rows[b]) ** 2).sum(1))
     order = np.lexsort((row_ids[b], distance, a))
