@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorfisc.llm.common import settle, table
-from motorfisc.llm.vectors import best, nearest, queries_of, sample, search_blocks, usable
+from motorfisc.llm.vectors import BLOCK, best, nearest, queries_of, sample, search_blocks, usable
 
 K = 10
 SCALE = 1024
-#: Vectors that serve as the roots of the data's cover trees, and of the queries'; rows that give first scores.
+#: Vectors that serve as the roots of the data's cover trees, and of the queries' (one for each block of queries, at most
+#: so many); rows that give first scores.
 ROOTS, QUERY_ROOTS, SEEDS = 64, 8, 1024
-#: A node of so many points isn't split further; a split that needs more children isn't made.
-LEAF, CHILDREN = 96, 24
+#: A node of so many rows, or queries, isn't split further; a node has so many children at most.
+LEAF, QUERY_LEAF, CHILDREN = 96, 32, 24
 _EXACT = float(1 << 53)
 _LONG = 1 << 63
 
@@ -36,7 +37,7 @@ class Node:
         self.norm = float(np.sqrt((self.centre**2).sum()))
 
 
-def cover_tree(vectors: np.ndarray, points: np.ndarray | None = None) -> Node:
+def cover_tree(vectors: np.ndarray, leaf: int = LEAF, points: np.ndarray | None = None) -> Node:
     """Splits points among centres that are more than half the radius apart and cover all within half the radius.
 
     Centres are picked farthest first. Where halving takes more than CHILDREN centres, as in many dimensions, those that
@@ -47,7 +48,7 @@ def cover_tree(vectors: np.ndarray, points: np.ndarray | None = None) -> Node:
     centre = own[((own - own.mean(0)) ** 2).sum(1).argmin()]
     away = np.sqrt(((own - centre) ** 2).sum(1))
     node = Node(centre, float(away.max()), points)
-    if len(points) <= LEAF or node.radius == 0:
+    if len(points) <= leaf or node.radius == 0:
         return node
     owner = np.zeros(len(points), dtype=np.int64)
     n = 1
@@ -57,7 +58,7 @@ def cover_tree(vectors: np.ndarray, points: np.ndarray | None = None) -> Node:
         owner[closer], away = n, np.minimum(away, d)
         n += 1
     if n > 1:
-        node.children = [cover_tree(vectors, points[owner == i]) for i in range(n) if (owner == i).any()]
+        node.children = [cover_tree(vectors, leaf, points[owner == i]) for i in range(n) if (owner == i).any()]
     return node
 
 
@@ -97,16 +98,18 @@ class DualSearch:
     def base(self, qs: np.ndarray, rs: np.ndarray) -> None:
         scores = self.queries[qs] @ self.rows[rs].T
         scores[self.query_ids[qs][:, None] == self.row_ids[rs]] = -np.inf
-        open_ = scores.max(1) >= np.maximum(self.scores[qs, -1], self.floor[qs])
-        if not open_.any():
+        least = np.maximum(self.scores[qs, -1], self.floor[qs])
+        a, b = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        if not len(a):
             return
-        qs, scores = qs[open_], scores[open_]
-        scores = np.concatenate([self.scores[qs], scores], axis=1)
-        ids = np.concatenate([self.ids[qs], np.broadcast_to(self.row_ids[rs], (len(qs), len(rs)))], axis=1)
-        by_id = np.argsort(ids, axis=1, kind="stable")
-        scores, ids = np.take_along_axis(scores, by_id, 1), np.take_along_axis(ids, by_id, 1)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, : self.scores.shape[1]]
-        self.scores[qs], self.ids[qs] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+        touched, k = np.unique(a), self.scores.shape[1]
+        owner = np.concatenate([np.repeat(touched, k), a])
+        score = np.concatenate([self.scores[qs[touched]].ravel(), scores[a, b]])
+        ids = np.concatenate([self.ids[qs[touched]].ravel(), self.row_ids[rs[b]]])
+        order = np.lexsort((ids, -score, owner))
+        first = np.searchsorted(owner[order], touched)
+        kept = order[(first[:, None] + np.arange(k)).ravel()]
+        self.scores[qs[touched]], self.ids[qs[touched]] = score[kept].reshape(-1, k), ids[kept].reshape(-1, k)
 
 
 def _large(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -129,7 +132,7 @@ def _searcher(k: int):
         dual = DualSearch(q, ids, r, rows["vec_id"].to_numpy(), queries["floor"].to_numpy(), k)
         if not dual.exact:
             return _large(queries, rows, k)
-        dual.search(cover_tree(q), cover_tree(r))
+        dual.search(cover_tree(q, QUERY_LEAF), cover_tree(r))
         found = np.isfinite(dual.scores)
         return pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], found.shape)[found], "vec_id": dual.ids[found], "score": dual.scores[found].astype(np.int64)})
 
@@ -163,7 +166,7 @@ def search(vectors: DataFrame, k: int = K) -> DataFrame:
     rows = settle(usable(vectors, whole))
     asking = queries_of(rows)
     spark = vectors.sparkSession
-    points, query_points = sample(rows, SEEDS), sample(asking, QUERY_ROOTS)
+    points, query_points = sample(rows, SEEDS), sample(asking, min(QUERY_ROOTS, -(-asking.count() // BLOCK)))
     if not len(points) or not len(query_points):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     share = spark.sparkContext.broadcast
