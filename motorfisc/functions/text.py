@@ -180,3 +180,18 @@ def page_title(text: Column) -> Column:
 def eur(x: Column) -> Column:
     """An amount as 1.234,56 €."""
     return F.concat(F.translate(F.format_number(x, 2), ",.", ".,"), F.lit(" €"))
+
+
+def cleaned_query(text: Column, brand: Column, noise: list[str]) -> Column:
+    """A search text without the brand's words, noise words and repeats, in its order."""
+    own = F.array_distinct(tokens(corpus_text(text)))
+    return joined(F.filter(F.array_except(own, tokens(corpus_text(brand))), lambda t: ~t.isin(noise)))
+
+
+def folder_year(path: Column) -> Column:
+    """The year of the nearest folder of a path that is named for one."""
+    return F.try_element_at(F.regexp_extract_all(path, F.lit("/(20[12][0-9])(?=/)"), F.lit(1)), F.lit(-1)).cast("int")
+
+
+def clipped(text: Column, n: int) -> Column:
+    return F.nullif(F.left(F.trim(text), F.lit(n)), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorfisc.functions import text as txt
+from motorfisc.operators.brands import slug_prefix
 from motorfisc.operators.upsert import last_by
 
 c = F.col
@@ -123,3 +124,36 @@ def page_links(pages: DataFrame) -> DataFrame:
     full = F.when(c("x.href").rlike("^[a-z]+://"), c("x.href")).when(F.startswith(c("x.href"), F.lit("/")), F.concat(host, c("x.href"))).otherwise(F.concat(F.regexp_extract("_base", r"^([a-z]+://[^?#]*/)", 1), c("x.href")))
     out = each.select("page_id", "pos", F.trim(F.regexp_replace("x.text", "<[^>]*>", "")).alias("text"), c("x.href").alias("href"), full.alias("url"))
     return last_by(out, ["page_id", "url"], [c("pos")])
+
+
+# Words of a label, and the attribute of an engine that it stands for.
+VARIANT_WORDS = {"motor": "engine_code", "bauzeit": "period", "hubraum": "displacement", "leistung": "power", "kraftstoff": "fuel", "co2": "co2", "emission": "co2"}
+
+
+def variants(table_cells: DataFrame, orientations: DataFrame) -> DataFrame:
+    """(fingerprint, variant_index, engine_code, displacement_cc, power_kw, fuel_type, co2_min, co2_max) of each table.
+
+    By rule: labels stand across or down, each other row or column is a variant. Litres become cubic centimetres, a
+    range has two figures, a single figure is both. What isn't understood stays null; tables without labels give none.
+    """
+    word = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), a) for w, a in VARIANT_WORDS.items()])
+    own = table_cells.join(orientations.where("orientation <> 'no_header_cells'"), "fingerprint")
+    across = c("orientation") == "normal"
+    placed = own.withColumn("_label", F.when(across, c("row")).otherwise(c("col"))).withColumn("_axis", F.when(across, c("col")).otherwise(c("row")))
+    labels = placed.where("_label = 0").select("fingerprint", "_axis", word.alias("attribute")).where("attribute is not null")
+    values = placed.where("_label > 0").join(labels, ["fingerprint", "_axis"])
+    wide = values.groupBy("fingerprint", (c("_label") - 1).alias("variant_index")).pivot("attribute", sorted(set(VARIANT_WORDS.values()))).agg(F.first("text"))
+    figure = lambda x, n: F.replace(F.nullif(F.regexp_extract(x, r"([0-9]+(?:[.,][0-9]+)?)(?:[^0-9]+([0-9]+(?:[.,][0-9]+)?))?", n), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    size = figure(F.regexp_replace("displacement", r"(?<=[0-9])\.(?=[0-9]{3})", ""), 1)
+    return wide.select(
+        "fingerprint", "variant_index", "engine_code", F.when(size < 20, size * 1000).otherwise(size).alias("displacement_cc"), figure(c("power"), 1).alias("power_kw"), F.lower("fuel").alias("fuel_type"),
+        figure(c("co2"), 1).alias("co2_min"), F.coalesce(figure(c("co2"), 2), figure(c("co2"), 1)).alias("co2_max"),
+    )
+
+
+def brand_checks(found: DataFrame) -> DataFrame:
+    """(id, brand, title) -> also brand_check and filed_under: a title's own marque confirms or refiles the brand."""
+    slugs = found.withColumn("_slug", F.replace(txt.corpus_text(c("title")), F.lit(" "), F.lit("-"))).withColumnRenamed("brand", "crawl_brand")
+    named = slug_prefix(slugs, "_slug").drop("_slug", "consumed")
+    check = F.when(c("brand").isNull(), "unverified").when(c("brand") == c("crawl_brand"), "confirmed").otherwise("refiled")
+    return named.withColumn("brand_check", check).withColumn("filed_under", F.coalesce("brand", "crawl_brand")).drop("brand")

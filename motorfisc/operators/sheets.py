@@ -101,7 +101,8 @@ def canonical_rows(cells: DataFrame, mapping: DataFrame, files: DataFrame, polic
     ``files`` (file, default_valid_from) gives the day that a file's name tells. Section banners name the series of
     the rows below them.
     """
-    rows = wide_rows(cells, mapping).join(files, "file", "left")
+    described = family_descriptions(cells, headers(cells)).withColumnRenamed("power_kw", "_kw")
+    rows = wide_rows(cells, mapping).join(files, "file", "left").join(described, [*_SHEET, "row_idx"], "left")
     rows = rows.join(_typical_brand(rows), _SHEET, "left")
     c = F.col
     has = lambda f: F.array_contains("has", f)
@@ -111,6 +112,7 @@ def canonical_rows(cells: DataFrame, mapping: DataFrame, files: DataFrame, polic
     rows = rows.withColumn("banner", banner).withColumn("series", F.last(F.when(c("banner"), txt.series_text(F.trim("brand"), c("typical"))), ignorenulls=True).over(by_row))
     rows = rows.withColumn("below", F.min_by(below, F.when(below.isNotNull(), c("row_idx"))).over(Window.partitionBy(*_SHEET)))
     price, (power, boost) = num.sheet_number(c("price")), num.power(c("power_kw"))
+    power = F.coalesce(power, F.when(~has("full_name"), c("_kw")))
     valid = F.coalesce(num.sheet_date(c("valid_from")), c("default_valid_from"))
     rows = rows.withColumn("_price", price).withColumn("_valid", valid).withColumn("currency", cat.price_currency(c("price_header"), c("below"), c("_valid"), c("price_currency")))
     rows = rows.withColumn("_co2", num.co2_of(num.sheet_number(c("co2")), num.sheet_number(c("co2_min")), num.sheet_number(c("co2_max")), policy))
@@ -128,7 +130,7 @@ def canonical_rows(cells: DataFrame, mapping: DataFrame, files: DataFrame, polic
     fuel = cat.sheet_fuel(c("fuel"), boost, num.sheet_number(c("plug_in_range")))
     t = lambda f: F.nullif(F.trim(f), F.lit(""))
     return rows.withColumn("skip_reason", reason).select(
-        *_SHEET, (c("offset") + 2).cast("int").alias("source_row"), "skip_reason", F.when(has("brand"), F.trim("brand")).otherwise("").alias("brand"), "series", t("model_name").alias("model_name"), t("type_code").alias("type_code"), t("full_name").alias("full_name"),
+        *_SHEET, (c("offset") + 2).cast("int").alias("source_row"), "skip_reason", F.when(has("brand"), F.trim("brand")).otherwise("").alias("brand"), "series", t("model_name").alias("model_name"), t("type_code").alias("type_code"), F.coalesce(F.when(~has("full_name"), c("description")), t("full_name")).alias("full_name"),
         fuel.alias("fuel_category"), F.when(c("currency") == "HRK", num.eur_of_hrk(c("_price"))).otherwise(c("_price")).alias("price_eur"), "currency", c("_valid").alias("valid_from"), c("_co2").alias("co2_g_km"), power.alias("power_kw"), boost.alias("power_boost_kw"),
         num.truthy(c("camper")).alias("is_camper"), num.truthy(c("seats_7plus1")).alias("seats_7plus1"), num.truthy(c("seats_8plus1")).alias("seats_8plus1"), ((fuel == "unknown") | (c("confidence") < ROW_CONFIDENCE)).alias("needs_review"),
     )
@@ -144,3 +146,24 @@ def catalogue_rows(canonical: DataFrame, standard: Column) -> DataFrame:
     rows = rows.where("fuel_type is not null and co2_g_km is not null and brand <> ''").withColumn("match_key", txt.match_key(c("brand"), c("model"), c("variant")))
     last = F.row_number().over(Window.partitionBy("file", "match_key").orderBy(F.desc("sheet"), F.desc("source_row")))
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+
+
+# First words of the columns that together describe a row in sheets of one importer, and its code columns.
+FAMILY_MARK, FAMILY_WORDS, FAMILY_CODES = "katashiki", ["motor", "karoserija", "mjenjac", "mjenjač", "oprema", "boja"], ["katashiki", "sfx"]
+
+
+def family_descriptions(cells: DataFrame, header: DataFrame) -> DataFrame:
+    """(file, sheet, row_idx, description, power_kw) of rows that only several cells describe together.
+
+    Only sheets with a code column of that importer have such rows. The power is the one in the engine's cell.
+    """
+    plain = txt.header_cell(F.col("name"))
+    named = header.withColumn("_plain", plain).withColumn("_of_family", F.max(F.contains("_plain", F.lit(FAMILY_MARK)).cast("int")).over(Window.partitionBy(*_SHEET)) == 1)
+    code = F.exists(F.array(*[F.lit(x) for x in FAMILY_CODES]), lambda x: F.contains("_plain", x))
+    place = F.when(F.split_part("_plain", F.lit(" "), F.lit(1)).isin(FAMILY_WORDS), 0).when(code, 1)
+    columns = named.where("_of_family").withColumn("_place", place).where("_place is not null").select(*_SHEET, "header_row", "col_idx", "_place", F.startswith("_plain", F.lit("motor")).alias("_engine"))
+    rows = cells.join(columns, [*_SHEET, "col_idx"]).where((F.col("row_idx") > F.col("header_row")) & (F.trim("value") != ""))
+    parts = F.array_sort(F.collect_list(F.struct("_place", "col_idx", F.trim("value").alias("v"))))
+    kw = F.max(F.when(F.col("_engine"), num.kw_in_text(F.col("value"))))
+    out = rows.groupBy(*_SHEET, "row_idx").agg(parts.alias("parts"), F.replace(kw, F.lit(","), F.lit(".")).try_cast("double").alias("power_kw"))
+    return out.select(*_SHEET, "row_idx", F.array_join(F.transform("parts", lambda p: p["v"]), " ").alias("description"), "power_kw")

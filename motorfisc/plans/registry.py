@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motorfisc.plans import corpus_queries, function_queries, page_queries, sheet_queries, table_queries, tax_queries
+from motorfisc.plans import corpus_queries, function_queries, more_queries, page_queries, sheet_queries, table_queries, tax_queries
 
-_MODULES = [tax_queries, function_queries, table_queries, sheet_queries, corpus_queries, page_queries]
+_MODULES = [tax_queries, function_queries, table_queries, sheet_queries, corpus_queries, page_queries, more_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from motorfisc.operators import accounting, upsert
+from motorfisc.operators import accounting, tax, upsert
 
 #: How late an event may come; later ones are dropped.
 WATERMARK = "1 hour"
@@ -72,6 +72,22 @@ def upsert_sink(table_path: str, keys: list[str], keep: list[str], order: list):
     return put
 
 
+def outcome_sink(path: str):
+    """A foreachBatch function that appends a batch's runs and listings, each batch under its own number."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        runs, rows = upsert.split_outcomes(batch)
+        runs.write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{path}/listings/batch={number}")
+
+    return put
+
+
+def priced_stream(offers: DataFrame) -> DataFrame:
+    """Offers of a stream with their tax: the brackets are static and broadcast, so no state is kept."""
+    return tax.tax_breakdown(offers)
+
+
 def run_to_end(df: DataFrame, checkpoint: str, name: str | None = None, mode: str = "complete", sink=None) -> StreamingQuery:
     """Works off what there is, then ends; into a table in memory, or through ``sink`` batch by batch."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
