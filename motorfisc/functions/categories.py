@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from motorfisc.functions import dims
-from motorfisc.functions.text import mapping, normalized, tokens, words
+from motorfisc.functions.text import let, mapping, normalized, tokens, words
 
 
 def _one_of(first: Column, second: Column, a: str, b: str) -> Column:
-    return F.when(first & ~second, a).when(second & ~first, b)
+    return let(F.struct(first.alias("a"), second.alias("b")), lambda x: F.when(x["a"] & ~x["b"], a).when(x["b"] & ~x["a"], b))
 
 
 def _has(text: Column, values: list[str]) -> Column:
@@ -19,14 +19,17 @@ def _has(text: Column, values: list[str]) -> Column:
 
 def engine_word_fuel(text: Column) -> Column:
     """diesel or petrol by the names of engine families."""
-    n = normalized(text)
-    return _one_of(_has(n, dims.DIESEL_WORDS) | n.rlike(r"\bskyactiv d\d{0,3}\b"), _has(n, dims.PETROL_WORDS) | n.rlike(r"\bskyactiv [gx]\d{0,3}\b"), "diesel", "petrol")
+    return let(normalized(text), lambda n: _one_of(_has(n, dims.DIESEL_WORDS) | n.rlike(r"\bskyactiv d\d{0,3}\b"), _has(n, dims.PETROL_WORDS) | n.rlike(r"\bskyactiv [gx]\d{0,3}\b"), "diesel", "petrol"))
 
 
 def badge_fuel(text: Column, brand: Column) -> Column:
     """diesel or petrol by a badge: 320d, 2.0i, and for one brand G120 or CD175."""
-    n, raw = normalized(text), F.coalesce(text, F.lit(""))
+    raw = F.coalesce(text, F.lit(""))
     mazda = F.coalesce(F.lower(F.trim(brand)) == "mazda", F.lit(False))
+    return let(normalized(text), lambda n: _badge(n, raw, mazda))
+
+
+def _badge(n: Column, raw: Column, mazda: Column) -> Column:
     diesel = n.rlike(r"\b\d{2,3}d\b") | raw.rlike(r"(?i)\b\d\.\d\s*d\b(?!-)") | (mazda & n.rlike(r"\b(cd|d)\d{2,3}\b"))
     petrol = n.rlike(r"\b\d{2,3}i\b") | raw.rlike(r"(?i)\b\d\.\d\s*i\b(?!-)") | (mazda & n.rlike(r"\b[gx]\d{2,3}\b"))
     return _one_of(diesel, petrol, "diesel", "petrol")
@@ -51,8 +54,8 @@ def sheet_fuel(raw: Column, boost_kw: Column, range_km: Column) -> Column:
     t = F.trim(raw)
     letters, spelled = mapping(dims.FUEL_LETTERS), mapping(dims.FUEL_WORDS)
     read = lambda x: F.coalesce(F.try_element_at(letters, F.upper(x)), F.try_element_at(spelled, F.lower(x)))
-    base = F.coalesce(read(t), read(F.regexp_replace(t, r"(?i)\s+euro\s*[0-9].*$", "")))
-    return F.when(base.isNull(), "unknown").when((base == "petrol") & (range_km > 0), "petrol_plug_in_hybrid").when((base == "petrol") & (boost_kw > 0), "petrol_hybrid").otherwise(base)
+    told = F.coalesce(read(t), read(F.regexp_replace(t, r"(?i)\s+euro\s*[0-9].*$", "")))
+    return let(told, lambda base: F.when(base.isNull(), "unknown").when((base == "petrol") & (range_km > 0), "petrol_plug_in_hybrid").when((base == "petrol") & (boost_kw > 0), "petrol_hybrid").otherwise(base))
 
 
 def stored_fuel(category: Column) -> Column:
@@ -64,8 +67,7 @@ def corpus_fuel(raw: Column) -> Column:
 
 
 def gearbox(text: Column) -> Column:
-    n = normalized(text)
-    return _one_of(_has(n, dims.MANUAL_WORDS), _has(n, dims.AUTO_WORDS), "manual", "auto")
+    return let(normalized(text), lambda n: _one_of(_has(n, dims.MANUAL_WORDS), _has(n, dims.AUTO_WORDS), "manual", "auto"))
 
 
 def bodies(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ MARKED = "àáâãäåāăąçćčďđèéêëēěęìíîïīñńňòóôõöō
 PLAIN = "aaaaaaaaacccddeeeeeeeiiiiinnnooooooorrssstuuuuuuuyyzzz"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -89,8 +96,7 @@ def client_hash(forwarded: Column, salt: str) -> Column:
 
 def without_noise(key: Column, noise: list[str]) -> Column:
     """The key without noise words, or the key itself if nothing else is left."""
-    kept = joined(F.filter(tokens(key), lambda t: ~t.isin(noise)))
-    return F.when(kept != "", kept).otherwise(key)
+    return let(joined(F.filter(tokens(key), lambda t: ~t.isin(noise))), lambda kept: F.when(kept != "", kept).otherwise(key))
 
 
 def rewritten(key: Column, synonyms: dict[str, str]) -> Column:
@@ -101,7 +107,7 @@ def rewritten(key: Column, synonyms: dict[str, str]) -> Column:
 def query_key(brand: Column, key: Column) -> Column:
     """A listing's match key with the habits of its brand's price lists."""
     low = F.lower(F.trim(brand))
-    return F.when(low.isin("bmw", "mini"), without_noise(key, dims.BMW_NOISE)).when(low.isin("toyota", "lexus"), rewritten(key, dims.TOYOTA_SYNONYMS)).otherwise(key)
+    return let(key, lambda k: F.when(low.isin("bmw", "mini"), without_noise(k, dims.BMW_NOISE)).when(low.isin("toyota", "lexus"), rewritten(k, dims.TOYOTA_SYNONYMS)).otherwise(k))
 
 
 def leading_digits(text: Column) -> Column:
