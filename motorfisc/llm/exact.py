@@ -203,3 +203,13 @@ def search(vectors: DataFrame, k: int = K) -> DataFrame:
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest inner products of every hundredth embedding."""
     return search(table(spark, sf_dir, "embeddings"))
+
+
+#: The same over whole tables, for sizes at which a pair of a query and a row may be formed one by one.
+ORACLE = """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM u q JOIN u r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""

@@ -14,4 +14,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; the others are tested against brute force, the library or held-out rows."""
+    return {"op10_exact_topk": exact.ORACLE}
