@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motorfisc.functions import categories as cat
 from motorfisc.functions import numbers as num
 from motorfisc.functions import text as txt
+from motorfisc.session import settled
 
 #: Canonical fields that a mapping names a source column for.
 FIELDS = [
@@ -76,13 +77,14 @@ def _typical_brand(rows: DataFrame) -> DataFrame:
     return counts.groupBy(*_SHEET).agg(F.max_by("t", F.struct("n", -F.col("first"))).alias("typical"))
 
 
-def wide_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
+def wide_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """One row for each data row of a mapped sheet, with a column for each field; no code by sheet.
 
+    ``columns`` is what ``mapped_columns`` found.
+
     Cells are joined to the sheet's mapped columns and turned into a row by conditional aggregates, in one shuffle by
     row. ``texts`` counts the row's cells that aren't numbers, ``text_col`` is the column of one of them.
     """
-    columns = mapped_columns(headers(cells), mapping)
     by_column = columns.groupBy(*_SHEET, "header_row", "price_currency", "confidence", "col_idx").agg(F.collect_set("field").alias("in_fields"))
     heads = columns.groupBy(*_SHEET, "header_row", "price_currency", "confidence").agg(F.max(F.when(F.col("field") == "price", F.col("name"))).alias("price_header"), F.max(F.when(F.col("field") == "brand", F.col("col_idx"))).alias("brand_col"), F.collect_set("field").alias("has"))
     data = cells.join(heads, _SHEET).where("row_idx > header_row")
@@ -101,8 +103,10 @@ def canonical_rows(cells: DataFrame, mapping: DataFrame, files: DataFrame, polic
     ``files`` (file, default_valid_from) gives the day that a file's name tells. Section banners name the series of
     the rows below them.
     """
-    described = family_descriptions(cells, headers(cells)).withColumnRenamed("power_kw", "_kw")
-    rows = wide_rows(cells, mapping).join(files, "file", "left").join(described, [*_SHEET, "row_idx"], "left")
+    # a few rows for each sheet, which everything below hangs on
+    header = settled(headers(cells))
+    described = family_descriptions(cells, header).withColumnRenamed("power_kw", "_kw")
+    rows = wide_rows(cells, settled(mapped_columns(header, mapping))).join(files, "file", "left").join(described, [*_SHEET, "row_idx"], "left")
     rows = rows.join(_typical_brand(rows), _SHEET, "left")
     c = F.col
     has = lambda f: F.array_contains("has", f)
