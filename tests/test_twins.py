@@ -5,13 +5,16 @@ import pytest
 from compare import differences, duck
 from motorfisc.plans import registry
 
+#: Their twins take it that each sheet has more plain rows than banners, which the smallest tables are too small for.
+LARGER = ("flt3_", "job2_", "job3_")
 ORACLES = registry.oracle_sql()
 QUERIES = registry.queries()
 
 
 @pytest.fixture(scope="module")
-def con(sf_dir):
-    return duck(sf_dir)
+def tables(sf_dir):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    return {False: (sf_dir, duck(sf_dir)), True: (larger, duck(larger))}
 
 
 def test_twins_belong_to_queries():
@@ -19,7 +22,8 @@ def test_twins_belong_to_queries():
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_its_twin(spark, sf_dir, con, name):
+def test_query_equals_its_twin(spark, tables, name):
+    sf_dir, con = tables[name.startswith(LARGER)]
     assert differences(QUERIES[name](spark, sf_dir), con, ORACLES[name]) == []
 
 
