@@ -131,9 +131,11 @@ def mix(docs: DataFrame) -> DataFrame:
     within = Window.partitionBy("source", "_slice").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = own.withColumn("_end", F.sum("size").over(within)).join(offsets, _equal("source", "_o_source") & _equal("_slice", "_o_slice")).withColumn("_end", F.col("_end") + F.col("_first"))
     placed = placed.join(lists, _equal("source", "_s_source"))
-    start, width = "(_end - size)", f"greatest(1D, source_size / {BLOCKS}D)"
+    start = "(_end - size)"
+    # from the block of the first word to that of the last, with one more at either end against rounding
     first = f"greatest(1, CAST(floor({start} * {BLOCKS}D / greatest(source_size, 1)) AS INT) - 1)"
-    count = f"CAST(ceil(size / ({width})) AS INT) + 5"
+    last = f"least({BLOCKS}, CAST(ceil(_end * {BLOCKS}D / greatest(source_size, 1)) AS INT) + 1)"
+    count = f"greatest(0, {last} - {first} + 1)"
     overlaps = f"filter(transform(slice(p, {first}, {count}), b -> named_struct('shard', b.shard, 'pass', b.pass, 'first', greatest(b.lo, {start}) - {start}, 'words', least(b.hi, _end) - greatest(b.lo, {start}))), d -> d.words > 0)"
     placed = placed.withColumn("draws", F.expr(f"CASE WHEN size > 0 THEN flatten(transform(passes, p -> {overlaps})) ELSE slice(flatten(transform(passes, p -> {overlaps})), 1, 0) END"))
     return placed.withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")).select(*own.drop("_h", "_slice").columns, "source_size", "target", "taken", "draws")

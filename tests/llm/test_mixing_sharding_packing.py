@@ -53,6 +53,21 @@ def test_mix_meets_targets_and_limits(mixed_input):
         assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] for r in got if r.source == s)
 
 
+def test_sources_of_fewer_words_than_blocks_meet_their_targets(spark):
+    rows = [(1, "a", words(1)), (2, "b", words(3)), (3, "c", words(60)), (4, None, words(127))]
+    rows += [(10 + i, "d", words(1)) for i in range(3)] + [(20 + i, "e", words(20)) for i in range(3)] + [(30 + i, "f", words(1)) for i in range(127)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    taken, targets = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+        assert r.taken <= mixing.PASSES * r.size
+    assert {s: abs(taken[s] - t) <= 0.5 for s, t in targets.items()} == dict.fromkeys(targets, True)
+    assert sum(n == 2 * size for n, size in ((taken["a"], 1), (taken["b"], 3), (taken["c"], 60))) > 0
+    assert mixing.mixed_documents(docs).agg(F.sum(n_words(F.col("text")))).first()[0] == sum(taken.values())
+
+
 def test_mix_takes_no_word_twice_in_a_pass_and_reruns_agree(mixed_input):
     first, again = (sorted(mixing.mix(mixed_input).select("doc_id", "taken", F.to_json("draws")).collect(), key=str) for _ in range(2))
     assert first == again
