@@ -14,22 +14,79 @@ GROUP_BITS = 16
 SPLIT = 4
 
 
+def _runs(sizes: list[int], level: int) -> list[int]:
+    """First places of the fewest runs of at most ``level`` bytes; a larger group is a run of its own."""
+    starts, room = [0], level
+    for i, size in enumerate(sizes):
+        if size > room and i > starts[-1]:
+            starts.append(i)
+            room = level
+        room -= size
+    return starts
+
+
+def _smallest(sizes: list[int], shards: int, low: int, high: int) -> int:
+    """The smallest level with which there are at most ``shards`` runs; ``high`` is known to do."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if len(_runs(sizes, middle)) <= shards else (middle + 1, high)
+    return high
+
+
+def _even(sizes: list[int], shards: int, level: int) -> list[int]:
+    """First places of exactly ``shards`` runs of at most ``level`` bytes, each cut nearest to its share of the rest.
+
+    A run ends early only where the runs left can take what remains: ``bound[n]`` is the first place from which n do.
+    """
+    bound, held = [len(sizes)], 0
+    for i in range(len(sizes) - 1, -1, -1):
+        if held + sizes[i] > level:
+            bound.append(i + 1)
+            held = 0
+        held += sizes[i]
+    starts, left, rest, held = [0], shards, sum(sizes), 0
+    for i, size in enumerate(sizes):
+        if left > 1 and i > starts[-1]:
+            can = left - 1 >= len(bound) or i >= bound[left - 1]
+            if held + size > level or can and (len(sizes) - i < left or (2 * held + size) * left > 2 * rest):
+                starts.append(i)
+                left, rest, held = left - 1, rest - held, 0
+        held += size
+    return starts
+
+
+def _places(sizes: list[int], shards: int) -> list[int]:
+    """First places of the shards, as many as there are or as groups allow.
+
+    The level is the smallest one to which shards need be filled, those of a single larger (hot) group aside. Hot groups
+    part the others into stretches. A stretch gets the shards that it needs at that level, and those left over go where
+    a shard has most bytes; then each stretch is cut evenly.
+    """
+    if len(sizes) <= shards:
+        return list(range(len(sizes)))
+    level = _smallest(sizes, shards, 1, sum(sizes))
+    edges = sorted({0, len(sizes)} | {p for i, size in enumerate(sizes) if size > level for p in (i, i + 1)})
+    stretches = [[a, sizes[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
+    counts = [len(_runs(own, level)) for _, own in stretches]
+    for _ in range(shards - sum(counts)):
+        at = max((i for i, (_, own) in enumerate(stretches) if len(own) > counts[i]), key=lambda i: sum(stretches[i][1]) / counts[i])
+        counts[at] += 1
+    return [a + p for (a, own), n in zip(stretches, counts, strict=True) for p in (_even(own, n, level) if len(own) > 1 else [0])]
+
+
 def _cuts(groups: DataFrame, shards: int) -> DataFrame:
-    """(g, bytes) of ordered groups -> one row: capacity, and ``ends``, the last g of each shard.
+    """(g, bytes) of ordered groups -> one row: capacity, and ``ends``, the last g of each shard but the last.
 
-    Binary search for the smallest capacity with which a greedy walk over the ordered groups opens at most ``shards``
-    shards; then the walk with that capacity gives the cuts. The walk is one aggregate over the array of group sizes,
-    which has 2 ** GROUP_BITS entries at most, whatever the input.
+    The capacity is the smallest one with which a greedy walk over the ordered groups opens at most ``shards`` shards,
+    found by binary search; no shard has more. Under it the shards are cut evenly. The walks are over a list of group
+    sizes, which has 2 ** GROUP_BITS entries at most, whatever the input.
     """
-    one = groups.agg(F.array_sort(F.collect_list(F.struct("g", "bytes"))).alias("gs"), F.sum("bytes").alias("total"), F.max("bytes").alias("largest"))
-    fits = f"(aggregate(gs, named_struct('open', 1, 'room', cap), (s, x) -> CASE WHEN x.bytes <= s.room THEN named_struct('open', s.open, 'room', s.room - x.bytes) ELSE named_struct('open', s.open + 1, 'room', cap - x.bytes) END)).open <= {shards}"
-    least = f"greatest(largest, CAST(ceil(total / {shards}D) AS BIGINT))"
-    middle = "((s.lo + s.hi) DIV 2)"
-    step = f"CASE WHEN s.lo >= s.hi THEN s WHEN element_at(transform(array({middle}), cap -> {fits}), 1) THEN named_struct('lo', s.lo, 'hi', {middle}) ELSE named_struct('lo', {middle} + 1, 'hi', s.hi) END"
-    # the capacity is below total / shards + largest, so that the range halves to one value in fewer steps than this
-    one = one.withColumn("capacity", F.expr(f"aggregate(sequence(1, 62), named_struct('lo', {least}, 'hi', {least} + largest), (s, i) -> {step}, s -> s.hi)"))
-    walk = "aggregate(gs, named_struct('room', capacity, 'last', CAST(NULL AS INT), 'ends', CAST(array() AS ARRAY<INT>)), (s, x) -> CASE WHEN x.bytes <= s.room THEN named_struct('room', s.room - x.bytes, 'last', x.g, 'ends', s.ends) ELSE named_struct('room', capacity - x.bytes, 'last', x.g, 'ends', array_append(s.ends, s.last)) END, s -> s.ends)"
-    return one.select("capacity", F.expr(walk).alias("ends"))
+    rows = sorted(groups.select("g", "bytes").collect())
+    sizes = [r[1] for r in rows]
+    least = max([*sizes, -(-sum(sizes) // shards)])
+    capacity = _smallest(sizes, shards, least, least + max([0, *sizes]))
+    ends = [rows[i - 1][0] for i in _places(sizes, shards)[1:]]
+    return groups.sparkSession.range(1).select(F.lit(capacity).cast("long").alias("capacity"), F.array(*[F.lit(g) for g in ends]).cast("array<int>").alias("ends"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -37,7 +94,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Size is the text's UTF-8 bytes plus 1, a null text having no bytes (and a null text_crc32). Equal texts share a
     hash, hence a group, hence a shard. Groups stand in the order of their hash and are cut by ``_cuts``, so that the
-    largest shard is as small as it can be for that order. Slots count from 0 without gaps in each shard, in the order
+    largest shard is as small as it can be for that order and the others are as even as a hot text allows. Slots count from 0 without gaps in each shard, in the order
     of group and doc_id; which of two rows with the same doc_id and text comes first doesn't show. An empty table
     gives an empty one. Other columns of ``docs`` are neither read nor returned.
 

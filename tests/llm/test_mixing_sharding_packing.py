@@ -137,6 +137,39 @@ def test_capacity_is_the_smallest_feasible(spark):
         assert len(cut.ends) + 1 <= 4
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 1 / 3])
+def test_shards_beside_a_hot_text_are_even(share):
+    sizes = [int(x) for x in np.random.default_rng(6).integers(50, 150, 3000)]
+    for at in (0, 700, 1500, 2999):
+        own = list(sizes)
+        own[at] = int(share / (1 - share) * (sum(sizes) - sizes[at]))
+        starts = sharding._places(own, 16)
+        found = [sum(own[a:b]) for a, b in zip(starts, [*starts[1:], len(own)], strict=True)]
+        cold = sorted(found)[:-1]
+        assert len(found) == 16 and max(found) == own[at]
+        assert max(cold) < 1.3 * (sum(own) - own[at]) / 15 and min(cold) > 0.7 * (sum(own) - own[at]) / 15
+
+
+def test_places_keep_the_capacity_and_leave_no_shard_empty():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 17, 60):
+        for _ in range(40):
+            sizes = [int(x) for x in np.ceil(rng.pareto(1, n) * 10 + 1)]
+            starts = sharding._places(sizes, 6)
+            found = [sum(sizes[a:b]) for a, b in zip(starts, [*starts[1:], n], strict=True)]
+            assert len(found) == min(6, n) and min(found) > 0
+            capacity = next(x for x in range(max(sizes), sum(sizes) + 1) if len(sharding._runs(sizes, x)) <= 6)
+            assert max(found) <= capacity
+
+
+def test_a_hot_text_of_a_third_leaves_no_shard_empty(spark):
+    rows = [(i, words(30) + f" {i}") for i in range(1500)] + [(5000 + i, words(30) + " hot") for i in range(750)]
+    sizes = defaultdict(int)
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        sizes[r.shard] += r["size"]
+    assert set(sizes) == set(range(16)) and sorted(sizes.values())[-2] < 0.07 * sum(sizes.values())
+
+
 def test_sharding_an_empty_table(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
