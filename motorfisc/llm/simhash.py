@@ -83,6 +83,12 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     return pairs.select("u", "v")
 
 
+def _grouped(distinct: DataFrame) -> DataFrame:
+    """Distinct ``fp`` (and other columns) -> also ``component``, a fingerprint that names those that links reach."""
+    found = components(near_links(distinct))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, fp long, component_id), one row for each row.
 
@@ -95,9 +101,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the search however large they are; the links found are contracted in the components step.
     """
     marked = settle(docs.select("doc_id", fingerprint("text").alias("fp")))
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    found = components(near_links(distinct))
-    group = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    group = _grouped(settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))))
     least = group.groupBy("component").agg(F.min("least_id").alias("component_id"))
     return marked.join(group.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -109,10 +113,16 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each component: that of the smallest doc_id; columns as they came.
 
-    A component without any doc_id keeps one row.
+    Of several rows with that doc_id, or in a component without any, the one with the least hash of its columns (maps
+    aside) stays. The least row is aggregated by fingerprint before it is by component.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    row = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    marked = settle(docs.select("doc_id", row.alias("_row"), fingerprint("text").alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    group = _grouped(settle(marked.groupBy("fp").agg(first.alias("first"))))
+    kept = group.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first._row").alias("_kept_row"))
+    own = docs.withColumn("_row", row)
+    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row") == F.col("_kept_row")), "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
