@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motorfisc.functions import text as txt
 from motorfisc.operators.brands import slug_prefix
 from motorfisc.operators.upsert import last_by
+from motorfisc.session import settled
 
 c = F.col
 LEAST_LINKS, SNIPPET, SAMPLES = 5, 4000, 12
@@ -104,15 +105,52 @@ def for_anchor(found: DataFrame, asked: DataFrame) -> DataFrame:
     return pairs.withColumn("tier", tier).withColumn("best", best).where("tier = best").select("title", "anchor", "fingerprint", "tier")
 
 
-def resolved(titles: DataFrame, redirects: DataFrame, most: int = 8) -> DataFrame:
-    """(title, final, hops): titles followed through redirects, loop-safe, ``most`` hops at most."""
-    r = redirects.select(c("from_title").alias("_f"), c("to_title").alias("_t")).dropDuplicates(["_f"])
-    out = titles.select("title", c("title").alias("final"), F.lit(0).alias("hops"), F.array("title").alias("_seen"))
-    for _ in range(most):
-        step = out.join(r, c("final") == c("_f"), "left")
-        go = c("_t").isNotNull() & ~F.array_contains("_seen", c("_t"))
-        out = step.select("title", F.when(go, c("_t")).otherwise(c("final")).alias("final"), F.when(go, c("hops") + 1).otherwise(c("hops")).alias("hops"), F.when(go, F.array_append("_seen", c("_t"))).otherwise(c("_seen")).alias("_seen"))
-    return out.drop("_seen")
+def _followed(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_f, _t, hops) -> the same followed to the end, and the rows that no end is found for, as they lead into loops.
+
+    Pointers are doubled, so that rounds grow with the logarithm of the longest chain. A round in which no row comes to
+    its end proves that the others have none: a longer chain would have its own tail among the rows. The loop rows are
+    followed on for as many hops as there are such rows, hence point into loops.
+    """
+    done, rows, before = None, settled(hops), None
+    while True:
+        ahead = rows if done is None else rows.unionByName(done)
+        step = rows.join(ahead.select(c("_f").alias("_g"), c("_t").alias("_u"), c("hops").alias("_m")), c("_t") == c("_g"), "left")
+        step = settled(step.select("_f", F.coalesce("_u", "_t").alias("_t"), (c("hops") + F.coalesce("_m", F.lit(0))).alias("hops"), c("_u").isNotNull().alias("_open")))
+        ended = step.where(~c("_open")).drop("_open")
+        done, rows = ended if done is None else settled(done.unionByName(ended)), step.where("_open").drop("_open")
+        count = rows.count()
+        if count in (0, before):
+            break
+        before = count
+    for _ in range(count.bit_length()):
+        rows = settled(rows.alias("a").join(rows.alias("b"), c("a._t") == c("b._f")).select("a._f", "b._t", (c("a.hops") + c("b.hops")).alias("hops")))
+    return done, rows
+
+
+def _loops(r: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """Rows of loops, (_f, _t, hops) and their titles (_f) -> (_f, last, turn): the title before it, and hops to it."""
+    own = settled(r.join(cyclic, "_f", "left_semi"))
+    marked = own.select("_f", "_t", F.least("_f", "_t").alias("_least"))
+    for _ in range(own.count().bit_length()):
+        marked = settled(marked.alias("a").join(marked.alias("b"), c("a._t") == c("b._f")).select("a._f", "b._t", F.least("a._least", "b._least").alias("_least")))
+    turns = marked.groupBy("_least").agg((F.count(F.lit(1)) - 1).alias("turn"))
+    return marked.join(turns, "_least").select("_f", "turn").join(own.select(c("_f").alias("last"), c("_t").alias("_f")), "_f")
+
+
+def resolved(titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(title, final, hops): titles followed through redirects until there is none or the next title was seen before."""
+    r = settled(redirects.where("from_title is not null and to_title is not null and from_title <> to_title").groupBy(c("from_title").alias("_f")).agg(F.min("to_title").alias("_t")).withColumn("hops", F.lit(1).cast("long")))
+    found, stuck = _followed(r)
+    if not stuck.isEmpty():
+        cyclic = settled(stuck.select(c("_t").alias("_f")).distinct())
+        loops = _loops(r, cyclic)
+        tails = _followed(r.join(stuck, "_f", "left_semi").join(cyclic, "_f", "left_anti"))[0]
+        entered = tails.unionByName(cyclic.select("_f", c("_f").alias("_t"), F.lit(0).cast("long").alias("hops")))
+        ended = entered.alias("a").join(loops.alias("b"), c("a._t") == c("b._f")).select("a._f", c("b.last").alias("_t"), (c("a.hops") + c("b.turn")).alias("hops"))
+        found = found.unionByName(ended)
+    out = titles.select("title").join(found, c("title") == c("_f"), "left")
+    return out.select("title", F.coalesce("_t", "title").alias("final"), F.coalesce("hops", F.lit(0)).cast("int").alias("hops"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
