@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorfisc.llm.common import settle, table
-from motorfisc.llm.vectors import BLOCK, best, nearest, queries_of, sample, search_blocks, usable
+from motorfisc.llm.vectors import BLOCK, best, nearest, queries_of, sample, sample_with_ids, search_blocks, usable
 
 K = 10
 SCALE = 1024
@@ -149,6 +149,16 @@ def _root_udf(roots):
     return root_of
 
 
+def floors(queries: np.ndarray, query_ids: np.ndarray, seeds: np.ndarray, seed_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query over the seeds with another id, a little less; with fewer than k no floor."""
+    if len(seeds) < k:
+        return np.full(len(queries), -np.inf)
+    scores = queries @ seeds.T
+    scores[query_ids[:, None] == seed_ids] = -np.inf
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    return np.where(np.isfinite(least), least - 1e-9 * np.abs(least) - 1, -np.inf)
+
+
 def search(vectors: DataFrame, k: int = K) -> DataFrame:
     """(vec_id, embedding) -> each query's ``k`` highest scores: (query_id, rank, vec_id, score).
 
@@ -158,7 +168,8 @@ def search(vectors: DataFrame, k: int = K) -> DataFrame:
     are null, of an unusual length or hold null or non-finite components, take no part. Of repeated query ids one row
     asks; repeated candidates are listed as often as they occur. An empty table gives an empty result.
 
-    The roots of the trees are a bounded sample. A query's score floor is its k-th score over SEEDS rows. Pairs of a
+    The roots of the trees are a bounded sample. A query's score floor is its k-th score over SEEDS rows with
+    another id. Pairs of a
     query root and a row root whose covering radii can't reach the least floor below are dropped before any row is
     sent anywhere; the blocks of the others are searched by a pair of cover trees. Every row is under a root.
     """
@@ -166,25 +177,20 @@ def search(vectors: DataFrame, k: int = K) -> DataFrame:
     rows = settle(usable(vectors, whole))
     asking = queries_of(rows)
     spark = vectors.sparkSession
-    points, query_points = sample(rows, SEEDS), sample(asking, min(QUERY_ROOTS, -(-asking.count() // BLOCK)))
+    (point_ids, points), query_points = sample_with_ids(rows, SEEDS), sample(asking, min(QUERY_ROOTS, -(-asking.count() // BLOCK)))
     if not len(points) or not len(query_points):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     share = spark.sparkContext.broadcast
-    row_roots, query_roots, seeds = share(points[:ROOTS]), share(query_points), share(points)
+    row_roots, query_roots, seeds = share(points[:ROOTS]), share(query_points), share((point_ids, points))
 
     @F.pandas_udf("double")
-    def floor_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in batches:
-            if not len(v) or len(seeds.value) <= k + 1:
-                yield pd.Series(np.full(len(v), -np.inf))
-                continue
-            scores = np.stack(v.to_list()).astype(float) @ seeds.value.T
-            # its own row may be among the seeds: one more is left out
-            yield pd.Series(np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] * (1 - 1e-9 * np.sign(scores.max())) - 1)
+    def floor_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for own, v in batches:
+            yield pd.Series(floors(np.stack(v.to_list()).astype(float), own.to_numpy(), *reversed(seeds.value), k) if len(v) else np.zeros(0))
 
     spread = lambda df, udf: settle(df.withColumn("_r", udf("v")).select(*df.columns, "_r.root", "_r.away"))
     rows = spread(rows, _root_udf(row_roots))
-    asking = spread(asking.withColumn("floor", floor_of("v")), _root_udf(query_roots))
+    asking = spread(asking.withColumn("floor", floor_of("vec_id", "v")), _root_udf(query_roots))
     radius = dict(rows.groupBy("root").agg(F.max("away")).collect())  # a row for each root
     groups = {r: (away, floor) for r, away, floor in asking.groupBy("root").agg(F.max("away"), F.min("floor")).collect()}
     pairs = []

@@ -34,10 +34,15 @@ def queries_of(rows: DataFrame) -> DataFrame:
     return rows.where("vec_id % 100 = 0").groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def sample_with_ids(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of ``most`` rows at most, those of the least hashes of id: the same ones in every run."""
+    found = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(most).select("vec_id", "v").toPandas()
+    return found["vec_id"].to_numpy(), np.stack(found["v"].to_list()).astype(float) if len(found) else np.zeros((0, 0))
+
+
 def sample(rows: DataFrame, most: int) -> np.ndarray:
-    """``most`` vectors at most, those of the least hashes of id: the same ones in every run."""
-    found = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(most).select("v").toPandas()["v"]
-    return np.stack(found.to_list()).astype(float) if len(found) else np.zeros((0, 0))
+    """The vectors of ``sample_with_ids``."""
+    return sample_with_ids(rows, most)[1]
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,6 +37,15 @@ def test_exact_search_is_brute_force_with_ties(spark, points):
     assert got == want
 
 
+@pytest.mark.parametrize("copies", [3, 15])
+def test_exact_search_with_a_repeated_query_id(spark, copies):
+    rng = np.random.default_rng(8)
+    rows = [(100, [9.0] * 6)] * copies + [(101 + i, rng.standard_normal(6).round(3)) for i in range(20)]
+    got = [(r.vec_id, r.score) for r in sorted(exact.search(frame(spark, rows)).collect(), key=lambda r: r.rank)]
+    whole = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float))) for i, v in rows]
+    assert got == [(i, int(-s)) for i, s in brute(whole, lambda m, q: -(m @ q))[100]] and len(got) == 10
+
+
 def test_ann_recall_and_exact_scores(spark, points):
     want = brute([(i, v.astype(float)) for i, v in points], lambda m, q: np.sqrt(((m - q) ** 2).sum(1)))
     rows = ann.search(frame(spark, points)).collect()
