@@ -6,10 +6,13 @@ import html as _html
 import re
 from dataclasses import dataclass
 
-#: Elements that don't end a block, that have no content, and whose content isn't shown.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that don't end a block (those of formulas among them), that have no content, whose content isn't shown and
+#: goes on to the page's end if need be, and whose content isn't shown where they are closed. One of the last that is
+#: closed in itself or never closed hides nothing.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-UNSHOWN = "script|style|template|noscript|title|svg|iframe|object|math"
+UNSHOWN = "script|style"
+HIDDEN = ("template", "noscript", "title", "svg", "iframe", "annotation", "annotation-xml")
 #: An element that opens ends an open one of its kind, up to the element around both.
 AROUND = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 SIBLINGS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
@@ -19,6 +22,7 @@ DEPTH = 24
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<unshown>{UNSHOWN})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=unshown)\b[^>]*>|\Z)"
+    rf"|<(?P<hidden>{'|'.join(reversed(HIDDEN))})(?![^\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>(?:(?!<(?P=hidden)(?![^\s/>])).)*?</(?P=hidden)(?![^\s/>])[^>]*>"
     r"|<(?P<tag>/?[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<broken>/?[a-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -50,7 +54,7 @@ def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in its order, white space within each as one space, character references decoded.
 
     Elements left open, closed twice or cut off by the page's end are made the best of; comments, scripts, styles and
-    the like leave no block. A null or empty page has none.
+    the like leave no block. Formulas and what an object shows in its place are text like any other. A null or empty page has none.
     """
     out: list[Block] = []
     if not page:
@@ -99,7 +103,7 @@ def blocks(page: str | None) -> list[Block]:
         tag = tag.lstrip("/")
         if tag == "a":
             links = 0 if closing else 1
-        if tag in INLINE:
+        if tag in INLINE or tag in HIDDEN:
             continue
         if tag == "br":
             held.append("\n")
@@ -110,7 +114,8 @@ def blocks(page: str | None) -> list[Block]:
             if counts.get(tag):
                 pop(tag)
             continue
-        if tag in VOID:
+        attributes = found["attributes"] or ""
+        if tag in VOID or tag == "object" and attributes.endswith("/"):
             continue
         if counts.get("p"):
             pop("p")
@@ -121,7 +126,6 @@ def blocks(page: str | None) -> list[Block]:
                 if other in SIBLINGS.get(tag, (tag,)):
                     pop(other)
                     break
-        attributes = found["attributes"] or ""
         open_.append(tag)
         counts[tag] = counts.get(tag, 0) + 1
         paths.append((*paths[-1][1 - DEPTH :], describe(tag, attributes)))

@@ -32,6 +32,30 @@ def test_blocks():
     assert len(blocks("<div>" * 20_000 + "deep" + "</div>" * 20_000)) == 1
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>before</p><svg class="i"/><p>the article</p>', ["before", "the article"]),
+        ('<p>before</p><svg class="i"/><p>the article</p><svg><text>no</text></svg><p>end</p>', ["before", "the article", "end"]),
+        ('<p>before</p><svg class="i"><p>the article</p><svg><text>no</text></svg><p>end</p>', ["before", "the article", "end"]),
+        ('<object data="a"/><p>rest</p>', ["rest"]),
+        ('<object data="a"><p>in its place</p></object><p>rest</p>', ["in its place", "rest"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+        ("<math/><p>rest</p>", ["rest"]),
+        ("<iframe src='x'><p>rest</p>", ["rest"]),
+        ("<title>no</title><p>a</p><noscript>no</noscript><template><p>no</p></template>b", ["a", "b"]),
+        ("<p>a</p><script>x<p>no</p>", ["a"]),
+        ("<p>a</p><style>x<p>no</p>", ["a"]),
+    ],
+)
+def test_only_closed_or_code_elements_hide_text(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_unclosed_icons_take_linear_time():
+    assert [b.text for b in blocks("<svg>" * 20_000 + "<p>deep</p>")] == ["deep"]
+
+
 def test_extraction_of_the_given_pages(spark, sf_dir, model):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = extraction.extract(pages, model).collect()
