@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, PASSES = 1.5, 2
 #: Blocks of a source in each pass; output shards (a power of 2).
 BLOCKS, SHARDS = 128, 16
+#: Parts of a shard that rows are shuffled within.
+CHUNKS = 16
 SEED = 42
 #: Slices of a source's permuted order, for prefix sums in parallel: 2 ** SLICE_BITS.
 SLICE_BITS = 10
@@ -145,10 +147,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """What the mix takes, as documents: a row for each pass over a document, with the columns of ``docs``.
 
     A text that a pass takes whole stays as it is. Of the others the taken words are kept, joined by spaces. ``n_chars``,
-    where there is one, counts the characters of the new text.
+    where there is one, counts the characters of the new text. The rows are laid out by shard and shuffled within, as
+    ``laid_out`` does it; a document stays whole and stands in the shard of its first draw in the pass.
     """
     passes = F.expr("filter(transform(sequence(0, %d), i -> filter(draws, d -> d.pass = i)), x -> size(x) > 0)" % (PASSES - 1))
     taken = mix(docs).select(*docs.columns, F.col("size").alias("_size"), F.explode(passes).alias("_draws"))
+    taken = _dealt(taken, F.col("_draws")[0])
     words = F.split(F.regexp_replace("text", f"^{NO_WORD}", ""), NO_WORD)
     some = F.array_join(F.flatten(F.transform("_draws", lambda d: F.slice(words, (d["first"] + 1).cast("int"), d["words"].cast("int")))), " ")
     whole = F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]) == F.col("_size")
@@ -158,7 +162,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def laid_out(mixed: DataFrame, chunks: int = 16) -> DataFrame:
+def _dealt(rows: DataFrame, draw: Column) -> DataFrame:
+    """Rows dealt out by the shard of a draw and by chunk, and shuffled within, with ``_shard`` and ``_chunk`` added."""
+    order = F.xxhash64(F.lit(SEED), "doc_id", draw["pass"], draw["first"])
+    placed = rows.withColumn("_shard", draw["shard"]).withColumn("_chunk", F.pmod(order, F.lit(CHUNKS)))
+    return placed.repartition("_shard", "_chunk").sortWithinPartitions("_shard", "_chunk", order)
+
+
+def laid_out(mixed: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """The draws of ``mix`` one a row, dealt out by shard and chunk and shuffled within: ready to be written by shard."""
     draws = mixed.select("*", F.explode("draws").alias("d")).select(*[c for c in mixed.columns if c != "draws"], "d.*")
     order = F.xxhash64(F.lit(SEED), "doc_id", "pass", "first")
@@ -166,6 +177,6 @@ def laid_out(mixed: DataFrame, chunks: int = 16) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a mix of one and a half times all documents takes of each document."""
+    """What a mix of one and a half times all documents takes of each document, and the shards that it goes to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_sort(F.array_distinct("draws.shard")).alias("shards"))

@@ -99,6 +99,30 @@ def test_mixed_documents_keep_columns_and_words(mixed_input):
     assert out.agg(F.sum(n_words(F.col("text")))).first()[0] == mixing.mix(mixed_input).agg(F.sum("taken")).first()[0]
 
 
+def test_mixed_documents_stand_by_shard_and_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 2}", f"t{i} " + words(40)) for i in range(400)], "doc_id long, source string, text string")
+    shard_of = {}
+    for r in mixing.mix(docs).collect():
+        for d in reversed(r.draws):
+            shard_of[r.doc_id, d["pass"]] = d.shard
+    out = mixing.mixed_documents(docs).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in shard_of)
+    once = {i: shard_of[i, 0] for i, p in shard_of if (i, 1) not in shard_of and p == 0}
+    parts = defaultdict(list)
+    for r in out:
+        parts[r.part].append(r.doc_id)
+    for ids in parts.values():
+        shards = [once[i] for i in ids if i in once]
+        assert shards == sorted(shards)
+    assert any(ids != sorted(ids) for ids in parts.values()) and len(set(shard_of.values())) == mixing.SHARDS
+
+
+def test_mix_sources_tell_their_shards(spark, sf_dir):
+    rows = mixing.op2_mix_sources(spark, sf_dir).collect()
+    assert all(bool(r.shards) == (r.taken > 0) for r in rows)
+    assert {s for r in rows for s in r.shards} == set(range(mixing.SHARDS))
+
+
 def test_mix_lays_out_and_takes_empty_tables(mixed_input, spark):
     laid = mixing.laid_out(mixing.mix(mixed_input))
     assert laid.agg(F.sum("words")).first()[0] == mixing.mix(mixed_input).agg(F.sum("taken")).first()[0]
