@@ -31,9 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there, which cuts its lineage.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset (one machine) is a temporary one set.
+    The folder is the one in ``spark.checkpoint.dir``; where that is unset, one machine gets a temporary one, and a
+    cluster, whose executors would not share it, an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
