@@ -19,15 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there, which cuts its lineage.
 
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset (tests on one machine), a temporary folder
-    of this machine is set.
+    The folder is the one in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is set if all runs on
+    this machine (tests); on a cluster that raises, as executors would not share it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def bounded_sample(df: DataFrame, rows: int, seed: str, *key: str) -> DataFrame:
+    """``rows`` rows of ``df`` at most, one for each ``key``: those of the least hashes of it, the same in every run.
+
+    A threshold from the number of rows leaves little more than ``rows`` of them before anything is sorted, so that
+    what is moved doesn't grow with the table or its tasks. Of the rows of one key the least by all columns is taken.
+    """
+    n = df.count()
+    share = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / float(1 << 53)
+    marked = df.withColumn("_share", share)
+    if n > rows:
+        marked = marked.where(F.col("_share") < (rows + 8 * rows**0.5 + 32) / n)  # enough of them but for a chance of 1e-14
+    one = marked.groupBy("_share").agg(F.min(F.struct(*df.columns)).alias("_row"))
+    return one.orderBy("_share").limit(rows).select("_row.*")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

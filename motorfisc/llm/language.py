@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -14,16 +14,18 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorfisc.llm.common import crc_mod, table
+from motorfisc.llm.common import bounded_sample, crc_mod, table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-#: Longest piece of the vocabulary that is used, and longest run of letters scored as one word; longer ones are cut.
-PIECE, WORD_LETTERS = 8, 28
 #: Documents that the model is fitted on at most: those of the least hashes of doc_id among the labelled ones.
 TRAIN_ROWS = 3000
 ROUNDS = 3
-#: Least probability of a piece: keeps the products of a word within the range of doubles.
+#: Least probability of a piece.
 FLOOR = 1e-8
+#: After so many letters the sums of a word are scaled anew, which keeps them within the range of doubles.
+_RESCALE = 8
+#: Letters of the words whose lattices are held at once.
+_BATCH = 1 << 17
 UNDECIDED = "und"
 _LETTERS = regex.compile(r"\p{L}+").findall
 _MARK = "▁"
@@ -35,7 +37,7 @@ _HELD = 2_000_000
 def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the vocabulary's pieces of letters (word starts marked), sorted, and the piece that each stands for."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = sorted({p.lower() for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) and len(p) <= PIECE and p.strip(_MARK).isalpha() and p.rfind(_MARK) <= 0})
+    found = sorted({p.lower() for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) and p.strip(_MARK).isalpha() and p.rfind(_MARK) <= 0})
     hashes = np.array([_hash_of(p) for p in found], dtype=np.uint64)
     order = np.argsort(hashes)
     return hashes[order], order
@@ -48,10 +50,11 @@ def _hash_of(piece: str) -> int:
     return h
 
 
-def _cut(word: str) -> list[str]:
-    if len(word) <= WORD_LETTERS:
-        return [_MARK + word]
-    return [(_MARK if at == 0 else "") + word[at : at + WORD_LETTERS] for at in range(0, len(word), WORD_LETTERS)]
+@cache
+def _longest(path: str) -> int:
+    """Letters of the longest piece, its mark included."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return max((len(p) for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)).strip(_MARK).isalpha()), default=1)
 
 
 class _Lattice:
@@ -60,34 +63,49 @@ class _Lattice:
     def __init__(self, words: list[str], path: str) -> None:
         hashes, order = _pieces(path)
         self.length, self.none = len(words[0]), len(order)
+        self.longest = min(_longest(path), self.length)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), self.length).astype(np.uint64) + np.uint64(1)
         self.ids = []
         rolling = np.zeros((len(words), self.length), dtype=np.uint64)
-        for size in range(1, min(PIECE, self.length) + 1):
+        for size in range(1, self.longest + 1):
             rolling = rolling[:, : self.length - size + 1] * np.uint64(0x100000001B3) + codes[:, size - 1 :]
             at = np.minimum(np.searchsorted(hashes, rolling), len(hashes) - 1)
             ids = np.where(hashes[at] == rolling, order[at], self.none)
             # a single letter that is no piece is a piece of its own kind
             self.ids.append(np.where(ids == self.none, self.none + 1, ids) if size == 1 else ids)
+        self.some = [(ids != self.none).any(axis=0) for ids in self.ids]
+
+    def _sums(self, p: np.ndarray, pieces: Callable[[int], list[tuple[int, np.ndarray]]]) -> list[np.ndarray]:
+        """Log sums of 0, 1, ... letters; ``pieces`` lists those that make up the nth: letters before it, piece ids.
+
+        Sums are kept as multiples of a scale that is set anew every _RESCALE letters, to the sum reached, so that
+        words of any length stay within the range of doubles.
+        """
+        sums, scale = [np.ones((len(self.ids[0]), p.shape[1]))], 0.0
+        logs = [np.zeros_like(sums[0])]
+        for n in range(1, self.length + 1):
+            sums.append(sum(sums[-back] * p[ids] for back, ids in pieces(n)))
+            logs.append(np.log(sums[-1]) + scale)
+            if n % _RESCALE == 0:
+                scale = logs[-1]
+                sums = [s / sums[-1] for s in sums[-self.longest :]]
+        return logs
 
     def forward(self, probabilities: np.ndarray) -> list[np.ndarray]:
-        """probabilities (pieces + none + other letter, languages) -> of each prefix, summed over its segmentations."""
-        alpha = [np.ones((len(self.ids[0]), probabilities.shape[1]))]
-        for end in range(1, self.length + 1):
-            alpha.append(sum(alpha[end - n] * probabilities[self.ids[n - 1][:, end - n]] for n in range(1, min(PIECE, end) + 1)))
-        return alpha
+        """probabilities (pieces + none + other letter, languages) -> log of each prefix, summed over its segmentations."""
+        return self._sums(probabilities, lambda end: [(n, self.ids[n - 1][:, end - n]) for n in range(1, min(self.longest, end) + 1) if self.some[n - 1][end - n]])
 
     def backward(self, probabilities: np.ndarray) -> list[np.ndarray]:
-        beta = [np.ones((len(self.ids[0]), probabilities.shape[1]))] * (self.length + 1)
-        for start in range(self.length - 1, -1, -1):
-            beta[start] = sum(beta[start + n] * probabilities[self.ids[n - 1][:, start]] for n in range(1, min(PIECE, self.length - start) + 1))
-        return beta
+        """The same of each suffix, in the order of where it starts."""
+        first = lambda n: self.length - n
+        return self._sums(probabilities, lambda n: [(size, self.ids[size - 1][:, first(n)]) for size in range(1, min(self.longest, n) + 1) if self.some[size - 1][first(n)]])[::-1]
 
 
-def _by_length(words: list[str], most: int = 1 << 14) -> Iterator[np.ndarray]:
+def _by_length(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of the words, in batches of one length and of about _BATCH letters."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     for n in np.unique(lengths):
-        same = np.flatnonzero(lengths == n)
+        same, most = np.flatnonzero(lengths == n), max(1, _BATCH // int(n))
         for at in range(0, len(same), most):
             yield same[at : at + most]
 
@@ -104,12 +122,11 @@ class SegmentModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, over all its segmentations."""
-        cuts = [_cut(w) for w in words]
-        parts = [p for c in cuts for p in c]
-        of_part = np.zeros((len(parts), len(self.languages)))
-        for rows in _by_length(parts):
-            of_part[rows] = np.log(_Lattice([parts[i] for i in rows], self.path).forward(self.probabilities)[-1])
-        return np.add.reduceat(of_part, np.cumsum([0, *map(len, cuts)])[:-1]) if len(parts) else of_part
+        marked = [_MARK + w for w in words]
+        out = np.zeros((len(words), len(self.languages)))
+        for rows in _by_length(marked):
+            out[rows] = _Lattice([marked[i] for i in rows], self.path).forward(self.probabilities)[-1]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words = [_LETTERS(t.lower()) if t else [] for t in texts]
@@ -142,11 +159,7 @@ def fit(counts: pd.DataFrame, path: str = VOCABULARY) -> SegmentModel:
     out = np.zeros((size, len(languages)))
     for column, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
-        total: dict[str, int] = {}
-        for word, n in zip(own["word"], own["n"], strict=True):
-            for part in _cut(word):
-                total[part] = total.get(part, 0) + n
-        parts, weights = list(total), np.array(list(total.values()), dtype=float)
+        parts, weights = [_MARK + word for word in own["word"]], own["n"].to_numpy(dtype=float)
         lattices = [(weights[rows], _Lattice([parts[i] for i in rows], path)) for rows in _by_length(parts)]
         p = np.full((size, 1), 1.0 / size)
         for _ in range(ROUNDS + 1):
@@ -155,8 +168,8 @@ def fit(counts: pd.DataFrame, path: str = VOCABULARY) -> SegmentModel:
             for w, lattice in lattices:
                 alpha, beta = lattice.forward(p), lattice.backward(p)
                 for n, ids in enumerate(lattice.ids, 1):
-                    for start in range(ids.shape[1]):
-                        share = w * alpha[start][:, 0] * p[ids[:, start], 0] * beta[start + n][:, 0] / alpha[-1][:, 0]
+                    for start in np.flatnonzero(lattice.some[n - 1]):
+                        share = w * p[ids[:, start], 0] * np.exp(alpha[start][:, 0] + beta[start + n][:, 0] - alpha[-1][:, 0])
                         expected += np.bincount(ids[:, start], share, minlength=size)
             p = np.maximum((expected / expected.sum())[:, None], FLOOR)
         p[size - 2] = 0
@@ -165,10 +178,9 @@ def fit(counts: pd.DataFrame, path: str = VOCABULARY) -> SegmentModel:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str = VOCABULARY) -> SegmentModel:
-    """Fits on (text, lang, doc_id) rows with a lang: at most ``rows`` of them, words counted on the executors."""
-    labelled = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.lit("language"), "doc_id"))
-    last = labelled.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]  # so that no text is sorted
-    chosen = labelled.where(F.col("_h") <= F.lit(last)).select("lang", "text").limit(rows)
+    """Fits on (text, lang, doc_id) rows with a lang: ``rows`` of them at most, one for each doc_id, words counted on the executors."""
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    chosen = bounded_sample(labelled, rows, "language", "doc_id")
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return fit(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toPandas(), path)
 

@@ -1,6 +1,10 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -28,28 +32,36 @@ def test_token_counts_of_an_empty_table_and_clashing_columns(spark):
 
 
 def segmentations(word, p, single):
-    """Sum over all ways to cut a word into pieces, by trying each."""
-    if not word:
-        return 1.0
-    return sum(p.get(word[:n], single if n == 1 else 0.0) * segmentations(word[n:], p, single) for n in range(1, min(language.PIECE, len(word)) + 1))
+    """Sum over all ways to cut a word into pieces, by their last piece, in exact fractions of whole numbers."""
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        sums.append(sum((sums[start] * Fraction(p.get(word[start:end], single if end - start == 1 else 0.0)) for start in range(end)), Fraction(0)))
+    return sums[-1]
+
+
+def test_pieces_are_all_letter_pieces_of_the_vocabulary():
+    model = sentencepiece.SentencePieceProcessor(model_file=language.VOCABULARY)
+    known = {int(h) for h in language._pieces(language.VOCABULARY)[0]}
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    letters = {p.lower() for p in pieces if p.lstrip("▁").isalpha() and p.count("▁") == (p[0] == "▁")}
+    assert {language._hash_of(p) for p in letters} == known and max(map(len, letters)) > 12
 
 
 def test_forward_sums_all_segmentations():
-    counts = pd.DataFrame([("a", "the", 5), ("a", "thing", 2), ("b", "der", 4), ("b", "ding", 3)], columns=["lang", "word", "n"])
+    counts = pd.DataFrame([("a", "the", 5), ("a", "thing", 2), ("a", "international", 3), ("b", "der", 4), ("b", "ding", 3), ("b", "gesellschaft", 3)], columns=["lang", "word", "n"])
     model = language.fit(counts)
     hashes, order = language._pieces(model.path)
     known = {int(h): int(i) for h, i in zip(hashes, order, strict=True)}
-    for word in ("the", "thunder", "ß", "q" * 40):
+    words = ["the", "thunder", "ß", "internationalisation", "Gesellschaft".lower(), "q" * 40, "donaudampfschifffahrtsgesellschaftskapitän", "ab" * 300]
+    got = model.word_scores(words)
+    for row, word in enumerate(words):
+        part = "▁" + word
+        spans = {part[i:j] for i in range(len(part)) for j in range(i + 1, min(len(part), i + 20) + 1)}
         for column in range(2):
-            want = 1.0
-            for part in language._cut(word):
-                p = {part[i:j]: model.probabilities[known[language._hash_of(part[i:j])], column] for i in range(len(part)) for j in range(i + 1, len(part) + 1) if language._hash_of(part[i:j]) in known}
-                want *= segmentations(part, p, model.probabilities[-1, column]) if len(part) < 12 else 1.0
-            got = model.word_scores([word])[0, column]
-            if len(word) < 12:
-                assert got == pytest.approx(np.log(want))
-            else:
-                assert np.isfinite(got)
+            p = {x: model.probabilities[known[h], column] for x in spans if (h := language._hash_of(x)) in known}
+            want = segmentations(part, p, model.probabilities[-1, column])
+            assert got[row, column] == pytest.approx(math.log(want.numerator) - math.log(want.denominator))
+    assert (got[4, 1] > got[4, 0]) and (got[3, 0] > got[3, 1])
 
 
 def test_language_of_held_out_rows(spark, sf_dir):
