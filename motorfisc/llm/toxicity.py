@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from motorfisc.llm.common import crc_mod, table
+from motorfisc.llm.common import bounded_sample, crc_mod, table
 
 #: Features are hashed into 2 ** HASH_BITS places; the last one is the constant.
 HASH_BITS = 20
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     greatest holds. At most ``rows`` feature lists come to the driver.
     """
     named = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = named.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows)
+    chosen = bounded_sample(named, rows, "toxicity", "doc_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     got = texts.select("doc_id", "toxic", feature_sets("text").alias("f")).toArrow()
     ids, toxic, lists = got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["f"].combine_chunks()
