@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorfisc.llm.common import table
+from motorfisc.llm.common import bounded_sample, table
 from motorfisc.llm.markup import Block, blocks
 
 #: Pages that the labeller is fitted on at most, and the longest of them in characters.
@@ -245,8 +245,8 @@ class Labeller:
 
 def train(pages: DataFrame, rows: int = TRAIN_ROWS) -> Labeller:
     """Fits on at most ``rows`` pages with their weak labels, and on twice as many pages made of their texts."""
-    chosen = pages.where(F.length("html").between(1, TRAIN_CHARS)).select("html", F.xxhash64(F.lit("pages"), "html").alias("h")).orderBy("h").limit(rows)
-    got = sorted(r["html"] for r in chosen.select("html").collect())
+    chosen = bounded_sample(pages.where(F.length("html").between(1, TRAIN_CHARS)).select("html"), rows, "pages", "html")
+    got = sorted(r["html"] for r in chosen.collect())
     rng, places = np.random.default_rng(SEED), _Places()
     read = [blocks(page) for page in got]
     made = []
