@@ -20,6 +20,8 @@ SEED, SHINGLE, BITS = 42, 3, 64
 RADIUS = 3
 #: The fingerprint is a ring of so many segments of equal width.
 SEGMENTS = 4
+#: Fingerprints, each with some 70 keys, that a task of the search starts from.
+SPREAD = 1 << 14
 _WIDTH = BITS // SEGMENTS
 _CHUNK = 1 << 16
 
@@ -85,7 +87,9 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
 
 def _grouped(distinct: DataFrame) -> DataFrame:
     """Distinct ``fp`` (and other columns) -> also ``component``, a fingerprint that names those that links reach."""
-    found = components(near_links(distinct))
+    context = distinct.sparkSession.sparkContext
+    spread = distinct.select("fp").repartition(max(context.defaultParallelism, -(-distinct.count() // SPREAD)), "fp")
+    found = components(near_links(spread))
     return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
@@ -114,15 +118,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each component: that of the smallest doc_id; columns as they came.
 
     Of several rows with that doc_id, or in a component without any, the one with the least hash of its columns (maps
-    aside) stays. The least row is aggregated by fingerprint before it is by component.
+    aside) stays. The least row is aggregated by fingerprint before it is by component. Null and blank texts are one
+    component; an empty table gives an empty one.
+
+    Texts are read twice and not shuffled unless the list of the rows that go outgrows a broadcast: only hashes of
+    rows are compared. Of a row that stays and occurs more than once, its repeats are taken out in a step of their own.
     """
     row = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     marked = settle(docs.select("doc_id", row.alias("_row"), fingerprint("text").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     group = _grouped(settle(marked.groupBy("fp").agg(first.alias("first"))))
-    kept = group.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_id"), F.col("first._row").alias("_kept_row"))
+    kept = group.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"), F.lit(True).alias("_kept"))
+    rows = settle(marked.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).join(kept.distinct(), "_row", "left"))
+    gone, again = rows.where("_kept is null").select("_row"), rows.where("_kept and n > 1").select("_row")
     own = docs.withColumn("_row", row)
-    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row") == F.col("_kept_row")), "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    out = own.join(gone.unionByName(again), "_row", "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(own.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
