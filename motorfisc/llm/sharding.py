@@ -94,24 +94,25 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Size is the text's UTF-8 bytes plus 1, a null text having no bytes (and a null text_crc32). Equal texts share a
     hash, hence a group, hence a shard. Groups stand in the order of their hash and are cut by ``_cuts``, so that the
-    largest shard is as small as it can be for that order and the others are as even as a hot text allows. Slots count from 0 without gaps in each shard, in the order
-    of group and doc_id; which of two rows with the same doc_id and text comes first doesn't show. An empty table
-    gives an empty one. Other columns of ``docs`` are neither read nor returned.
+    largest shard is as small as it can be for that order and the others are as even as a hot text allows. Slots count
+    from 0 without gaps in each shard, in the order of group and doc_id; which of two rows with the same doc_id and text
+    comes first doesn't show. An empty table gives an empty one. Other columns of ``docs`` are neither read nor returned.
 
     Slots of one shard are not counted in one task: rows are counted by part of a group, the counts are summed up over
     the parts, and rows are numbered within a part. A group with very many rows (a hot text) is split into parts by a
-    hash of doc_id. Both tables that are broadcast have a row for each group or part: at most 2 ** GROUP_BITS groups,
+    hash of doc_id (by place, without one). Texts are read once. Both tables that are broadcast have a row for each group or part: at most 2 ** GROUP_BITS groups,
     and (1 + 1 / SPLIT) times as many parts.
     """
     raw = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.shiftright(F.xxhash64("text"), 64 - GROUP_BITS).cast("int").alias("g"))
+    spread = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.monotonically_increasing_id())
+    rows = settle(docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.shiftright(F.xxhash64("text"), 64 - GROUP_BITS).cast("int").alias("g"), spread.alias("spread")))
     groups = settle(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
     cuts = _cuts(groups, shards)
     mean = groups.agg(F.greatest(F.lit(1.0), F.avg("n")).alias("mean"))
     shard_of = F.size(F.filter("ends", lambda e: e < F.col("g")))
     placed = groups.join(F.broadcast(cuts.join(F.broadcast(mean))), F.lit(True)).select("g", shard_of.alias("shard"), F.ceil(F.col("n") / (SPLIT * F.col("mean"))).cast("int").alias("parts"))
     placed = settle(placed)
-    parted = rows.join(F.broadcast(placed), "g").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    parted = rows.join(F.broadcast(placed), "g").withColumn("part", F.pmod("spread", F.col("parts")).cast("int"))
     counts = parted.groupBy("shard", "g", "part").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("shard").orderBy("g", "part").rowsBetween(Window.unboundedPreceding, 0))
     firsts = settle(counts.select("g", "part", (upto - F.col("n")).alias("first")))
