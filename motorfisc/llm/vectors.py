@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorfisc.llm.common import bounded_sample
+
 #: Queries, and rows, of one block at most on average: what one call of a search function sees.
 BLOCK = 2048
+#: Entries of the largest table of points by centres that is held at once.
+_CELLS = 1 << 21
 FOUND = "query_id long, vec_id long, score {kind}"
 
 
@@ -35,8 +39,8 @@ def queries_of(rows: DataFrame) -> DataFrame:
 
 
 def sample_with_ids(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of ``most`` rows at most, those of the least hashes of id: the same ones in every run."""
-    found = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(most).select("vec_id", "v").toPandas()
+    """Ids and vectors of ``most`` rows at most, of different ids, by the hash of their ids: the same in every run."""
+    found = bounded_sample(rows.select("vec_id", "v"), most, "sample", "vec_id").toPandas()
     return found["vec_id"].to_numpy(), np.stack(found["v"].to_list()).astype(float) if len(found) else np.zeros((0, 0))
 
 
@@ -47,9 +51,14 @@ def sample(rows: DataFrame, most: int) -> np.ndarray:
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each point and the squared distance to it."""
-    squared = np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1), 0)
-    at = squared.argmin(1)
-    return at, squared[np.arange(len(points)), at]
+    at, squared, lengths = np.zeros(len(points), dtype=np.int64), np.zeros(len(points)), (centres**2).sum(1)
+    step = max(1, _CELLS // max(1, len(centres)))
+    for i in range(0, len(points), step):
+        part = points[i : i + step]
+        table = np.maximum((part**2).sum(1)[:, None] - 2 * part @ centres.T + lengths, 0)
+        at[i : i + step] = table.argmin(1)
+        squared[i : i + step] = table.min(1)
+    return at, squared
 
 
 def k_means(points: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
