@@ -11,33 +11,48 @@ from motorfisc.llm.common import NO_WORD, n_words, settle, table
 WEIGHTS = (5, 2, 1)
 #: Size of the mix in sizes of the input; most times that a source's words may occur in it.
 SHARE, PASSES = 1.5, 2
-#: Blocks of a source in each pass; output shards (a power of 2).
-BLOCKS, SHARDS = 128, 16
+#: Output shards (a power of 2).
+SHARDS = 16
+#: Words of a block. A source is cut into LEAST_BLOCKS at least; of very large ones blocks are longer, so that their
+#: number stays below MOST_BLOCKS.
+BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 16, 128, 1 << 20
 #: Parts of a shard that rows are shuffled within.
 CHUNKS = 16
 SEED = 42
 #: Slices of a source's permuted order, for prefix sums in parallel: 2 ** SLICE_BITS.
 SLICE_BITS = 10
-#: Sources up to which their block lists (some KB each) are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_SOURCES = 1000
+#: Sources that a draw goes through one after another: more of them are drawn for as groups first, by hash, so many bits a time.
+GROUP, GROUP_BITS = 256, 6
+
+
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Sources with ``nth``, their place from 0 in code-point order, null last: numbered in ranges, not in one task."""
+    ranged = settle(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return ranged.withColumn("_within", within).join(starts, "_range").withColumn("nth", F.col("_start") + F.col("_within")).drop("_range", "_start", "_within")
 
 
 def _targets(sources: DataFrame) -> DataFrame:
     """(source, source_size) -> also target: the share of each weight, capped, with the excess reshared by weight.
 
-    The fixed point of resharing is min(cap, level * weight) for one level. The sources that are capped are those with
-    the least cap for their weight, so the level shows in one pass over the sources in that order.
+    A source gets min(cap, level * weight). The level starts from the weights of all; each round caps the sources that
+    are above and shares the rest among the others, until none is above.
     """
-    by_name, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    ranked = sources.withColumn("weight", F.element_at(weights, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", PASSES * F.col("source_size").cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    whole = Window.partitionBy()
-    before, on = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.lit(SHARE) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(on)
-    ranked = ranked.withColumn("level", level).withColumn("nth", F.row_number().over(by_ratio))
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))).over(whole)["level"])
-    return ranked.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
+    weighed = _ranked(sources).withColumn("weight", F.element_at(weights, (F.pmod("nth", F.lit(len(WEIGHTS))) + 1).cast("int")))
+    weighed = settle(weighed.withColumn("cap", PASSES * F.col("source_size").cast("double")))
+    goal = SHARE * (weighed.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = 0.0, None
+    while True:
+        above = F.col("cap") < F.lit(level) * F.col("weight")
+        n, full, rest = weighed.agg(F.coalesce(F.sum(above.cast("int")), F.lit(0)), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~above, F.col("weight")))).first()
+        level = (goal - full) / rest if rest else level
+        if n == capped:
+            break
+        capped = n
+    return weighed.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _ln_factorial(x: str) -> str:
@@ -49,98 +64,141 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _hypergeometric(rest: str, quota: str, need: str, u: str) -> str:
-    """SQL of a draw: of ``need`` blocks drawn from ``rest``, how many belong to the ``quota`` marked ones; u in [0, 1)."""
+    """SQL of a draw: of ``need`` blocks drawn from ``rest``, how many belong to the ``quota`` marked ones; u in [0, 1).
+
+    Looked at are the numbers within 12 standard deviations of the mean; what lies beyond is less than doubles tell apart.
+    """
     choose = lambda n, k: f"({_ln_factorial(n)} - {_ln_factorial(k)} - {_ln_factorial(f'({n} - {k})')})"
-    low, high = f"greatest(0L, {need} - ({rest} - {quota}))", f"least({need}, {quota})"
-    logs = f"transform(sequence({low}, {high}), k -> {choose(quota, 'k')} + {choose(f'({rest} - {quota})', f'({need} - k)')})"
+    mean, width = f"{need} * ({quota} / greatest({rest}, 1D))", f"12 * sqrt(mean * greatest(0D, 1 - {quota} / greatest({rest}, 1D))) + 12"
+    low = f"greatest(0L, {need} - ({rest} - {quota}), CAST(floor(mean - width) AS BIGINT))"
+    high = f"least({need}, {quota}, CAST(ceil(mean + width) AS BIGINT))"
+    logs = f"transform(sequence(low, high), k -> {choose(quota, 'k')} + {choose(f'({rest} - {quota})', f'({need} - k)')})"
     parts = _let(logs, "logs", _let("array_max(logs)", "top", "transform(logs, x -> exp(x - top))"))
     total = "aggregate(parts, 0D, (a, x) -> a + x)"
     place = "aggregate(parts, named_struct('sum', 0D, 'at', 0L), (s, x) -> named_struct('sum', s.sum + x, 'at', s.at + CASE WHEN s.sum + x <= goal THEN 1L ELSE 0L END))"
-    return _let(parts, "parts", _let(f"{total} * {u}", "goal", f"least({high}, {low} + {place}.at)"))
+    draw = _let(parts, "parts", _let(f"{total} * {u}", "goal", f"least(high, low + {place}.at)"))
+    return _let(mean, "mean", _let(width, "width", _let(low, "low", _let(high, "high", draw))))
 
 
-def _split(nodes: DataFrame, level: int) -> DataFrame:
-    """One level of the tree: (node, items) -> two rows each, the quotas of a node being dealt out without replacement."""
-    u = f"(pmod(xxhash64({SEED}, {level}, node, item.source), 9007199254740992L) / 9007199254740992D)"
+def _left(level: int, name: str) -> Column:
+    """``need`` blocks drawn from ``items`` of (key, quota) of a ``node``: how many from each."""
+    u = f"(pmod(xxhash64({SEED}, {level}, '{name}', node, item.key), 9007199254740992L) / 9007199254740992D)"
     step = _let(_hypergeometric("s.rest", "item.quota", "s.need", u), "k", "named_struct('rest', s.rest - item.quota, 'need', s.need - k, 'left', array_append(s.left, k))")
-    start = "named_struct('rest', total, 'need', total DIV 2, 'left', CAST(array() AS ARRAY<BIGINT>))"
-    drawn = nodes.withColumn("total", F.expr("aggregate(items, 0L, (a, i) -> a + i.quota)")).withColumn("left", F.expr(f"aggregate(items, {start}, (s, item) -> {step}, s -> s.left)"))
-    halves = F.expr("array(named_struct('node', 2 * node, 'items', transform(items, (x, i) -> named_struct('source', x.source, 'quota', left[i]))), named_struct('node', 2 * node + 1, 'items', transform(items, (x, i) -> named_struct('source', x.source, 'quota', x.quota - left[i]))))")
-    return drawn.select(F.explode(halves).alias("h")).select("h.node", "h.items")
+    start = f"named_struct('rest', {_QUOTAS}, 'need', need, 'left', CAST(array() AS ARRAY<BIGINT>))"
+    return F.expr(f"aggregate(items, {start}, (s, item) -> {step}, s -> s.left)")
 
 
-def _shard_quotas(drawn: DataFrame) -> DataFrame:
-    """(source, quota) -> (source, shard, first, last): which ranks of a source's drawn blocks each shard gets."""
-    nodes = drawn.agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("items")).select(F.lit(0).cast("long").alias("node"), "items")
-    for level in range(SHARDS.bit_length() - 1):
-        nodes = _split(nodes, level)
-    leaves = nodes.select(F.col("node").alias("shard"), F.explode("items").alias("i")).select("shard", "i.source", "i.quota")
-    upto = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
-    return leaves.select("source", "shard", (upto - F.col("quota")).alias("first"), upto.alias("last"))
+_QUOTAS = "aggregate(items, 0L, (a, i) -> a + i.quota)"
+
+
+def _needs(groups: DataFrame, level: int, depth: int) -> DataFrame:
+    """(node, g, items) -> (node, g, need): half of each node's blocks, drawn down the prefixes of the groups' hashes."""
+    prefix = lambda j: F.shiftrightunsigned(F.col("g"), GROUP_BITS * (depth - j))
+    sums = settle(groups.select("node", "g", F.expr(_QUOTAS).alias("quota")))
+    need = sums.groupBy("node").agg(F.expr("sum(quota) DIV 2").alias("need")).withColumn("above", F.lit(0).cast("long"))
+    for j in range(1, depth + 1):
+        own = sums.groupBy("node", prefix(j - 1).alias("above"), prefix(j).alias("key")).agg(F.sum("quota").alias("quota"))
+        items = own.groupBy("node", "above").agg(F.array_sort(F.collect_list(F.struct("key", "quota"))).alias("items")).join(need, ["node", "above"])
+        drawn = items.select("node", F.explode(F.arrays_zip(F.col("items.key").alias("above"), _left(level, f"group {j}").alias("need"))).alias("d"))
+        need = drawn.select("node", "d.*")
+    return need.withColumnRenamed("above", "g")
 
 
-def _blocks(targets: DataFrame) -> DataFrame:
-    """Per source, its drawn blocks: ``passes`` array over passes of arrays over blocks of (shard, lo, hi).
+def leaf_quotas(sources: DataFrame) -> DataFrame:
+    """(id, quota) -> (id, shard, first, last): the splitting tree, and which ranks of a source's blocks each shard draws.
 
-    A block is a range of word positions in the source's permuted order. The blocks of a pass are drawn in an order
-    permuted by a hash; all of the first pass come before the second. The last block drawn is cut so that the words
-    drawn are the target rounded to whole words.
+    Every node holds exact numbers of blocks by source; its halves are a multivariate-hypergeometric draw of half of its
+    blocks, and the rest. The leaves are the shards. A shard's draws of a source are ranks of the source's permuted
+    blocks that no other has. A draw goes through the sources of a node one after another; where there are more than
+    GROUP of them they stand in groups by hash, and what each group has to give is drawn first, down the groups'
+    prefixes, so that no draw goes through more than about GROUP sources or 2 ** GROUP_BITS groups.
     """
-    edge = lambda b: F.floor(b * F.col("source_size") / BLOCKS).cast("long")
-    units = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("pass")).select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    units = units.withColumn("lo", edge(F.col("block"))).withColumn("hi", edge(F.col("block") + 1)).withColumn("len", F.col("hi") - F.col("lo"))
-    order = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(SEED), "source", "pass", "block"), "block")
-    done = F.coalesce(F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    take = F.greatest(F.lit(0), F.least(F.col("len"), F.round("target").cast("long") - done))
-    units = units.withColumn("take", take).withColumn("rank", F.row_number().over(order) - 1).select("source", "source_size", "target", "pass", "block", "lo", "take", F.sum(F.when(F.col("take") > 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("nth"))
-    units = settle(units)
-    quotas = _shard_quotas(units.groupBy("source").agg(F.sum(F.when(F.col("take") > 0, 1).otherwise(0)).cast("long").alias("quota")))
-    u, q = units.alias("u"), quotas.alias("q")
-    dealt = u.join(q, F.col("u.source").eqNullSafe(F.col("q.source")) & (F.col("u.take") > 0) & (F.col("u.nth") > F.col("q.first")) & (F.col("u.nth") <= F.col("q.last")), "left")
-    one = F.struct(F.col("u.pass").alias("pass"), F.col("u.block").alias("block"), F.col("q.shard").alias("shard"), F.col("u.lo").alias("lo"), (F.col("u.lo") + F.col("u.take")).alias("hi"))
-    lists = dealt.select("u.source", "u.source_size", "u.target", one.alias("one")).groupBy("source", "source_size", "target").agg(F.array_sort(F.collect_list("one")).alias("all"))
-    return lists.select("source", "source_size", "target", F.array(*[F.slice("all", p * BLOCKS + 1, BLOCKS) for p in range(PASSES)]).alias("passes"))
-
-
-def _equal(name: str, other: str) -> Column:
-    return F.col(name).eqNullSafe(F.col(other))
+    n, depth = sources.count(), 0
+    while n > GROUP << (GROUP_BITS * depth):
+        depth += 1
+    group = F.shiftrightunsigned(F.xxhash64("id"), 64 - GROUP_BITS * depth) if depth else F.lit(0).cast("long")
+    nodes = sources.groupBy(group.alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("key"), "quota"))).alias("items")).withColumn("node", F.lit(0).cast("long"))
+    for level in range(SHARDS.bit_length() - 1):
+        if depth:
+            nodes = settle(nodes)
+            nodes = nodes.join(_needs(nodes, level, depth), ["node", "g"])
+        else:
+            nodes = nodes.withColumn("need", F.expr(f"{_QUOTAS} DIV 2"))
+        nodes = nodes.withColumn("left", _left(level, "source"))
+        half = lambda node, quota: f"named_struct('node', {node}, 'items', transform(items, (x, i) -> named_struct('key', x.key, 'quota', {quota})))"
+        nodes = nodes.select("g", F.explode(F.expr(f"array({half('2 * node', 'left[i]')}, {half('2 * node + 1', 'x.quota - left[i]')})")).alias("h")).select("g", "h.node", "h.items")
+    leaves = nodes.select(F.col("node").alias("shard"), F.explode("items").alias("i")).select(F.col("i.key").alias("id"), "shard", "i.quota")
+    upto = F.sum("quota").over(Window.partitionBy("id").orderBy("shard"))
+    return leaves.select("id", "shard", (upto - F.col("quota")).alias("first"), upto.alias("last")).where("last > first")
+
+
+def _draws(targets: DataFrame) -> DataFrame:
+    """(id, source_size, target, blocks) -> (id, pass, block, shard, lo, hi): the blocks that the mix takes.
+
+    A block is a range of word positions in the source's permuted order. The blocks of a pass stand in an order
+    permuted by a hash; all of the first pass come before the second. A source's quota is the number of blocks, in that
+    order, that hold its target; the tree deals them out, and each shard draws what its leaf says. The last of a
+    source's blocks is cut so that the words drawn are the target rounded to whole words.
+    """
+    edge = lambda b: F.floor(b * F.col("source_size") / F.col("blocks")).cast("long")
+    units = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("pass")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    units = units.withColumn("lo", edge(F.col("block"))).withColumn("hi", edge(F.col("block") + 1)).where("hi > lo")
+    order = Window.partitionBy("id").orderBy("pass", F.xxhash64(F.lit(SEED), "id", "pass", "block"), "block")
+    units = units.withColumn("done", F.sum(F.col("hi") - F.col("lo")).over(order) - (F.col("hi") - F.col("lo"))).withColumn("rank", F.row_number().over(order))
+    units = settle(units.withColumn("left", F.round("target").cast("long") - F.col("done")).select("id", "pass", "block", "rank", "lo", "hi", "left"))
+    leaves = leaf_quotas(units.groupBy("id").agg(F.sum(F.when(F.col("left") > 0, 1).otherwise(0)).cast("long").alias("quota")).where("quota > 0"))
+    return units.join(leaves, "id").where("rank > first and rank <= last").select("id", "pass", "block", "shard", "lo", F.least(F.col("hi"), F.col("lo") + F.col("left")).alias("hi"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """Documents with ``size``, the words of their text; a column of that name is replaced."""
+    return docs.drop("size").withColumn("size", n_words(F.col("text")))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Documents with ``size`` (words), ``source_size``, ``target``, ``taken`` and ``draws`` added.
 
-    ``draws`` lists what the mix takes of a row: (shard, pass, first, words), ``first`` counting words from 0 within
-    the text; ``taken`` is the sum of its words. Each source's words stand in an order permuted by a hash of doc_id,
-    and are cut into BLOCKS blocks of equal size; a splitting tree deals the drawn blocks out to SHARDS shards.
+    ``draws`` lists what the mix takes of a row, in the order of passes and words: (shard, pass, first, words),
+    ``first`` counting words from 0 within the text; ``taken`` is the sum of its words. Each source's words stand in an
+    order permuted by a hash of doc_id, and are cut into blocks of equal size; a splitting tree deals the drawn blocks
+    out to SHARDS shards, and what it deals is what is taken.
 
     Null texts have size 0 and nothing is taken of them; a null source is a source of its own, the last; repeated rows
-    are rows like any other; an empty table gives an empty one. Columns of ``docs`` other than doc_id, source and text
-    pass through, except those with names that are added here, which are replaced. Reruns give the same rows.
+    are rows like any other; an empty table gives an empty one. Columns of ``docs`` pass through, except those with
+    names that are added here, which are replaced. Reruns give the same rows.
+    """
+    return place(sized(docs))
+
+
+def place(docs: DataFrame) -> DataFrame:
+    """``mix`` of documents whose ``size`` is given.
 
     A source's positions come from sums over slices of its order and a window within a slice, so that a source with
-    most of the rows is spread over 2 ** SLICE_BITS groups.
+    most of the rows is spread over 2 ** SLICE_BITS groups. What is drawn of a slice is joined to its rows by the same
+    keys as the window's: rows are shuffled once.
     """
-    added = ["size", "source_size", "target", "taken", "draws"]
-    own = docs.drop(*added, "_h", "_slice", "_end", "_first").withColumn("size", n_words(F.col("text")))
+    added = ["source_size", "target", "taken", "draws"]
+    own = docs.drop(*added, "_id", "_null", "_h", "_slice", "_end", "_first", "_blocks", "_drawn")
+    own = own.withColumn("_id", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
     own = own.withColumn("_h", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
-    cells = settle(own.groupBy("source", "_slice").agg(F.sum("size").alias("words")))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("_slice"))
-    offsets = cells.select(F.col("source").alias("_o_source"), F.col("_slice").alias("_o_slice"), (running - F.col("words")).alias("_first"))
-    targets = _targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")))
-    lists = settle(_blocks(targets)).withColumnRenamed("source", "_s_source")
-    if lists.count() <= BROADCAST_SOURCES:
-        lists, offsets = F.broadcast(lists), F.broadcast(offsets)
-    within = Window.partitionBy("source", "_slice").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = own.withColumn("_end", F.sum("size").over(within)).join(offsets, _equal("source", "_o_source") & _equal("_slice", "_o_slice")).withColumn("_end", F.col("_end") + F.col("_first"))
-    placed = placed.join(lists, _equal("source", "_s_source"))
+    cell = ["_id", "_null", "_slice"]
+    cells = settle(own.groupBy("source", *cell).agg(F.sum("size").alias("words")))
+    blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long")
+    sources = settle(_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumn("blocks", blocks).withColumn("id", F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"))))
+    drawn = settle(_draws(sources.select("id", "source_size", "target", "blocks")).select(F.col("id.name").alias("_id"), F.col("id.none").alias("_null"), "block", F.struct("pass", "lo", "hi", "shard").alias("one")))
+    # of every slice its first word, and the draws among its words
+    running = F.sum("words").over(Window.partitionBy("_id", "_null").orderBy("_slice"))
+    cells = cells.withColumn("_first", running - F.col("words")).join(sources.select(F.col("id.name").alias("_id"), F.col("id.none").alias("_null"), "source_size", "target", F.col("blocks").alias("_blocks")), ["_id", "_null"]).drop("source")
+    at = lambda x: F.floor(x * F.col("_blocks") / F.greatest(F.lit(1), F.col("source_size"))).cast("long")
+    near = cells.where("words > 0").select(*cell, F.explode(F.sequence(F.greatest(F.lit(0), at(F.col("_first")) - 1), F.least(F.col("_blocks"), at(F.col("_first") + F.col("words")) + 1))).alias("block"))
+    lists = near.join(drawn, ["_id", "_null", "block"]).groupBy(*cell).agg(F.array_sort(F.collect_list("one")).alias("_drawn"))
+    cells = settle(cells.drop("words").join(lists, cell, "left"))
+    within = Window.partitionBy(*cell).orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.withColumn("_end", F.sum("size").over(within)).join(cells, cell).withColumn("_end", F.col("_end") + F.col("_first"))
     start = "(_end - size)"
-    # from the block of the first word to that of the last, with one more at either end against rounding
-    first = f"greatest(1, CAST(floor({start} * {BLOCKS}D / greatest(source_size, 1)) AS INT) - 1)"
-    last = f"least({BLOCKS}, CAST(ceil(_end * {BLOCKS}D / greatest(source_size, 1)) AS INT) + 1)"
-    count = f"greatest(0, {last} - {first} + 1)"
-    overlaps = f"filter(transform(slice(p, {first}, {count}), b -> named_struct('shard', b.shard, 'pass', b.pass, 'first', greatest(b.lo, {start}) - {start}, 'words', least(b.hi, _end) - greatest(b.lo, {start}))), d -> d.words > 0)"
-    placed = placed.withColumn("draws", F.expr(f"CASE WHEN size > 0 THEN flatten(transform(passes, p -> {overlaps})) ELSE slice(flatten(transform(passes, p -> {overlaps})), 1, 0) END"))
-    return placed.withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")).select(*own.drop("_h", "_slice").columns, "source_size", "target", "taken", "draws")
+    overlaps = f"transform(filter(coalesce(_drawn, array()), b -> b.lo < _end AND b.hi > {start}), b -> named_struct('shard', b.shard, 'pass', b.pass, 'first', greatest(b.lo, {start}) - {start}, 'words', least(b.hi, _end) - greatest(b.lo, {start})))"
+    placed = placed.withColumn("draws", F.expr(overlaps))
+    return placed.withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")).select(*[c for c in own.columns if c not in (*cell, "_h")], "source_size", "target", "taken", "draws")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -177,6 +235,6 @@ def laid_out(mixed: DataFrame, chunks: int = CHUNKS) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a mix of one and a half times all documents takes of each document, and the shards that it goes to."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_sort(F.array_distinct("draws.shard")).alias("shards"))
+    """What a mix of one and a half times all documents takes of each document, and the shards that draw it."""
+    docs = settle(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    return place(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_sort(F.array_distinct("draws.shard")).alias("shards"), "draws")

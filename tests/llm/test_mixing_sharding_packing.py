@@ -93,6 +93,44 @@ def test_hypergeometric_draw(spark):
     assert spark.sql(f"select {mixing._hypergeometric('10L', '10L', '4L', '0.3D')}, {mixing._hypergeometric('10L', '0L', '4L', '0.3D')}").first() == (4, 0)
 
 
+@pytest.mark.parametrize(("rest", "quota", "need"), [(2_000_000, 700_000, 900_000), (10**6, 3, 500_000)])
+def test_hypergeometric_draw_of_many_blocks(spark, rest, quota, need):
+    expr = mixing._hypergeometric("rest", "quota", "need", "u")
+    df = spark.range(400).selectExpr(f"{rest}L rest", f"{quota}L quota", f"{need}L need", "(id + 0.5D) / 400 u").selectExpr(f"{expr} k")
+    mean, var = df.agg(F.avg("k"), F.var_pop("k")).first()
+    p = quota / rest
+    assert abs(mean - need * p) < 1 and abs(var / (need * p * (1 - p) * (rest - need) / (rest - 1)) - 1) < 0.05
+
+
+def test_what_is_taken_comes_through_the_tree(mixed_input, monkeypatch):
+    whole = {(r.doc_id, r.size): r.taken for r in mixing.mix(mixed_input).collect()}
+    tree = mixing.leaf_quotas
+    monkeypatch.setattr(mixing, "leaf_quotas", lambda sources: tree(sources).where("shard < 8"))
+    half = {(r.doc_id, r.size): r for r in mixing.mix(mixed_input).collect()}
+    assert {d.shard for r in half.values() for d in r.draws} == set(range(8))
+    assert 0.4 < sum(r.taken for r in half.values()) / sum(whole.values()) < 0.6
+    monkeypatch.setattr(mixing, "leaf_quotas", lambda sources: tree(sources).withColumn("shard", F.lit(0).cast("long")))
+    assert {d.shard for r in mixing.mix(mixed_input).collect() for d in r.draws} == {0}
+
+
+def test_tree_of_many_sources_deals_exact_quotas(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    quotas = spark.range(3000).selectExpr("id", "1 + id % 7 as quota")
+    leaves = mixing.leaf_quotas(quotas).collect()
+    ranks, shards = defaultdict(list), defaultdict(int)
+    for r in leaves:
+        ranks[r.id].append((r.first, r.last))
+        shards[r.shard] += r.last - r.first
+    for i in range(3000):
+        spans = sorted(ranks[i])
+        assert spans[0][0] == 0 and spans[-1][1] == 1 + i % 7 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert max(shards.values()) - min(shards.values()) <= 1
+    # each shard's share of the sources with the largest quota is that of all blocks, but for chance
+    large = [sum(r.last - r.first for r in leaves if r.shard == s and r.id % 7 == 6) for s in range(mixing.SHARDS)]
+    mean = sum(large) / 16
+    assert abs(np.array(large) - mean).max() < 5 * (mean * 0.75) ** 0.5
+
+
 def test_mixed_documents_keep_columns_and_words(mixed_input):
     out = mixing.mixed_documents(mixed_input)
     assert out.columns == mixed_input.columns
