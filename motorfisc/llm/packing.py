@@ -10,14 +10,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorfisc.llm.common import n_words, table
+from motorfisc.llm.common import table
+from motorfisc.llm.tokens import VOCABULARY, merges
 
-#: Permitted sequence lengths in words, ascending, and what a sequence costs beside its length.
+#: Permitted sequence lengths in tokens, ascending, and what a sequence costs beside its length.
 CAPACITIES = (512, 1024, 2048)
 OVERHEAD = 64
-#: Pieces that are packed together at most; a partition with more is packed in several rounds.
-WINDOW = 1 << 16
-_SCHEMA = "doc_id long, no_id boolean, n_words long, piece long, first_word long, words long, bin_id long, capacity int, bin_offset int"
+#: Pieces, and characters of theirs, that are packed together at most; a partition with more is packed in several rounds.
+WINDOW, WINDOW_CHARS = 1 << 16, 1 << 25
+_OUT = 4096
+_SCHEMA = "doc_id long, no_id boolean, n_tokens long, piece long, text string, tokens long, bin_id long, capacity int, bin_offset int"
 
 
 def cost(capacity: int) -> int:
@@ -25,10 +27,10 @@ def cost(capacity: int) -> int:
 
 
 def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packs pieces of 1 to max(capacities) words: the bin, offset and bin's capacity of each.
+    """Packs pieces of 1 to max(capacities) tokens: the bin, offset and bin's capacity of each.
 
     Pieces are taken longest first (ties: in their order). A piece goes to the open bin that it leaves with the least
-    room. If none fits, a bin is opened whose cost for the words it can expect is least: the piece, and as much as there
+    room. If none fits, a bin is opened whose cost for the tokens it can expect is least: the piece, and as much as there
     is left of pieces that fit beside it. At the end each bin is downsized to the smallest permitted length that holds
     its contents.
     """
@@ -63,69 +65,73 @@ def best_fit(sizes: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tup
     return bins, offsets, np.array(capacities)[np.searchsorted(capacities, held)][bins] if len(held) else held
 
 
-def _packer(capacities: tuple[int, ...]):
-    most = capacities[-1]
+def _placed(rows: list[tuple], capacities: tuple[int, ...], first_bin: int) -> pd.DataFrame:
+    """Pieces (doc_id, no_id, n_tokens, piece, text, tokens) with their bins, in the order of bins and offsets."""
+    out = pd.DataFrame(rows, columns=_SCHEMA_NAMES[:6])
+    sizes, most = out["tokens"].to_numpy(dtype=np.int64), capacities[-1]
+    bin_, offset, capacity = np.full(len(out), -1), np.zeros(len(out), dtype=np.int64), np.full(len(out), most)
+    full, part = sizes == most, (sizes > 0) & (sizes < most)
+    bin_[full] = np.arange(full.sum())
+    b, offset[part], capacity[part] = best_fit(sizes[part], capacities)
+    bin_[part] = b + full.sum()
+    for name, x, kind in (("bin_id", bin_ + first_bin, "Int64"), ("capacity", capacity, "Int32"), ("bin_offset", offset, "Int32")):
+        out[name] = pd.Series(x).astype(kind).mask(bin_ < 0)
+    return out.iloc[np.lexsort((offset, bin_))]
+
+
+_SCHEMA_NAMES = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
 
-    def packed(held: list[pd.DataFrame], first_bin: int) -> tuple[pd.DataFrame, int]:
-        rows = pd.concat(held, ignore_index=True)
-        sizes = rows["n_words"].to_numpy()
-        whole, rest = sizes // most, sizes % most
-        pieces = whole + (rest > 0) + (sizes == 0)
-        doc = np.repeat(np.arange(len(rows)), pieces)
-        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        words = np.minimum(most, sizes[doc] - piece * most)
-        bin_, offset, capacity = np.full(len(doc), -1), np.zeros(len(doc), dtype=np.int64), np.full(len(doc), most)
-        full, part = words == most, (words > 0) & (words < most)
-        bin_[full] = np.arange(full.sum())
-        b, o, c = best_fit(words[part], capacities)
-        bin_[part], offset[part], capacity[part] = b + full.sum(), o, c
-        n = int(bin_.max(initial=-1)) + 1
-        none = bin_ < 0
-        nullable = lambda x, kind: pd.Series(x).astype(kind).mask(none)
-        out = {"piece": piece, "first_word": piece * most, "words": words, "bin_id": nullable(bin_ + first_bin, "Int64"), "capacity": nullable(capacity, "Int32"), "bin_offset": nullable(offset, "Int32")}
-        return pd.concat([rows.iloc[doc].reset_index(drop=True), pd.DataFrame(out)], axis=1), n
 
+def _packer(capacities: tuple[int, ...], path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = TaskContext.get()
+        context, model = TaskContext.get(), merges(path)
         next_bin = (context.partitionId() if context else 0) << 40
-        held: list[pd.DataFrame] = []
-        size = 0
-        for batch in batches:
-            for at in range(0, len(batch), WINDOW):
-                part = batch.iloc[at : at + WINDOW]
-                if held and size + len(part) > WINDOW:
-                    out, n = packed(held, next_bin)
-                    next_bin += n
-                    held, size = [], 0
-                    yield out
-                held.append(part)
-                size += len(part)
-        if held:
-            yield packed(held, next_bin)[0]
+        held: list[tuple] = []
+        chars = 0
+        for batch in _and_end(batches):
+            if batch is not None:
+                for at in range(0, len(batch), 256):
+                    part = batch.iloc[at : at + 256]
+                    for doc_id, no_id, pieces in zip(part["doc_id"], part["no_id"], model.cut(part["text"].to_list(), capacities[-1]), strict=True):
+                        total = sum(n for _, n in pieces)
+                        held += [(doc_id, no_id, total, i, text, n) for i, (text, n) in enumerate(pieces or [("", 0)])]
+                        chars += sum(len(text) for text, _ in pieces)
+            if held and (batch is None or len(held) >= WINDOW or chars >= WINDOW_CHARS):
+                out = _placed(held, capacities, next_bin)
+                next_bin += int(out["tokens"].gt(0).sum())
+                held, chars = [], 0
+                for at in range(0, len(out), _OUT):
+                    yield out.iloc[at : at + _OUT]
 
     return run
 
 
-def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
-    """(doc_id, text) -> one row for each piece of a document: where it stands in which bin.
+def _and_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
+def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) -> one row for each piece of a document: its text, and where it stands in which sequence.
 
-    Columns: doc_id, n_words (of the document), piece (from 0), first_word and words (the piece's span within the
-    text), bin_id, capacity (of the bin, one of ``capacities``) and bin_offset. A document of more words than the
-    longest capacity is cut into pieces of that length, which fill bins by themselves, and a rest. Every word is in
-    exactly one piece, no bin holds more than its capacity, and bin ids are unique. A document without words (or with
-    a null text) has one row with 0 words and no bin. Repeated rows are packed one by one; an empty table gives an
-    empty one. Other columns are neither read nor returned.
+    Columns: doc_id, n_tokens (of the document), piece (from 0), text and tokens (of the piece), bin_id, capacity (of
+    the bin, one of ``capacities``) and bin_offset, in tokens. A document of more tokens than the longest capacity is
+    cut between pre-tokens into pieces that fit. The pieces of a document, in order, make up its text; every piece with
+    a token is in exactly one bin, no bin holds more than its capacity, and bin ids are unique. A document without
+    tokens (or with a null text) has one row with an empty text, 0 tokens and no bin. Repeated rows are packed one by
+    one; an empty table gives an empty one. Other columns are neither read nor returned. Within a partition rows stand
+    in the order of bins and offsets, so that what is written holds its sequences one after another.
 
-    Words are counted in the JVM; only ids and counts reach Python. Each partition packs its own documents, in rounds
-    of WINDOW documents at most, so nothing is shuffled, no key can be hot and a lost task packs its partition again
-    with the same result.
+    Each partition packs its own documents, in rounds of WINDOW pieces or WINDOW_CHARS characters, so nothing is
+    shuffled, no key can be hot and a lost task packs its partition again with the same result. Another split of the
+    input gives other bins; what that wastes is a part of the last bins of each round.
     """
     doc_id = F.col("doc_id").cast("long")  # pandas would turn longs with nulls among them into doubles
-    sized = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), n_words(F.col("text")).alias("n_words"))
-    placed = sized.mapInPandas(_packer(tuple(sorted(capacities))), _SCHEMA)
+    given = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), "text")
+    placed = given.mapInPandas(_packer(tuple(sorted(capacities)), path), _SCHEMA)
     return placed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 512, 1024 or 2048 words."""
+    """All documents packed into sequences of 512, 1024 or 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))

@@ -60,6 +60,7 @@ class RankedMerges:
             left = left[~placed]
         self.special = [t["content"] for t in said["added_tokens"]]
         self.split = regex.compile("|".join(regex.escape(x) for x in self.special)).split if self.special else lambda text: [text]
+        self.apart = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")").split if self.special else lambda text: [text]
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, int] = {}
 
@@ -125,6 +126,39 @@ class RankedMerges:
         return out
 
 
+    def cut(self, texts: list[str | None], most: int) -> list[list[tuple[str, int]]]:
+        """Each text as (piece, tokens): pieces of ``most`` tokens at most that make up the text, none for an empty one.
+
+        A text of no more tokens is one piece. A longer one is cut between pre-tokens, each piece taking as many as it
+        can; a pre-token that may have more tokens than that (longer than ``most`` bytes) is cut up first. The tokens
+        of a piece are those that it has within its text.
+        """
+        out: list[list[tuple[str, int]]] = []
+        for text, n in zip(texts, self.counts(texts), strict=True):
+            if n <= most:
+                out.append([(text, n)] if text else [])
+                continue
+            words = [w for i, part in enumerate(self.apart(text)) for w in ([part] if i % 2 else self._short(self.pieces(part), most))]
+            new = list(set(words) - self.known.keys() - set(self.special))
+            known = dict(zip(new, self.lengths(new).tolist(), strict=True)) if new else {}
+            sizes = np.fromiter((1 if w in self.special else known[w] if w in known else self.known[w] for w in words), dtype=np.int64, count=len(words))
+            ends, pieces, at = np.cumsum(sizes), [], 0
+            while at < len(words):
+                before = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, before + most, side="right"))
+                pieces.append(("".join(words[at:to]), int(ends[to - 1]) - before))
+                at = to
+            out.append(pieces)
+        return out
+
+    @staticmethod
+    def _short(words: list[str], most: int) -> Iterator[str]:
+        for w in words:
+            step = max(1, most // 4) if len(w) > most // 4 and len(w.encode("utf-8", "replace")) > most else len(w)
+            for at in range(0, len(w), step):
+                yield w[at : at + step]
+
+
 @cache
 def merges(path: str) -> RankedMerges:
     return RankedMerges(path)

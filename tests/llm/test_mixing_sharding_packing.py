@@ -2,8 +2,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from motorfisc.llm import mixing, packing, sharding
 from motorfisc.llm.common import n_words
@@ -250,18 +252,80 @@ def test_best_fit_fills_and_downsizes():
     assert len(np.unique(bins)) == 2 and set(capacity) == {2048}
 
 
-def test_packing_places_every_word_once(spark):
-    rows = [(i, words(i * 37 % 900)) for i in range(200)] + [(7, words(5000)), (7, words(5000)), (None, "a b"), (1, None), (2, "")]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sum(r.words for r in got) == sum(len((t or "").split()) for _, t in rows)
-    bins = defaultdict(list)
+def plain_best_fit(sizes, capacities=packing.CAPACITIES):
+    """Best fit piece by piece over a list of bins, without any index."""
+    order, bins, open_ = sorted(range(len(sizes)), key=lambda i: -sizes[i]), {}, []
+    for at, i in enumerate(order):
+        fit = [b for b in open_ if b["room"] >= sizes[i]]
+        if fit:
+            least = min(b["room"] for b in fit)
+            b = max((b for b in fit if b["room"] == least), key=lambda b: b["last"])
+        else:
+            rest = [sizes[j] for j in order[at + 1 :]]
+            beside = lambda c: min(c - sizes[i], sum(x for x in rest if x <= c - sizes[i]))
+            c = min((c for c in capacities if c >= sizes[i]), key=lambda c: ((c + packing.OVERHEAD) / (sizes[i] + beside(c)), c))
+            b = {"room": c, "items": []}
+            open_.append(b)
+        b["room"] -= sizes[i]
+        b["last"] = at
+        b["items"].append(i)
+    return sorted(tuple(sorted(b["items"])) for b in open_), {i: min(c for c in capacities if c >= sum(sizes[j] for j in b["items"])) for b in open_ for i in b["items"]}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_is_the_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes = [int(x) for x in (rng.integers(1, 2048, 150) if seed % 2 else np.minimum(2047, rng.lognormal(5, 1.2, 250).astype(int) + 1))]
+    bins, _, capacity = packing.best_fit(np.array(sizes))
+    groups = defaultdict(list)
+    for i, b in enumerate(bins):
+        groups[b].append(i)
+    want, downsized = plain_best_fit(sizes)
+    assert sorted(tuple(sorted(x)) for x in groups.values()) == want
+    assert dict(enumerate(capacity)) == downsized
+
+
+def test_packing_keeps_whole_texts_and_counts_tokens(spark):
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    odd = ["a b", "x" * 30_000 + " y", "日本語😀" * 2000, " " * 9000 + "z", "<|endoftext|>" * 3000 + "tail", "line one\n\n\tline two " * 900, " ".join(str(i) for i in range(4000))]
+    rows = [(i, words(i * 37 % 900)) for i in range(150)] + [(7000, words(5000)), (7000, words(5000)), (None, "a b"), (1001, None), (1002, "")] + [(2000 + i, t) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, tokens string, bin_id int")
+    got = packing.pack(docs).collect()
+    pieces, bins = defaultdict(list), defaultdict(list)
     for r in got:
-        assert (r.bin_id is None) == (r.words == 0) and (r.words == 0 or r.first_word + r.words <= r.n_words)
-        if r.words:
+        pieces[r.doc_id].append(r)
+        assert (r.bin_id is None) == (r.tokens == 0) and r.tokens <= 2048
+        if r.tokens:
             bins[r.bin_id].append(r)
+    for doc_id, text in rows:
+        own = sorted(pieces[doc_id], key=lambda r: r.piece)
+        if doc_id == 7000:
+            assert [r.piece for r in own] == sorted([*range(len(own) // 2)] * 2)
+            own = own[::2]
+        assert "".join(r.text for r in own) == (text or "")
+        if (text or "").count("x") < 20_000 and not (text or "").startswith(" "):
+            assert own[0].n_tokens == len(library.encode(text or "", add_special_tokens=False).ids)
+        assert own[0].n_tokens == sum(r.tokens for r in own)
     for rs in bins.values():
         rs.sort(key=lambda r: r.bin_offset)
-        assert len({r.capacity for r in rs}) == 1 and rs[-1].bin_offset + rs[-1].words <= rs[0].capacity
-        assert all(a.bin_offset + a.words == b.bin_offset for a, b in zip(rs, rs[1:], strict=False))
-    assert sorted(r.piece for r in got if r.doc_id == 7 and r.n_words == 5000) == [0, 0, 1, 1, 2, 2]
-    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+        assert len({r.capacity for r in rs}) == 1 and rs[-1].bin_offset + rs[-1].tokens <= rs[0].capacity
+        assert all(a.bin_offset + a.tokens == b.bin_offset for a, b in zip(rs, rs[1:], strict=False))
+    assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_packing_in_rounds_wastes_little(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    filled = lambda rows: sum(r.tokens for r in rows) / sum({r.bin_id: r.capacity for r in rows if r.tokens}.values())
+    assert filled(packing.pack(docs.coalesce(1)).collect()) > 0.99 and filled(packing.pack(docs.repartition(4)).collect()) > 0.95
+    own = pd.DataFrame({"doc_id": range(40), "no_id": False, "text": [words(40 + i) for i in range(40)]})
+    monkeypatch.setattr(packing, "WINDOW", 10)
+    rows = pd.concat(packing._packer(packing.CAPACITIES, packing.VOCABULARY)(iter([own.iloc[:20], own.iloc[20:]])))
+    assert sorted(rows["doc_id"]) == list(range(40)) and rows.groupby("bin_id")["tokens"].sum().max() <= 2048
+
+
+def test_packing_query_is_whole(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    texts = defaultdict(dict)
+    for r in packing.op9_pack_documents(spark, sf_dir).collect():
+        texts[r.doc_id][r.piece] = r.text
+    assert {i: "".join(t for _, t in sorted(ps.items())) for i, ps in texts.items()} == docs
