@@ -18,15 +18,20 @@ SCALE = 1024
 #: Vectors that serve as the roots of the data's cover trees, and of the queries' (one for each block of queries, at most
 #: so many); rows that give first scores.
 ROOTS, QUERY_ROOTS, SEEDS = 64, 8, 1024
-#: A node of so many rows, or queries, isn't split further; a node has so many children at most.
-LEAF, QUERY_LEAF, CHILDREN = 96, 32, 24
+#: A node of so many rows, or queries, isn't split further.
+LEAF, QUERY_LEAF = 96, 32
+#: Rows that a leaf of queries is compared with at once.
+_BASE = 4096
 _EXACT = float(1 << 53)
 _LONG = 1 << 63
 
 
 @dataclass
 class Node:
-    """A cover-tree node: a point as centre, the radius that covers its points, and children of half that radius."""
+    """A cover-tree node: a point as centre, the radius that covers its points, and children of half that radius at most.
+
+    Of the children, which in many dimensions are many, the centres, lengths and radii stand in arrays.
+    """
 
     centre: np.ndarray
     radius: float
@@ -35,31 +40,36 @@ class Node:
 
     def __post_init__(self) -> None:
         self.norm = float(np.sqrt((self.centre**2).sum()))
+        if self.children:
+            self.centres = np.stack([c.centre for c in self.children])
+            self.norms, self.radii = np.array([c.norm for c in self.children]), np.array([c.radius for c in self.children])
 
 
-def cover_tree(vectors: np.ndarray, leaf: int = LEAF, points: np.ndarray | None = None) -> Node:
+def cover_tree(vectors: np.ndarray, leaf: int = LEAF, points: np.ndarray | None = None, centre: np.ndarray | None = None) -> Node:
     """Splits points among centres that are more than half the radius apart and cover all within half the radius.
 
-    Centres are picked farthest first. Where halving takes more than CHILDREN centres, as in many dimensions, those that
-    there are become the children, and their radii are what they then cover.
+    A node's own centre is the first of its children's; the others are picked farthest first, as many as halving the
+    radius takes. Each point goes to its nearest centre.
     """
     points = np.arange(len(vectors)) if points is None else points
     own = vectors[points]
-    centre = own[((own - own.mean(0)) ** 2).sum(1).argmin()]
+    centre = own[((own - own.mean(0)) ** 2).sum(1).argmin()] if centre is None else centre
     away = np.sqrt(((own - centre) ** 2).sum(1))
-    node = Node(centre, float(away.max()), points)
-    if len(points) <= leaf or node.radius == 0:
-        return node
-    owner = np.zeros(len(points), dtype=np.int64)
-    n = 1
-    while away.max() > node.radius / 2 and n < CHILDREN:
-        d = np.sqrt(((own - own[away.argmax()]) ** 2).sum(1))
+    radius = float(away.max())
+    if len(points) <= leaf or radius == 0:
+        return Node(centre, radius, points)
+    owner, lengths, centres = np.zeros(len(points), dtype=np.int64), (own**2).sum(1), [centre]
+    while away.max() > radius / 2:
+        at = int(away.argmax())
+        d = np.sqrt(np.maximum(lengths + lengths[at] - 2 * (own @ own[at]), 0))
+        d[at] = 0
         closer = d < away
-        owner[closer], away = n, np.minimum(away, d)
-        n += 1
-    if n > 1:
-        node.children = [cover_tree(vectors, leaf, points[owner == i]) for i in range(n) if (owner == i).any()]
-    return node
+        owner[closer], away = len(centres), np.minimum(away, d)
+        centres.append(own[at])
+    order = np.argsort(owner, kind="stable")
+    parts = np.split(np.arange(len(points))[order], np.flatnonzero(np.diff(owner[order])) + 1)
+    children = [(points[p], centres[owner[p[0]]]) for p in parts]
+    return Node(centre, radius, points, [cover_tree(vectors, leaf, p, c) if len(p) > 1 else Node(c, 0.0, p) for p, c in children])
 
 
 class DualSearch:
@@ -77,23 +87,55 @@ class DualSearch:
         """The least score that could still enter the top k of one of these queries."""
         return float(np.maximum(self.scores[points, -1], self.floor[points]).min())
 
+    def bounds(self, q: Node, centres: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """No query of q scores higher with a row of these nodes."""
+        return centres @ q.centre + q.radius * norms + radii * q.norm + q.radius * radii + self.slack
+
     def bound(self, q: Node, r: Node) -> float:
-        """No query of q scores higher with a row of r."""
-        return float(q.centre @ r.centre) + q.radius * r.norm + r.radius * q.norm + q.radius * r.radius + self.slack
+        return float(self.bounds(q, r.centre[None], np.array([r.norm]), np.array([r.radius]))[0])
 
     def search(self, q: Node, r: Node) -> None:
         if self.bound(q, r) < self.worst(q.points):
             return
         if not q.children and not r.children:
             self.base(q.points, r.points)
-            return
-        # the node with the larger radius is opened, rows that promise most first
-        if r.children and (r.radius >= q.radius or not q.children):
-            for child in sorted(r.children, key=lambda c: -self.bound(q, c)):
-                self.search(q, child)
+        elif r.children and (r.radius >= q.radius or not q.children):
+            self.open_rows(q, r)
         else:
+            # of queries the same bound holds the other way round
+            self_bounds = self.bounds(r, q.centres, q.norms, q.radii)
+            for i in np.argsort(-self_bounds, kind="stable"):
+                self.search(q.children[i], r)
+
+    def open_rows(self, q: Node, r: Node) -> None:
+        """Searches the children of r, those that promise most first; the points of the childless ones in one go."""
+        reach = self.bounds(q, r.centres, r.norms, r.radii)
+        order = np.argsort(-reach, kind="stable")
+        order = order[reach[order] >= self.worst(q.points)]
+        plain = [i for i in order if not r.children[i].children]
+        if plain and q.children:
             for child in q.children:
-                self.search(child, r)
+                own = self.bounds(child, r.centres[plain], r.norms[plain], r.radii[plain]) >= self.worst(child.points)
+                self.plain(child, [r.children[i] for i, kept in zip(plain, own, strict=True) if kept])
+        else:
+            self.plain(q, [r.children[i] for i in plain])
+        for i in order:
+            if r.children[i].children:
+                self.search(q, r.children[i])
+
+    def plain(self, q: Node, nodes: list[Node]) -> None:
+        """Rows of childless nodes, against the leaves under q."""
+        if not nodes:
+            return
+        if q.children:
+            centres, norms, radii = np.stack([n.centre for n in nodes]), np.array([n.norm for n in nodes]), np.array([n.radius for n in nodes])
+            for child in q.children:
+                kept = self.bounds(child, centres, norms, radii) >= self.worst(child.points)
+                self.plain(child, [n for n, k in zip(nodes, kept, strict=True) if k])
+            return
+        points = np.concatenate([n.points for n in nodes])
+        for at in range(0, len(points), _BASE):
+            self.base(q.points, points[at : at + _BASE])
 
     def base(self, qs: np.ndarray, rs: np.ndarray) -> None:
         scores = self.queries[qs] @ self.rows[rs].T

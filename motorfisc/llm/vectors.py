@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motorfisc.llm.common import bounded_sample
 
 #: Queries, and rows, of one block at most on average: what one call of a search function sees.
-BLOCK = 2048
+BLOCK = 4096
 #: Entries of the largest table of points by centres that is held at once.
 _CELLS = 1 << 21
 FOUND = "query_id long, vec_id long, score {kind}"

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
-from motorfisc.llm import ann, exact
+from motorfisc.llm import ann, exact, vectors
 from motorfisc.llm.vectors import queries_of, usable
 from pyspark.sql import functions as F
 
@@ -60,6 +62,40 @@ def test_ann_recall_and_exact_scores(spark, points):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_ann_recall_on_given_vectors(spark, sf_dir):
+    path = Path(sf_dir).with_name("sf0.1")
+    path = path if path.exists() else Path(sf_dir)
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = brute(rows, lambda m, q: np.sqrt(((m - q) ** 2).sum(1)))
+    found = {(r.query_id, r.vec_id) for r in ann.op3_ann(spark, str(path)).collect()}
+    assert sum((q, i) in found for q, best in want.items() for i, _ in best) >= 0.95 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("search", ["ann", "exact"])
+def test_several_blocks_of_queries_and_rows(spark, points, monkeypatch, search):
+    def found():
+        rows = (ann if search == "ann" else exact).search(frame(spark, points))
+        return sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in rows.collect())
+
+    whole = found()
+    for module in (vectors, exact):
+        monkeypatch.setattr(module, "BLOCK", 40)
+    assert found() == whole
+
+
+def test_children_of_a_cover_tree_have_half_the_radius():
+    for vectors_ in (np.random.default_rng(2).standard_normal((500, 3)), np.random.default_rng(3).standard_normal((400, 48))):
+        stack = [exact.cover_tree(vectors_)]
+        while stack:
+            node = stack.pop()
+            assert all(c.radius <= node.radius / 2 * (1 + 1e-6) for c in node.children)
+            centres = np.array([c.centre for c in node.children])
+            if len(centres) > 1:
+                apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(2)) + np.eye(len(centres)) * node.radius
+                assert apart.min() > node.radius / 2 * (1 - 1e-6) and (centres == node.centre).all(1).any()
+            stack += node.children
+
+
 ODD = [(0, [1, 2, 0]), (100, [0, 0, 0]), (1, [1, 2, 0.1]), (2, None), (3, [float("nan"), 1, 1]), (4, [float("inf"), 1, 1]), (5, [None, 1, 1]), (6, [1, 1]), (7, []), (None, [1, 1, 1]), (8, [1, 2, 0.1]), (0, [1, 2, 0])]
 
 
