@@ -90,8 +90,8 @@ def _packer(capacities: tuple[int, ...], path: str):
         chars = 0
         for batch in _and_end(batches):
             if batch is not None:
-                for at in range(0, len(batch), 256):
-                    part = batch.iloc[at : at + 256]
+                for at in range(0, len(batch), 512):
+                    part = batch.iloc[at : at + 512]
                     for doc_id, no_id, pieces in zip(part["doc_id"], part["no_id"], model.cut(part["text"].to_list(), capacities[-1]), strict=True):
                         total = sum(n for _, n in pieces)
                         held += [(doc_id, no_id, total, i, text, n) for i, (text, n) in enumerate(pieces or [("", 0)])]

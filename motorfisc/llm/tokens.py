@@ -19,8 +19,10 @@ from motorfisc.llm.common import table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Tokens that a document may have before it counts as over the limit.
 LIMIT = 512
-#: Characters whose pre-tokens are held at once, and counts of pre-tokens that a worker keeps.
-_HELD, _KEPT = 2_000_000, 400_000
+#: Characters whose pre-tokens are held at once, and counts that a worker keeps.
+_HELD, _KEPT = 2_000_000, 800_000
+#: Longest word that is known as a whole, rather than by its pre-tokens.
+_UNIT = 48
 _NONE = np.int64(1) << 40
 
 
@@ -59,10 +61,10 @@ class RankedMerges:
             self.keys[where], self.ranks[where], self.made[where] = keys[left[placed]], left[placed], made[left[placed]]
             left = left[~placed]
         self.special = [t["content"] for t in said["added_tokens"]]
-        self.split = regex.compile("|".join(regex.escape(x) for x in self.special)).split if self.special else lambda text: [text]
         self.apart = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")").split if self.special else lambda text: [text]
+        self.run_of_spaces = regex.compile(r"\s (?:\s|\Z)").search
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = dict.fromkeys(self.special, 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
@@ -112,51 +114,73 @@ class RankedMerges:
             symbols, owner = symbols[live], owner[live]
         return out
 
+    def _units(self, text: str) -> list[str]:
+        """Texts of one or more whole pre-tokens each, in order, that make up a text: mostly words with a space before.
+
+        A space between two other characters, of which one at least is no white space, starts a pre-token, whatever
+        else there is. Texts with longer runs of white space around a space, and long words, are cut up into pre-tokens.
+        """
+        if self.run_of_spaces(text):
+            return self.pieces(text)
+        first, *rest = text.split(" ")
+        out = [first] if first else []
+        out += [" " + w for w in rest]
+        return out if max(map(len, out)) <= _UNIT else [p for u in out for p in ([u] if len(u) <= _UNIT else self.pieces(u))]
+
+    def _learn(self, words: list[list[str]]) -> None:
+        """Sees to it that the tokens of each of these units are known."""
+        if len(self.known) > _KEPT:
+            self.known = dict.fromkeys(self.special, 1)
+        new = [w for w in set().union(*words) if w not in self.known]
+        if new:
+            pieces = [[w] if w.lstrip(" ").isalpha() else self.pieces(w) for w in new]
+            sizes = self.lengths([p for ps in pieces for p in ps])
+            self.known.update(zip(new, np.add.reduceat(sizes, np.cumsum([0, *map(len, pieces)])[:-1]).tolist(), strict=True))
+
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; special tokens that occur in a text count as one each."""
-        split = [self.split(t) if t else [] for t in texts]
-        words = [[w for part in parts for w in self.pieces(part)] for parts in split]
-        new = list(set().union(*words) - self.known.keys())
-        if new:
-            self.known.update(zip(new, self.lengths(new).tolist(), strict=True))
+        words = self._split(texts)
+        self._learn(words)
         known = self.known.__getitem__
-        out = [max(0, len(parts) - 1) + sum(map(known, ws)) for parts, ws in zip(split, words, strict=True)]
-        if len(self.known) > _KEPT:
-            self.known.clear()
-        return out
+        return [sum(map(known, ws)) for ws in words]
 
+    def _split(self, texts: list[str | None]) -> list[list[str]]:
+        return [[w for i, part in enumerate(self.apart(t)) if part for w in ([part] if i % 2 else self._units(part))] if t else [] for t in texts]
 
     def cut(self, texts: list[str | None], most: int) -> list[list[tuple[str, int]]]:
         """Each text as (piece, tokens): pieces of ``most`` tokens at most that make up the text, none for an empty one.
 
-        A text of no more tokens is one piece. A longer one is cut between pre-tokens, each piece taking as many as it
-        can; a pre-token that may have more tokens than that (longer than ``most`` bytes) is cut up first. The tokens
-        of a piece are those that it has within its text.
+        A text of no more tokens is one piece. A longer one is cut between words (and other pre-tokens), each piece
+        taking as many as it can; one of more tokens than that is cut up first. The tokens of a piece are those that it
+        has within its text.
         """
-        out: list[list[tuple[str, int]]] = []
-        for text, n in zip(texts, self.counts(texts), strict=True):
-            if n <= most:
-                out.append([(text, n)] if text else [])
+        words = self._split(texts)
+        self._learn(words)
+        known, out = self.known.__getitem__, []
+        for text, own in zip(texts, words, strict=True):
+            sizes = np.fromiter(map(known, own), dtype=np.int64, count=len(own))
+            if not own or sizes.sum() <= most:
+                out.append([(text, int(sizes.sum()))] if own else [])
                 continue
-            words = [w for i, part in enumerate(self.apart(text)) for w in ([part] if i % 2 else self._short(self.pieces(part), most))]
-            new = list(set(words) - self.known.keys() - set(self.special))
-            known = dict(zip(new, self.lengths(new).tolist(), strict=True)) if new else {}
-            sizes = np.fromiter((1 if w in self.special else known[w] if w in known else self.known[w] for w in words), dtype=np.int64, count=len(words))
+            if sizes.max() > most:
+                own = [part for w, n in zip(own, sizes, strict=True) for part in ([w] if n <= most else self._short(w, most))]
+                self._learn([own])
+                known = self.known.__getitem__
+                sizes = np.fromiter(map(known, own), dtype=np.int64, count=len(own))
             ends, pieces, at = np.cumsum(sizes), [], 0
-            while at < len(words):
+            while at < len(own):
                 before = int(ends[at - 1]) if at else 0
                 to = int(np.searchsorted(ends, before + most, side="right"))
-                pieces.append(("".join(words[at:to]), int(ends[to - 1]) - before))
+                pieces.append(("".join(own[at:to]), int(ends[to - 1]) - before))
                 at = to
             out.append(pieces)
         return out
 
     @staticmethod
-    def _short(words: list[str], most: int) -> Iterator[str]:
-        for w in words:
-            step = max(1, most // 4) if len(w) > most // 4 and len(w.encode("utf-8", "replace")) > most else len(w)
-            for at in range(0, len(w), step):
-                yield w[at : at + step]
+    def _short(word: str, most: int) -> list[str]:
+        """A word in parts of ``most`` bytes at most."""
+        step = max(1, most // 4)
+        return [word[at : at + step] for at in range(0, len(word), step)]
 
 
 @cache

@@ -25,6 +25,17 @@ def test_token_counts_are_the_librarys(spark, sf_dir):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((text or "").encode()), n > 512), text
 
 
+def test_token_counts_around_white_space_are_the_librarys():
+    library, model = Tokenizer.from_file(tokens.VOCABULARY), tokens.merges(tokens.VOCABULARY)
+    rng = np.random.default_rng(11)
+    letters = list(" \n\t\u00a0ab,1'é\u2003\x1c") + ["  ", " a", "word ", "'s", "<|endoftext|>", "a" * 60]
+    texts = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(4000)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [(t, n) for t, n in zip(texts, model.counts(texts), strict=True)] == list(zip(texts, want, strict=True))
+    for text, pieces in zip(texts, model.cut(texts, 4), strict=True):
+        assert "".join(p for p, _ in pieces) == text and all(0 < n <= 4 for _, n in pieces)
+
+
 def test_token_counts_of_an_empty_table_and_clashing_columns(spark):
     assert tokens.token_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x")], "doc_id long, text string, n_tokens string")
