@@ -43,6 +43,11 @@ def site_fuel(raw: Column) -> Column:
     return F.try_element_at(mapping(dims.LISTING_FUEL), F.lower(F.trim(raw)))
 
 
+def tax_fuel(raw: Column) -> Column:
+    """The fuel that a listing is taxed by: petrol, diesel or electric; null for spellings that the tax doesn't know."""
+    return F.try_element_at(mapping(dims.TAX_FUEL), F.lower(F.trim(raw)))
+
+
 def query_fuel(raw: Column, model: Column, variant: Column, brand: Column) -> Column:
     """A listing's fuel: engine words, else what the site says, else a badge."""
     text = F.concat(F.coalesce(model, F.lit("")), F.lit(" "), F.coalesce(variant, F.lit("")))

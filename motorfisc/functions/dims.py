@@ -125,6 +125,11 @@ BODY_WORDS = ["wagon", "sportback", "coupe", "cabrio", "cabriolet", "roadster",
 DRIVETRAIN_WORDS = ["quattro", "xdrive", "4matic", "allrad", "4motion", "awd", "4x4"]
 BMW_NOISE = ["advantage", "sportpaket", "sportpaketa", "sportline", "steptronic", "automatic", "automatik", "paket", "packet", "package", "pro", "modern", "individual"]
 TOYOTA_SYNONYMS = {"ts": "wagon", "hybrid": "hibrid"}
+# Spellings of a listing's fuel that the tax knows.
+TAX_FUEL = {
+    "diesel": "diesel", "dizel": "diesel", "petrol": "petrol", "benzin": "petrol", "gasoline": "petrol", "lpg": "petrol", "cng": "petrol", "hybrid": "petrol",
+    "electric": "electric", "elektrisch": "electric", "elektro": "electric",
+}
 LISTING_FUEL = {"diesel": "diesel", "dizel": "diesel", "petrol": "petrol", "benzin": "petrol", "gasoline": "petrol"}
 CORPUS_FUEL = {"diesel": "diesel", "dizel": "diesel", "tdi": "diesel", "petrol": "petrol", "benzin": "petrol", "benzine": "petrol", "gasoline": "petrol", "hybrid": "petrol", "hibrid": "petrol", "plug-in hybrid": "petrol", "mild hybrid": "petrol"}
 FUEL_LETTERS = {"D": "diesel", "B": "petrol", "MH": "petrol_hybrid", "H": "petrol_plug_in_hybrid", "E": "electric"}

@@ -51,21 +51,45 @@ def brand_links(found: DataFrame, brand: Column) -> DataFrame:
     return found.where(F.startswith(F.lower("target"), F.lower(brand)) & ~denied)
 
 
+def outer_tables(part: Column) -> Column:
+    """The tables of a text that lie in no other, each whole; what is never closed isn't one.
+
+    The text is cut before every opening and after every closing mark, and the parts are put together again while the
+    marks passed say that a table is open.
+    """
+    parts = F.split(part, r"(?=\{\|)|(?<=\|\})")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.startswith(x, F.lit("{|")).cast("int")
+        text = F.when(depth > 0, F.concat(F.when(s["depth"] > 0, s["open"]).otherwise(F.lit("")), x)).otherwise(F.lit(""))
+        after = depth - (F.endswith(x, F.lit("|}")) & (depth > 0)).cast("int")
+        return F.struct(after.alias("depth"), text.alias("open"), F.when((depth > 0) & (after == 0), F.array_append(s["done"], text)).otherwise(s["done"]).alias("done"))
+
+    return F.aggregate(parts, start, step, lambda s: s["done"])
+
+
+def crawl_report(articles: DataFrame) -> DataFrame:
+    """(title, links, escalate): links of an article's model sections; articles with few or none are to be looked at."""
+    counted = links(model_sections(sections(articles))).groupBy("title").agg(F.count(F.lit(1)).cast("int").alias("links"))
+    out = articles.select("title").distinct().join(counted, "title", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return out.withColumn("escalate", c("links") < LEAST_LINKS)
+
+
 def tables(articles: DataFrame) -> DataFrame:
     """(title, segment, at, heading_path, table, fingerprint): tables of an article, each with the headings above it.
 
     Headings are folded over the article with a stack: one of level n closes those of level n and deeper. A table that
-    lies within another of its segment is dropped.
+    lies within another is a part of that one, not one of its own.
     """
     segments = articles.select("title", F.posexplode(F.split("wikitext", r"(?m)^(?==)")).alias("segment", "part"))
     level = F.length(F.regexp_extract("part", "^(=+)", 1))
     name = F.trim(F.regexp_replace(F.regexp_extract("part", r"^=+([^\n]*?)=+[ \t]*(?:\n|$)", 1), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]|'{2,}|<[^>]*>", "$1"))
-    each = segments.select("title", "segment", level.alias("level"), name.alias("name"), F.regexp_extract_all("part", F.lit(r"(?s)\{\|(?:(?!\{\|).)*?\|\}"), F.lit(0)).alias("found"))
+    each = segments.select("title", "segment", level.alias("level"), name.alias("name"), outer_tables(c("part")).alias("found"))
     before = F.collect_list(F.struct("segment", "level", "name")).over(Window.partitionBy("title").orderBy("segment"))
     stack = F.aggregate("_heads", F.array().cast("array<struct<level:int,name:string>>"), lambda s, h: F.when(h["level"] == 0, s).otherwise(F.concat(F.filter(s, lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["name"].alias("name"))))))
     pathed = each.withColumn("_heads", before).withColumn("heading_path", F.transform(stack, lambda x: x["name"]))
-    outer = F.filter("found", lambda t: ~F.exists("found", lambda o: (o != t) & F.contains(o, t)))
-    out = pathed.select("title", "segment", "heading_path", F.posexplode(outer).alias("at", "table"))
+    out = pathed.select("title", "segment", "heading_path", F.posexplode("found").alias("at", "table"))
     return out.withColumn("fingerprint", F.sha1(F.concat(F.array_join("heading_path", " / "), F.lit("\n"), c("table"))))
 
 

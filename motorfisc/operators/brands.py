@@ -10,6 +10,15 @@ from motorfisc.functions.similarity import indel_ratio
 from motorfisc.functions.text import brand_slug, fold, tokens
 
 
+#: Words of the longest spelling of a brand.
+LONGEST = 4
+
+
+def spellings() -> list[str]:
+    """Every spelling of every brand, of fixed values."""
+    return sorted({b for bs in dims.FOLDER_BRANDS.values() for b in bs} | set(dims.BRAND_ALIASES))
+
+
 def vocabulary(spark: SparkSession) -> DataFrame:
     """(alias, brand): folded spellings of every brand; some 60 rows, of fixed values."""
     own = [(b, b) for bs in dims.FOLDER_BRANDS.values() for b in bs] + list(dims.BRAND_ALIASES.items())
@@ -49,7 +58,7 @@ def slug_prefix(df: DataFrame, slug: str) -> DataFrame:
     v = F.broadcast(v.withColumn("consumed", F.size(F.split("s", "-"))))
     own = df.withColumn("_id", F.monotonically_increasing_id())
     prefix = F.array_join(F.slice(F.split(F.lower(F.col(slug)), "-"), F.lit(1), F.col("_w")), "-")
-    hits = own.withColumn("_w", F.explode(F.sequence(F.lit(1), F.lit(4)))).join(v, (prefix == v["s"]) & (F.col("_w") == v["consumed"]))
+    hits = own.withColumn("_w", F.explode(F.sequence(F.lit(1), F.lit(LONGEST)))).join(v, (prefix == v["s"]) & (F.col("_w") == v["consumed"]))
     best = hits.groupBy("_id").agg(F.max_by("brand", "consumed").alias("brand"), F.max("consumed").alias("consumed"))
     return own.join(best, "_id", "left").drop("_id").withColumn("consumed", F.coalesce("consumed", F.lit(0)))
 

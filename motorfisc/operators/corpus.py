@@ -10,6 +10,7 @@ from motorfisc.functions import dims
 from motorfisc.functions import numbers as num
 from motorfisc.functions import text as txt
 from motorfisc.functions.similarity import indel_ratio, token_set_ratio
+from motorfisc.operators import brands
 from motorfisc.operators.upsert import last_by
 
 _L = dims.LOOKUP
@@ -82,23 +83,46 @@ def drop_reason(pairs: DataFrame) -> Column:
 
 
 def haystack(title: Column, code: Column, brand: Column) -> Column:
-    """What a row's title and code say beside the brand."""
-    marque = txt.tokens(txt.corpus_text(brand))
-    return txt.joined(F.filter(txt.tokens(txt.corpus_text(F.concat_ws(" ", title, code))), lambda t: ~F.array_contains(marque, t)))
+    """What a row's title and code say beside the brand.
+
+    A title loses the longest spelling of any brand that it starts with (VW Golf, of Volkswagen), then every word of
+    the brand's own name.
+    """
+    marque, words = txt.tokens(txt.corpus_text(brand)), txt.tokens(txt.corpus_text(title))
+    known = F.array(*[txt.corpus_text(F.lit(s)) for s in brands.spellings()])
+    widths = F.filter(F.array(*[F.lit(n) for n in range(brands.LONGEST, 0, -1)]), lambda n: F.array_contains(known, txt.joined(F.slice(words, F.lit(1), n))))
+    rest = F.slice(words, F.coalesce(F.try_element_at(widths, F.lit(1)), F.lit(0)) + 1, F.greatest(F.size(words), F.lit(1)))
+    return txt.joined(F.filter(F.concat(rest, txt.tokens(txt.corpus_text(code))), lambda t: ~F.array_contains(marque, t)))
+
+
+def _brand_pairs(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
+    """Pairs of one brand whose powers are of one band or neighbouring ones, as far apart as rows may lie at most.
+
+    A vehicle asks for its own band, both neighbours and the rows without power; one without power for all bands, which
+    there are a few of.
+    """
+    band = F.floor(c("power_kw") / _L["power_drop"])
+    e = engines.withColumn("_band", F.coalesce(band, F.lit(-1)))
+    known = e.select("_brand", "_band").distinct()
+    asked = vehicles.where("v_power is not null").withColumn("_b", F.floor(c("v_power") / _L["power_drop"]))
+    asked = asked.withColumn("_band", F.explode(F.array(F.lit(-1).cast("long"), c("_b") - 1, c("_b"), c("_b") + 1))).drop("_b").where("_band >= -1").dropDuplicates(["vehicle_id", "_band"])
+    return asked.unionByName(vehicles.where("v_power is null").join(known, "_brand")).join(e, ["_brand", "_band"]).drop("_band")
 
 
 def scored(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
     """(vehicle_id, brand, v_model, v_fuel, v_power, v_cc, registered) x engine rows of the brand, with ``score``.
 
-    The join is by brand; the rules of ``drop_reason`` are its residual. Designators count only if some row left has
-    one of the vehicle's.
+    The join is by brand and band of power; the rules of ``drop_reason`` are its residual. Designators count only if
+    some row left has one of the vehicle's. Likeness is computed once for each pair of texts.
     """
     v = vehicles.withColumn("_brand", F.lower("brand")).drop("brand").withColumn("v_text", txt.corpus_text(c("v_model"))).withColumn("v_marks", txt.designators(c("v_text")))
     e = engines.withColumn("_brand", F.lower("brand")).withColumn("hay", haystack(c("title"), c("engine_code"), c("brand"))).withColumn("e_marks", txt.designators(c("hay")))
-    left = v.join(e, "_brand").withColumn("drop_reason", drop_reason(v)).where("drop_reason is null").drop("_brand")
+    left = _brand_pairs(v, eligible(e)).withColumn("drop_reason", drop_reason(v)).where("drop_reason is null").drop("_brand")
     by = Window.partitionBy("vehicle_id")
     left = left.withColumn("_known", F.max(F.arrays_overlap("v_marks", "e_marks").cast("int")).over(by) == 1)
-    ratio = F.when(c("v_text") != "", token_set_ratio(c("v_text"), c("hay"))).otherwise(50.0)
+    alike = left.where("v_text <> ''").select("v_text", "hay").distinct().withColumn("_alike", token_set_ratio(c("v_text"), c("hay")))
+    left = left.join(alike, ["v_text", "hay"], "left")
+    ratio = F.when(c("v_text") != "", c("_alike")).otherwise(50.0)
     extra = F.when(c("v_text") != "", txt.extra_tokens(c("v_text"), c("hay"))).otherwise(0)
     text = F.greatest(F.lit(0.0), _L["text"] * ratio / 100 - F.least(extra * _L["extra"], F.lit(_L["extra_cap"])))
     power = F.coalesce(num.fade(F.abs(c("v_power") - c("power_kw")), _L["power_exact"], _L["power_zero"], _L["power"]), F.lit(0.0))
@@ -110,24 +134,44 @@ def scored(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
     total = text + F.when(both, power).otherwise(0.0) + F.when(cc_both, cc).otherwise(0.0) + fuel
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), total) - F.when(unlike, _L["designator"]).otherwise(0.0))
     low, high = F.coalesce("co2_min", "co2_max"), F.coalesce("co2_max", "co2_min")
-    return left.withColumn("score", score).withColumn("low", low).withColumn("high", high).where(c("score") >= _L["floor"])
+    return left.withColumn("score", score).withColumn("low", low).withColumn("high", high).where(c("score") >= _L["floor"]).drop("_alike")
 
 
-def co2_range(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
-    """(vehicle_id, co2_min, co2_max, title, score, merged_rows): vehicles with a sure answer.
+def ranked(rows: DataFrame) -> DataFrame:
+    """Scored pairs with ``place``: best score first, of equals the narrower own range, then engine_id."""
+    by = Window.partitionBy("vehicle_id").orderBy(F.desc("score"), c("high") - c("low"), "engine_id")
+    return rows.withColumn("place", F.row_number().over(by))
+
+
+def co2_estimates(vehicles: DataFrame, engines: DataFrame, k: int = int(_L["k"])) -> DataFrame:
+    """One row for each vehicle that some row comes into question for: the range, or null, and the best rows.
 
-    Rows close to the best are merged; there is no answer if the best isn't good enough, if they are of several
-    articles, or if the merged range is too wide.
+    Rows close to the best are merged. There is no range if the best isn't good enough, if they are of several
+    articles, or if the merged range is too wide. Columns: vehicle_id, co2_min, co2_max, then of the best row (null
+    without a range) title, engine_code and source_url, source_urls of the merged rows in their order, score,
+    merged_rows, source_order_corrected; and ``candidates``, the ``k`` best rows whether there is a range or not.
     """
-    rows = scored(vehicles, engines)
-    by = Window.partitionBy("vehicle_id")
-    near = rows.withColumn("top", F.max("score").over(by)).where(c("top") - c("score") <= _L["margin"])
-    merged = near.groupBy("vehicle_id", "top").agg(
-        F.min("low").alias("co2_min"), F.max("high").alias("co2_max"), F.min("title").alias("title"), F.countDistinct("title").alias("titles"), F.count(F.lit(1)).alias("merged_rows"),
-        F.bool_or("source_order_corrected").alias("source_order_corrected"),
+    rows = ranked(scored(vehicles, engines)).withColumn("top", F.max("score").over(Window.partitionBy("vehicle_id")))
+    near = c("top") - c("score") <= _L["margin"]
+    one = F.struct("place", "engine_id", "title", "engine_code", "low", "high", F.round("score", 6).alias("score"))
+    first = lambda name: F.max(F.when(c("place") == 1, c(name))).alias(name)
+    found = rows.groupBy("vehicle_id", "top").agg(
+        F.min(F.when(near, c("low"))).alias("_low"), F.max(F.when(near, c("high"))).alias("_high"), F.countDistinct(F.when(near, c("title"))).alias("_titles"), F.count_if(near).alias("merged_rows"),
+        F.coalesce(F.bool_or(F.when(near, c("source_order_corrected"))), F.lit(False)).alias("source_order_corrected"), first("title"), first("engine_code"), first("source_url"),
+        F.array_sort(F.collect_list(F.when(near, F.struct("place", "source_url")))).alias("_urls"), F.array_sort(F.collect_list(F.when(c("place") <= k, one))).alias("candidates"),
+    )
+    sure = (c("top") >= _L["accept"]) & (c("_titles") == 1) & (c("_high") - c("_low") <= _L["range"])
+    told = lambda x: F.when(sure, x)
+    return found.select(
+        "vehicle_id", told(c("_low")).alias("co2_min"), told(c("_high")).alias("co2_max"), told(c("title")).alias("title"), told(c("engine_code")).alias("engine_code"), told(c("source_url")).alias("source_url"),
+        told(F.array_distinct(F.filter(F.transform("_urls", lambda u: u["source_url"]), lambda u: u.isNotNull()))).alias("source_urls"), F.round("top", 6).alias("score"), c("merged_rows"), "source_order_corrected", "candidates",
     )
-    sure = (c("top") >= _L["accept"]) & (c("titles") == 1) & (c("co2_max") - c("co2_min") <= _L["range"])
-    return merged.where(sure).select("vehicle_id", "co2_min", "co2_max", "title", F.round("top", 6).alias("score"), "merged_rows", "source_order_corrected")
+
+
+def co2_range(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
+    """(vehicle_id, co2_min, co2_max, title, score, merged_rows, source_order_corrected): vehicles with a sure answer."""
+    sure = co2_estimates(vehicles, engines).where("co2_min is not null")
+    return sure.select("vehicle_id", "co2_min", "co2_max", "title", "score", "merged_rows", "source_order_corrected")
 
 
 def in_scope(pairs: DataFrame, key: str) -> DataFrame:
@@ -172,11 +216,23 @@ def ranked_by_coverage(pairs: DataFrame, key: str, item: str) -> DataFrame:
     return tier.withColumn("best", F.max("value").over(by)).where(c("value") >= RETAIN * c("best")).select(key, item, "value", "honoured")
 
 
+def of_article(scoped: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The pairs in scope, and for queries that name an ``article`` its rows alone: those in scope, else all it has."""
+    chosen = pairs.where(c("article").isNotNull() & (c("title") == c("article")))
+    inside = scoped.where(c("article").isNull() | (c("title") == c("article")))
+    return inside.unionByName(chosen.join(inside.select(key).distinct(), key, "left_anti"))
+
+
 def browse_engines(queries: DataFrame, engines: DataFrame, limit: int = BROWSE_ROWS) -> DataFrame:
-    """(query_id, brand, q_text, registered) -> the rows of the brand that a search shows, best first."""
+    """(query_id, brand, q_text, registered) -> the rows of the brand that a search shows, best first.
+
+    A query may also name an ``article``, an exact title that outranks the date.
+    """
     q = queries.withColumn("_brand", F.lower("brand")).drop("brand")
     e = engines.withColumn("_brand", F.lower("brand")).withColumn("hay", txt.corpus_text(F.concat_ws(" ", "title", "engine_code")))
-    pool = in_scope(q.join(e, "_brand"), "query_id")
+    pairs = q.join(e, "_brand")
+    pool = in_scope(pairs, "query_id")
+    pool = of_article(pool, pairs, "query_id") if "article" in queries.columns else pool
     found = ranked_by_coverage(pool.where("q_text <> ''"), "query_id", "engine_id").join(pool.drop("q_text"), ["query_id", "engine_id"])
     plain = pool.where("q_text = ''").withColumn("value", F.lit(0.0)).withColumn("honoured", F.array().cast("array<string>")).drop("q_text")
     both = found.unionByName(plain, allowMissingColumns=True)

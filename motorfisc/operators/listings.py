@@ -15,6 +15,8 @@ LABELS = {
     "leistung": "power_kw", "power": "power_kw", "sitze": "seat_count", "seats": "seat_count", "anzahl der sitze": "seat_count", "version": "variant", "variante": "variant", "ausstattung": "variant", "trim": "variant", "marke": "brand", "hersteller": "brand",
     "make": "brand", "fahrzeugmarke": "brand", "modell": "model", "model": "model", "fahrzeugmodell": "model", "datum prve registracije": "first_registration", "prva registracija": "first_registration", "gorivo": "fuel_type", "vrsta goriva": "fuel_type",
     "kilometraža": "mileage_km", "prijeđeni km": "mileage_km", "snaga motora": "power_kw", "snaga": "power_kw", "broj sjedala": "seat_count", "sjedala": "seat_count", "verzija": "variant", "oprema": "variant", "marka": "brand", "proizvođač": "brand",
+    "godište": "year", "godina": "year", "co2 emisija": "co2", "co2": "co2", "emisija co2": "co2", "variant": "variant", "brand": "brand", "broj sasije": "vin", "vin broj": "vin", "chassis number": "vin", "vin number": "vin",
+    "fahrzeug-identifizierungsnummer": "vin", "vehicle identification no": "vin", "identifikacijski broj vozila": "vin",
     "fin": "vin", "fahrgestellnummer": "vin", "vehicle identification number": "vin", "vin": "vin", "broj šasije": "vin",
 }
 # Fuel codes and words of listing sites; those of the actor are looked for in this order.
@@ -65,9 +67,10 @@ def page_listings(pages: DataFrame) -> DataFrame:
     hp = F.nullif(F.regexp_extract("power_kw", r"(?i)([0-9]+)\s*(?:ks|hp|ps|cv)", 1), F.lit("")).try_cast("double")
     km = F.nullif(F.regexp_extract("mileage_km", r"(?i)([0-9][0-9.,]*)\s*(?:km|kilomet)", 1), F.lit(""))
     seats = F.nullif(F.regexp_extract("seat_count", "([0-9]+)", 1), F.lit("")).try_cast("int")
+    co2 = F.nullif(F.regexp_extract("co2", r"([0-9]+(?:[.,][0-9]+)?)", 1), F.lit(""))
     return own.select(
         "page_id", txt.site_of(c("url")).alias("source_site"), txt.listing_id(c("url")).alias("listing_id"), "brand", "model", "variant", num.display_number(c("_price")).alias("price_eur"), num.listing_date(c("first_registration")).alias("registered"),
-        F.coalesce(num.display_number(kw), F.round(hp * 0.7355, 1)).alias("power_kw"), num.display_number(km).cast("int").alias("mileage_km"), F.when(seats.between(1, 20), seats).alias("seat_count"), F.try_element_at(txt.mapping(PAGE_FUEL), F.lower(F.trim("fuel_type"))).alias("fuel_type"), txt.vin(c("vin")).alias("vin"),
+        F.coalesce(num.display_number(kw), F.round(hp * 0.7355, 1)).alias("power_kw"), num.display_number(km).cast("int").alias("mileage_km"), F.when(seats.between(1, 20), seats).alias("seat_count"), F.try_element_at(txt.mapping(PAGE_FUEL), F.lower(F.trim("fuel_type"))).alias("fuel_type"), txt.vin(c("vin")).alias("vin"), num.display_number(co2).alias("co2_g_km"),
     )
 
 

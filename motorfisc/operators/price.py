@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorfisc.functions import categories as cat
 from motorfisc.operators import corpus, match, tax
 
 c = F.col
@@ -15,14 +16,16 @@ def price_listings(listings: DataFrame, catalogue: DataFrame, engines: DataFrame
 
     Emission and fuel come from the listing, else from a catalogue row that matched for sure. An emission range from
     the corpus is a hint for listings that still lack it and never enters the tax. ``declared`` is the declaration day.
-    Electric range and camper use aren't known of listings and don't count.
+    A stated fuel that the tax has no spelling for ends as ``needs_fuel``; the matched row's fuel counts only where the
+    listing states none. Electric range and camper use aren't known of listings and don't count.
     """
     matched = match.match_listings(listings, catalogue, k).select("listing_id", c("status").alias("match_status"), "matched_id")
     rows = catalogue.select(c("catalogue_id").alias("matched_id"), c("co2_g_km").alias("_co2"), c("fuel_type").alias("_fuel"))
     own = listings.join(matched, "listing_id").join(rows, "matched_id", "left")
-    listed = F.when((c("co2_g_km") > 0) | (c("fuel_type") == "electric"), c("co2_g_km"))
+    listed = F.when((c("co2_g_km") > 0) | (cat.tax_fuel(c("fuel_type")) == "electric"), c("co2_g_km"))
     own = own.withColumn("co2_source", F.when(listed.isNotNull(), "listing").when(c("_co2").isNotNull(), "catalogue").otherwise("manual"))
-    own = own.withColumn("co2", F.coalesce(listed, c("_co2"))).withColumn("fuel", F.coalesce(F.lower("fuel_type"), c("_fuel")))
+    stated = F.nullif(F.trim("fuel_type"), F.lit(""))
+    own = own.withColumn("co2", F.coalesce(listed, c("_co2"))).withColumn("fuel", cat.tax_fuel(F.coalesce(stated, c("_fuel"))))
     asked = own.where("co2 is null").select(c("listing_id").alias("vehicle_id"), F.trim("brand").alias("brand"), F.concat_ws(" ", "model", "variant").alias("v_model"), c("fuel").alias("v_fuel"), c("power_kw").alias("v_power"), F.lit(None).cast("double").alias("v_cc"), c("valid_from").alias("registered"))
     hints = corpus.co2_range(asked, corpus.eligible(engines)).select(c("vehicle_id").alias("listing_id"), c("co2_min").alias("hint_min"), c("co2_max").alias("hint_max"))
     status = F.when(c("co2").isNull(), "needs_co2").when(c("fuel").isNull(), "needs_fuel").when(c("valid_from").isNull(), "needs_date").when(c("price_eur").isNull(), "needs_price")

@@ -17,6 +17,7 @@ def validation_error(df: DataFrame) -> Column:
         .when(c("seat_count") < 1, "seats_below_one")
         .when(c("eaer_city_range_km") < 0, "range_negative")
         .when(c("declaration_date") < c("first_registration_date"), "declared_before_registration")
+        .when(~c("fuel_type").isin("petrol", "diesel", "electric"), "unknown_fuel")
         .when((c("fuel_type") == "electric") & (c("co2_g_km") != 0), "electric_with_co2")
         .when((c("fuel_type") != "electric") & (c("co2_g_km") == 0), "zero_co2_not_electric")
     )
@@ -73,7 +74,8 @@ def tax_breakdown(offers: DataFrame) -> DataFrame:
 
     Needs price_eur, co2_g_km, fuel_type, first_registration_date, declaration_date, eaer_city_range_km, seat_count,
     is_camper and is_new_vehicle. Money is computed in decimals and given as doubles rounded to cents. ``status`` is
-    ``ok``, or why there is no tax: a broken rule, ``invalid_price`` or ``missing_input``.
+    ``ok``, or why there is no tax: a broken rule (a fuel other than petrol, diesel and electric is one; see
+    ``categories.tax_fuel`` for spellings), ``invalid_price`` or ``missing_input``.
     """
     own = offers.withColumn("price_eur", F.col("price_eur").cast("decimal(12,2)")).withColumn("co2_g_km", F.col("co2_g_km").cast("decimal(7,2)"))
     own = own.withColumn("standard", standard(F.col("first_registration_date")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motorfisc.functions import dims
 from motorfisc.functions import text as txt
-from motorfisc.operators import corpus, price
+from motorfisc.operators import brands, corpus, price
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.plans.table_queries import catalogue, listings
@@ -80,7 +80,10 @@ def flt8_jn7_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("vehicle_id", corpus.drop_reason(pairs).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_HAY = tw.joined(f"list_filter({tw.tokens(tw.corpus_text('''concat_ws(' ', title, engine_code)'''))}, lambda t: NOT list_contains({tw.tokens(tw.corpus_text('brand'))}, t))")
+_TITLE = tw.tokens(tw.corpus_text("title"))
+_SPELT = f"list_transform({tw.quoted(brands.spellings())}, lambda s: {tw.corpus_text('s')})"
+_TAKEN = f"coalesce(list_max(list_filter([1, 2, 3, 4], lambda n: list_contains({_SPELT}, array_to_string(({_TITLE})[1:n], ' ')))), 0)"
+_HAY = tw.joined(f"list_filter(list_concat(({_TITLE})[{_TAKEN} + 1:], {tw.tokens(tw.corpus_text('engine_code'))}), lambda t: NOT list_contains({tw.tokens(tw.corpus_text('brand'))}, t))")
 
 
 @_query(f"WITH {_E} SELECT engine_id, {_HAY} AS hay FROM e")
@@ -92,13 +95,33 @@ def str15_haystack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCOPED = f"p AS (SELECT vehicle_id AS query_id, engine_id, NOT (coalesce({_REG} < ({_M('production_start')}) - 6, false) OR coalesce({_REG} > ({_M('production_end')}) + 24, false)) AS inside FROM v JOIN e USING (brand))"
 
 
+_CHOSEN = "a AS (SELECT vehicle_id AS query_id, CASE WHEN vehicle_id % 2 = 0 THEN (SELECT min(title) FROM e WHERE e.brand = v.brand) END AS article FROM v), t AS (SELECT p.*, title, article FROM p JOIN e USING (engine_id) JOIN a USING (query_id)), s AS (SELECT * FROM t QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY query_id)), i AS (SELECT * FROM s WHERE article IS NULL OR title = article)"
+
+
+@_query(f"WITH {_E}, {_V}, {_SCOPED}, {_CHOSEN} SELECT query_id, engine_id FROM i UNION ALL SELECT query_id, engine_id FROM t WHERE title = article AND query_id NOT IN (SELECT query_id FROM i)")
+def flt20_exact_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in scope of a vehicle, those of the article alone where half of the vehicles name one."""
+    engines = derive(spark, sf_dir, "engines")
+    firsts = engines.groupBy("brand").agg(F.min("title").alias("article"))
+    v = derive(spark, sf_dir, "vehicles").withColumnRenamed("vehicle_id", "query_id").join(firsts, "brand", "left").withColumn("article", F.when(c("query_id") % 2 == 0, c("article")))
+    pairs = v.join(engines, "brand")
+    return corpus.of_article(corpus.in_scope(pairs, "query_id"), pairs, "query_id").select("query_id", "engine_id")
+
+
 @_query(f"WITH {_E}, {_V}, {_SCOPED} SELECT query_id, engine_id FROM p QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY query_id)")
-def flt9_flt20_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flt9_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows built around a vehicle's registration, or all of its brand."""
     pairs = derive(spark, sf_dir, "vehicles").withColumnRenamed("vehicle_id", "query_id").join(derive(spark, sf_dir, "engines"), "brand")
     return corpus.in_scope(pairs, "query_id").select("query_id", "engine_id")
 
 
+@_query()
+def job10_win7_co2_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emission range, or none, and the best rows of each vehicle."""
+    found = corpus.co2_estimates(derive(spark, sf_dir, "vehicles"), corpus.ordered_range(derive(spark, sf_dir, "engines")))
+    return found.withColumn("source_urls", F.array_join("source_urls", " ")).withColumn("candidates", F.to_json("candidates"))
+
+
 @_query()
 def job10_co2_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission range of each vehicle that the corpus is sure of."""

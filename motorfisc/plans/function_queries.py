@@ -73,7 +73,8 @@ _sheet_fuel_d = f"CASE WHEN b IS NULL THEN 'unknown' WHEN b = 'petrol' AND id %
 _columns("cat4_sheet_fuel", "cars", "id", fuel=(lambda: cat.sheet_fuel(c("fuel_raw"), F.when(c("id") % 5 == 0, 16.0), F.when(c("id") % 4 == 0, 50.0)), "''"))
 ORACLES["cat4_sheet_fuel"] = f"SELECT id, {_sheet_fuel_d.replace(' FROM (SELECT id', ' AS fuel FROM (SELECT id', 1)}"
 _columns("cat5_stored_fuel", "cars", "id", fuel=(lambda: F.coalesce(cat.fuel_family(F.concat_ws(" ", "raw_brand", "model", "variant"), c("raw_brand")), cat.stored_fuel(cat.sheet_fuel(c("fuel_raw"), F.lit(None).cast("double"), F.lit(None).cast("double")))), f"coalesce({tw.engine_word_fuel('''concat_ws(' ', raw_brand, model, variant)''')}, {tw.badge_fuel('''concat_ws(' ', raw_brand, model, variant)''', 'raw_brand')}, CASE WHEN upper(fuel_raw) IN ('D', 'DIZEL', 'DIESEL') THEN 'diesel' WHEN upper(fuel_raw) IN ('B', 'MH', 'H', 'BENZIN EURO 6') THEN 'petrol' END)"))
-_columns("cat6_cat7_fuel_maps", "cars", "id", site=(lambda: cat.site_fuel(c("fuel_raw")), tw.case("lower(trim(fuel_raw))", dims.LISTING_FUEL, "NULL")), corpus=(lambda: cat.corpus_fuel(c("fuel_raw")), tw.case("lower(trim(fuel_raw))", dims.CORPUS_FUEL, "NULL")))
+_TAX_SPELLINGS = "CASE WHEN {0} IN ('diesel', 'dizel') THEN 'diesel' WHEN {0} IN ('petrol', 'benzin', 'gasoline', 'lpg', 'cng', 'hybrid') THEN 'petrol' WHEN {0} IN ('electric', 'elektrisch', 'elektro') THEN 'electric' END"
+_columns("cat6_cat7_fuel_maps", "cars", "id", tax=(lambda: cat.tax_fuel(c("fuel_raw")), _TAX_SPELLINGS.format("lower(trim(fuel_raw))")), site=(lambda: cat.site_fuel(c("fuel_raw")), tw.case("lower(trim(fuel_raw))", dims.LISTING_FUEL, "NULL")), corpus=(lambda: cat.corpus_fuel(c("fuel_raw")), tw.case("lower(trim(fuel_raw))", dims.CORPUS_FUEL, "NULL")))
 _columns("cat8_gearbox", "cars", "id", gearbox=(lambda: cat.gearbox(c("variant")), tw.gearbox("variant")))
 _columns("cat9_body_sets", "cars", "id", bodies=(lambda: F.array_join(F.array_sort(cat.bodies(_key_s())), " "), f"array_to_string(list_sort(list_distinct(list_filter({tw.tokens(_key_d)}, lambda t: list_contains({tw.quoted(dims.BODY_WORDS)}, t)))), ' ')"), drivetrains=(lambda: F.array_join(F.array_sort(cat.drivetrains(_key_s())), " "), f"array_to_string(list_sort(list_distinct(list_filter({tw.tokens(_key_d)}, lambda t: list_contains({tw.quoted(dims.DRIVETRAIN_WORDS)}, t)))), ' ')"))
 _header_s = lambda: F.element_at(F.array(*[F.lit(x) for x in ("CIJENA (EUR)", "osnovna_cijena_kn", "MPC (s trošarinom)", "knjiga", "Preporučena (€)")]), (c("id") % 5 + 1).cast("int"))

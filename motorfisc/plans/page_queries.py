@@ -106,8 +106,7 @@ def job7_arr4_flt13_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT title, 3 AS links, true AS escalate FROM {_from('wiki_articles')}")
 def flt15_agg13_crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each article, and whether they are too few."""
-    found = art.links(art.model_sections(art.sections(derive(spark, sf_dir, "wiki_articles"))))
-    return found.groupBy("title").agg(F.count(F.lit(1)).cast("int").alias("links")).withColumn("escalate", c("links") < art.LEAST_LINKS)
+    return art.crawl_report(derive(spark, sf_dir, "wiki_articles"))
 
 
 @_query(f"SELECT title, unnest(['Modelle / Ottomotoren', 'Technik']) AS path, unnest([true, false]) AS has_co2, unnest([CAST(100 + p_size AS VARCHAR), CAST(100 + p_size AS VARCHAR)]) AS shaped FROM {_from('wiki_articles')}")
@@ -148,15 +147,8 @@ def _redirected(people: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select(c("title").cast("long").alias("title"), c("final").cast("long").alias("final"), "hops")
 
 
-@_query("SELECT c_custkey AS title, CASE WHEN c_custkey % 10 = 0 THEN c_custkey ELSE c_custkey - c_custkey % 10 END AS final, CAST(c_custkey % 10 AS INT) AS hops FROM customer WHERE c_custkey % 10 < 8")
-def jn18_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys followed through chains of redirects, loops among them; the part of the keys that the twin has."""
-    people = table(spark, sf_dir, "customer")
-    return _redirected(people, people.where("c_custkey % 10 < 8"))
-
-
 @_query("SELECT c_custkey AS title, CASE WHEN c_custkey % 10 = 0 THEN c_custkey ELSE c_custkey - c_custkey % 10 END AS final, CAST(c_custkey % 10 AS INT) AS hops FROM customer")
-def jn18_redirects_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jn18_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keys followed through chains of redirects."""
     people = table(spark, sf_dir, "customer")
     return _redirected(people, people)

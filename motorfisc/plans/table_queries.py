@@ -92,35 +92,6 @@ def jn12_snap_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 # keyed writes
 
 
-def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cars = derive(spark, sf_dir, "cars").select(c("id").alias("row_id"), (c("id") % 1500).alias("key"), F.concat_ws(" ", "model", "variant").alias("variant"), "price_eur")
-    return cars.where("row_id < 1500 AND row_id % 3 < 2"), cars.where("row_id >= 500")
-
-
-_OLD_NEW = f"{_CARS}, k AS (SELECT id AS row_id, id % 1500 AS key, concat_ws(' ', model, variant) AS variant, price_eur FROM cars), old AS (SELECT * FROM k WHERE row_id < 1500 AND row_id % 3 < 2), new AS (SELECT * FROM k WHERE row_id >= 500), fresh AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_id DESC) = 1)"
-
-
-@_query(f"WITH {_OLD_NEW} SELECT coalesce(o.row_id, f.row_id) AS row_id, coalesce(f.key, o.key) AS key, coalesce(f.variant, o.variant) AS variant, coalesce(f.price_eur, o.price_eur) AS price_eur FROM old o FULL JOIN fresh f ON o.key = f.key")
-def snk1_snk4_snk6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last writer wins by key; a row that was there keeps its id."""
-    old, new = _old_new(spark, sf_dir)
-    return upsert.upserted(old, new, ["key"], ["row_id"], [F.desc("row_id")])
-
-
-@_query(f"WITH {_OLD_NEW} SELECT * FROM old UNION ALL SELECT * FROM fresh WHERE key NOT IN (SELECT key FROM old)")
-def snk2_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New keys are added, known ones left alone."""
-    old, new = _old_new(spark, sf_dir)
-    return upsert.insert_ignored(old, new, ["key"], [F.desc("row_id")])
-
-
-@_query(f"WITH {_OLD_NEW} SELECT * FROM old WHERE key NOT IN (SELECT key FROM new WHERE price_eur > 19000)")
-def snk5_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows under review leave the table."""
-    old, new = _old_new(spark, sf_dir)
-    return upsert.pruned(old, new.where("price_eur > 19000"), ["key"])
-
-
 # The three writes over whole tables: all cars are stored, all orders are written, and the keys grow with both. A third
 # of the old keys are met by new ones, a half of the new ones by old ones.
 
@@ -135,21 +106,21 @@ _STORED_WRITTEN = f"{_CARS}, old AS (SELECT id AS row_id, id * 2 AS key, concat_
 
 
 @_query(f"WITH {_STORED_WRITTEN} SELECT coalesce(o.row_id, f.row_id) AS row_id, coalesce(f.key, o.key) AS key, coalesce(f.variant, o.variant) AS variant, coalesce(f.price_eur, o.price_eur) AS price_eur FROM old o FULL JOIN fresh f ON o.key = f.key")
-def snk1_snk4_snk6_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snk1_snk4_snk6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last writer wins by key, all orders written over all cars."""
     old, new = _stored_written(spark, sf_dir)
     return upsert.upserted(old, new, ["key"], ["row_id"], [F.desc("row_id")])
 
 
 @_query(f"WITH {_STORED_WRITTEN} SELECT * FROM old UNION ALL SELECT * FROM fresh WHERE key NOT IN (SELECT key FROM old)")
-def snk2_insert_ignore_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snk2_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New keys of all orders are added to all cars."""
     old, new = _stored_written(spark, sf_dir)
     return upsert.insert_ignored(old, new, ["key"], [F.desc("row_id")])
 
 
 @_query(f"WITH {_STORED_WRITTEN} SELECT * FROM old WHERE key NOT IN (SELECT key FROM new WHERE price_eur > 19000)")
-def snk5_prune_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snk5_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cars but those under review by an order."""
     old, new = _stored_written(spark, sf_dir)
     return upsert.pruned(old, new.where("price_eur > 19000"), ["key"])
@@ -347,8 +318,7 @@ def set2_agg12_review_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # matching
 
-_JN4 = f"WITH {_CARS}, {_BRANDED}, {_CATALOGUE}, l AS (SELECT b.id AS listing_id, lower(trim(b.brand)) AS bk, {tw.query_fuel('CASE WHEN id % 4 = 0 THEN fuel_type END', 'model', 'string_split(variant, chr(32))[1]', 'brand')} AS qf FROM branded b WHERE id % 10 = 3), f AS (SELECT DISTINCT lower(brand) AS bk, fuel_type AS qf, true AS narrow FROM catalogue), n AS (SELECT l.*, narrow FROM l LEFT JOIN f USING (bk, qf))"
-_JN4_WHOLE = f"WITH {_CARS}, {_BRANDED}, {_CATALOGUE}, l AS (SELECT b.id AS listing_id, lower(trim(b.brand)) AS bk, {tw.query_fuel('CASE WHEN id % 4 = 0 THEN fuel_type END', 'model', 'string_split(variant, chr(32))[1]', 'brand')} AS qf FROM branded b), f AS (SELECT DISTINCT lower(brand) AS bk, fuel_type AS qf, true AS narrow FROM catalogue), n AS (SELECT l.*, narrow FROM l LEFT JOIN f USING (bk, qf))"
+_JN4 = f"WITH {_CARS}, {_BRANDED}, {_CATALOGUE}, l AS (SELECT b.id AS listing_id, lower(trim(b.brand)) AS bk, {tw.query_fuel('CASE WHEN id % 4 = 0 THEN fuel_type END', 'model', 'string_split(variant, chr(32))[1]', 'brand')} AS qf FROM branded b), f AS (SELECT DISTINCT lower(brand) AS bk, fuel_type AS qf, true AS narrow FROM catalogue), n AS (SELECT l.*, narrow FROM l LEFT JOIN f USING (bk, qf))"
 
 
 def _candidate_pairs(asked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -358,12 +328,6 @@ def _candidate_pairs(asked: DataFrame, rows: DataFrame) -> DataFrame:
 
 @_query(f"{_JN4} SELECT listing_id, qf AS q_fuel, count(*) AS pairs FROM n JOIN catalogue ON lower(brand) = bk AND (narrow IS NULL OR fuel_type = qf) GROUP BY ALL")
 def jn4_jn5_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of every tenth listing, as the twin has it, after fuel narrowing."""
-    return _candidate_pairs(listings(spark, sf_dir).where("listing_id % 10 = 3"), catalogue(spark, sf_dir))
-
-
-@_query(f"{_JN4_WHOLE} SELECT listing_id, qf AS q_fuel, count(*) AS pairs FROM n JOIN catalogue ON lower(brand) = bk AND (narrow IS NULL OR fuel_type = qf) GROUP BY ALL")
-def jn4_jn5_candidate_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each listing after fuel narrowing."""
     return _candidate_pairs(listings(spark, sf_dir), catalogue(spark, sf_dir))
 
@@ -376,15 +340,8 @@ def _in_force(asked: DataFrame, cars: DataFrame) -> DataFrame:
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("id", "row_id", "valid_from")
 
 
-@_query(f"WITH {_CARS}, l AS (SELECT id, p_brand, year(valid_from) AS y FROM cars WHERE id % 10 = 3), j AS (SELECT l.id, y, r.id AS row_id, r.valid_from AS v, year(r.valid_from) <= y AS inforce FROM l JOIN cars r USING (p_brand)) SELECT id, row_id, v AS valid_from FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY inforce DESC, CASE WHEN inforce THEN v END DESC NULLS LAST, v ASC, row_id) = 1")
-def jn6_period_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brand's row in force in the year of every tenth car, as the twin has it."""
-    cars = derive(spark, sf_dir, "cars")
-    return _in_force(cars.where("id % 10 = 3"), cars)
-
-
 @_query(f"WITH {_CARS}, l AS (SELECT id, p_brand, year(valid_from) AS y FROM cars), j AS (SELECT l.id, y, r.id AS row_id, r.valid_from AS v, year(r.valid_from) <= y AS inforce FROM l JOIN cars r USING (p_brand)) SELECT id, row_id, v AS valid_from FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY inforce DESC, CASE WHEN inforce THEN v END DESC NULLS LAST, v ASC, row_id) = 1")
-def jn6_period_in_force_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jn6_period_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The brand's row in force in each car's year, else the soonest later one."""
     cars = derive(spark, sf_dir, "cars")
     return _in_force(cars, cars)

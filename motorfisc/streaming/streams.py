@@ -52,22 +52,21 @@ def cached_calls(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(_paid_calls, "user_id long, calls long, paid long, hits long", "paid_at double, paid long, calls long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(table_path: str, keys: list[str], keep: list[str], order: list):
-    """A foreachBatch function that puts rows into a table by key; a batch that comes again changes nothing.
+def upsert_sink(table_path: str, keys: list[str], keep: list[str], order: str):
+    """A foreachBatch function that puts rows into a table by key, in any order of batches (see ``upsert.merged``).
 
-    The new state is written beside the old one under the batch's number, so that a failed batch leaves the old one.
+    The new state is written beside the old one under the batch's number, so that a failed batch leaves the old one,
+    and a batch that comes again writes the same.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{table_path}/v{number - 1}"
         try:
-            old = spark.read.parquet(before)
+            old = batch.sparkSession.read.parquet(f"{table_path}/v{number - 1}")
         except Exception as missing:  # the first batch has no state before it
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            old = batch.limit(0)
-        upsert.upserted(old, batch, keys, keep, order).write.mode("overwrite").parquet(f"{table_path}/v{number}")
+            old = None
+        upsert.merged(old, batch, keys, keep, order).write.mode("overwrite").parquet(f"{table_path}/v{number}")
 
     return put
 

@@ -9,7 +9,7 @@ from motorfisc.functions import categories as cat
 from motorfisc.functions import numbers as num
 from motorfisc.functions import text as txt
 from motorfisc.functions.similarity import common_length, indel_ratio, token_set_ratio
-from motorfisc.operators import corpus, match, sheets, tax
+from motorfisc.operators import articles, corpus, listings, match, price, sheets, tax, upsert
 
 OFFER = "price_eur double, co2_g_km double, fuel_type string, first_registration_date date, declaration_date date, eaer_city_range_km double, seat_count int, is_camper boolean, is_new_vehicle boolean"
 OLD = dict(price_eur=70318.61, co2_g_km=136.0, fuel_type="diesel", first_registration_date=dt.date(2020, 8, 17), declaration_date=dt.date(2025, 7, 10), eaer_city_range_km=None, seat_count=None, is_camper=False, is_new_vehicle=False)
@@ -159,3 +159,77 @@ def test_sheet_with_subheader_currency_and_late_header(spark):
     assert [r.skip_reason for r in rows] == ["junk_row", None, "nonpositive_price", "missing_price"]
     assert (rows[1].price_eur, rows[1].currency, rows[1].co2_g_km, rows[1].source_row, rows[1].needs_review) == (10000.0, "HRK", 120.0, 3, True)
     assert sheets.canonical_rows(df, mapping.withColumn("confidence", F.lit(0.5)), spark.createDataFrame([], "file string, default_valid_from date")).collect() == []
+
+
+def test_estimates_tell_the_best_rows_also_without_a_range(spark):
+    rows = [(1, "BMW", "BMW F30", "320d", "2012", "2022-12", 1995.0, 140.0, "diesel", 100.0, 120.0, "u1", "confirmed", False), (2, "BMW", "BMW F30", "320d", "2012", "2022-12", 1995.0, 140.0, "diesel", 105.0, 107.0, "u2", "confirmed", True), (3, "BMW", "BMW E90", "320d", "2012", "2022-12", 1995.0, 140.0, "diesel", 105.0, 106.0, None, "confirmed", False)]
+    vehicles = spark.createDataFrame([(1, "BMW", "320d", "Diesel", 140.0, None, dt.date(2021, 6, 1))], "vehicle_id long, brand string, v_model string, v_fuel string, v_power double, v_cc double, registered date")
+    sure = corpus.co2_estimates(vehicles, spark.createDataFrame(rows[:2], ENGINE)).first()
+    # the narrower of two equal rows speaks for both
+    assert (sure.co2_min, sure.co2_max, sure.source_url, sure.source_urls, sure.engine_code, sure.merged_rows, sure.source_order_corrected) == (100, 120, "u2", ["u2", "u1"], "320d", 2, True)
+    unsure = corpus.co2_estimates(vehicles, spark.createDataFrame(rows, ENGINE)).first()
+    assert (unsure.co2_min, unsure.title, unsure.source_urls) == (None, None, None) and [x.engine_id for x in unsure.candidates] == [3, 2, 1]
+
+
+def test_bands_of_power_lose_no_pair(spark):
+    engines = spark.createDataFrame([(i, "BMW", "BMW F30", "320d", "2012", "2022-12", None, None if i == 0 else i * 7.5, "diesel", 100.0, 101.0, "u", "confirmed", False) for i in range(40)], ENGINE).withColumn("_brand", F.lower("brand"))
+    vehicles = spark.createDataFrame([(i, "bmw", None if i == 0 else i * 6.25) for i in range(50)], "vehicle_id long, _brand string, v_power double")
+    got = {(r.vehicle_id, r.engine_id) for r in corpus._brand_pairs(vehicles, engines).collect()}
+    want = {(v, e) for v in range(50) for e in range(40) if v == 0 or e == 0 or abs(v * 6.25 - e * 7.5) <= 25}
+    assert want <= got and len(got) < 50 * 40 and len(corpus._brand_pairs(vehicles, engines).collect()) == len(got)
+
+
+def test_a_title_loses_any_spelling_of_its_brand(spark):
+    rows = [("VW Golf VII", "1.6 TDI", "Volkswagen"), ("Mercedes-Benz Baureihe 205", "C 220 d", "Mercedes-Benz"), ("Golf", None, "Volkswagen"), (None, "320d", "BMW"), ("VW", None, "Volkswagen")]
+    got = spark.createDataFrame(rows, "t string, e string, b string").select(corpus.haystack(F.col("t"), F.col("e"), F.col("b"))).collect()
+    assert [r[0] for r in got] == ["golf vii 1 6 tdi", "baureihe 205 c 220 d", "golf", "320d", ""]
+
+
+def test_an_article_outranks_the_date(spark):
+    rows = [(1, "BMW", "BMW F30", "320d", "2012", "2018"), (2, "BMW", "BMW G20", "320d", "2019", "2022")]
+    engines = spark.createDataFrame(rows, "engine_id long, brand string, title string, engine_code string, production_start string, production_end string").withColumn("power_kw", F.lit(140.0))
+    q = lambda article: spark.createDataFrame([(1, "BMW", "320d", dt.date(2021, 6, 1), article)], "query_id long, brand string, q_text string, registered date, article string")
+    assert [[r.engine_id for r in corpus.browse_engines(q(a), engines).collect()] for a in (None, "BMW F30", "BMW G20", "x")] == [[2], [1], [2], []]
+
+
+def test_nested_tables_are_parts_of_the_outer_one(spark):
+    text = "lead\n== Motoren ==\n{| a\n| x {| b\n| y\n|} z\n|}\nmid {| c\n|}\n== Technik ==\n{| never closed"
+    got = articles.tables(spark.createDataFrame([("t", text)], "title string, wikitext string")).orderBy("at").collect()
+    assert [(r.heading_path, r.table) for r in got] == [(["Motoren"], "{| a\n| x {| b\n| y\n|} z\n|}"), (["Motoren"], "{| c\n|}")]
+
+
+def test_articles_without_links_are_escalated(spark):
+    df = spark.createDataFrame([("a", "== Modelle ==\n" + " ".join(f"[[Opel {i}]]" for i in range(5))), ("b", "== Modelle ==\nnone"), ("c", "no section"), ("d", None)], "title string, wikitext string")
+    assert sorted(tuple(r) for r in articles.crawl_report(df).collect()) == [("a", 5, False), ("b", 0, True), ("c", 0, True), ("d", 0, True)]
+
+
+def test_null_keys_are_written(spark):
+    schema = "a long, b long, price double"
+    old, new = spark.createDataFrame([(None, 1, 1.0), (2, 2, 2.0)], schema), spark.createDataFrame([(None, 1, 9.0), (None, 7, 7.0)], schema)
+    got = upsert.upserted(old, new, ["a", "b"], [], [F.desc("price")]).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(2, 2, 2.0), (None, 1, 9.0), (None, 7, 7.0)], key=str)
+
+
+@pytest.mark.parametrize(("fuel", "status"), [("petrol", "ok"), ("diesel", "ok"), ("electric", "electric_with_co2"), ("benzin", "unknown_fuel"), ("lpg", "unknown_fuel"), ("hydrogen", "unknown_fuel")])
+def test_the_tax_knows_three_fuels(spark, fuel, status):
+    schema = "price_eur double, co2_g_km double, fuel_type string, first_registration_date date, declaration_date date, eaer_city_range_km double, seat_count int, is_camper boolean, is_new_vehicle boolean"
+    offer = spark.createDataFrame([(40000.0, 180.0, fuel, dt.date(2022, 1, 1), dt.date(2025, 1, 1), None, None, False, False)], schema)
+    assert tax.tax_breakdown(offer).first().status == status
+
+
+def test_a_listings_fuel_is_read_in_all_spellings(spark):
+    spelt = ["LPG ", "cng", "hybrid", "Electric", "elektrisch", "elektro", "Benzin", "gasoline", "petrol", "dizel", "diesel", "hydrogen", None]
+    got = spark.createDataFrame([(s,) for s in spelt], "s string").select(cat.tax_fuel(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["petrol"] * 3 + ["electric"] * 3 + ["petrol"] * 3 + ["diesel"] * 2 + [None] * 2
+    rows = [(0, "BMW", "320d", "320d", None, 50000.0, 110.0, "diesel", 140.0, D19)]
+    catalogue = spark.createDataFrame(rows, CATALOGUE).withColumn("match_key", txt.match_key(F.col("brand"), F.col("model"), F.col("variant")))
+    listed = [(1, "hydrogen"), (2, None), (3, "LPG"), (4, " ")]
+    asked = spark.createDataFrame([(i, "BMW", "320d", None, f, 140.0, 110.0, 2019, 20000.0, D19) for i, f in listed], LISTING + ", price_eur double, valid_from date")
+    priced = {r.listing_id: (r.status, r.fuel_type) for r in price.price_listings(asked, catalogue, spark.createDataFrame([], ENGINE), "2025-07-10").collect()}
+    assert priced[1] == ("needs_fuel", None) and priced[3] == ("ok", "petrol") and priced[2][1] == priced[4][1] == "diesel"
+
+
+def test_a_page_tells_its_emissions_and_number(spark):
+    html = "<table><tr><td>CO2 emisija:</td><td>132,5 g/km</td></tr><tr><td>Broj sasije</td><td>WVWZZZ1KZAW000001</td></tr><tr><td>Brand</td><td>VW</td></tr></table>"
+    row = listings.page_listings(spark.createDataFrame([(1, "https://www.njuskalo.hr/auti/x-1", html)], "page_id long, url string, html string")).first()
+    assert (row.co2_g_km, row.vin, row.brand) == (132.5, "WVWZZZ1KZAW000001", "VW")

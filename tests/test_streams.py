@@ -1,5 +1,8 @@
+import datetime as dt
 import tempfile
+import time
 
+import pytest
 from motorfisc.operators import accounting
 from motorfisc.streaming import streams
 from pyspark.sql import functions as F
@@ -30,17 +33,35 @@ def test_cached_calls_equal_the_batch_twin(spark, sf_dir):
     assert got == {(r.user_id, r.calls, r.paid, r.hits) for r in want.collect()}
 
 
-def test_stream_of_rows_is_upserted(spark):
+ROWS = "id long, key long, price double"
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_stream_of_rows_is_upserted_in_any_order(spark, turned):
     source, table = fresh(), fresh() + "/t"
-    schema = "id long, key long, price double"
-    spark.createDataFrame([(1, 10, 1.0), (2, 20, 2.0)], schema).write.parquet(f"{source}/a")
-    spark.createDataFrame([(3, 20, 3.0), (4, 30, 4.0), (5, 30, 5.0)], schema).write.parquet(f"{source}/b")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
-    put = streams.upsert_sink(table, ["key"], ["id"], [F.desc("id")])
+    parts = [[(1, 10, 1.0), (2, 20, 2.0)], [(3, 20, 3.0), (4, 30, 4.0), (5, 30, 5.0)], [(6, None, 6.0), (7, None, 7.0)]]
+    for at, rows in enumerate(reversed(parts) if turned else parts):
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(f"{source}/{at}")
+        time.sleep(1.1)  # files are read in the order of their time stamps
+    rows = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    put = streams.upsert_sink(table, ["key"], ["id"], "id")
     query = streams.run_to_end(rows, fresh(), mode="append", sink=put)
     last = max(p["batchId"] for p in query.recentProgress)
-    got = {tuple(r) for r in spark.read.parquet(f"{table}/v{last}").collect()}
-    assert {k: p for _, k, p in got} == {10: 1.0, 20: 3.0, 30: 5.0} and (2, 20, 3.0) in got
-    put(spark.createDataFrame([(3, 20, 3.0)], schema), last + 1)
-    put(spark.createDataFrame([(3, 20, 3.0)], schema), last + 1)
-    assert {tuple(r) for r in spark.read.parquet(f"{table}/v{last + 1}").collect()} == got
+    read = lambda n: {tuple(r) for r in spark.read.parquet(f"{table}/v{n}").select("id", "key", "price").collect()}
+    assert read(last) == {(1, 10, 1.0), (2, 20, 3.0), (4, 30, 5.0), (6, None, 7.0)}
+    for _ in range(2):
+        put(spark.createDataFrame([(3, 20, 3.0)], ROWS), last + 1)
+    assert read(last + 1) == read(last)
+
+
+def test_priced_stream_and_outcomes(spark):
+    source, out = fresh(), fresh()
+    schema = "price_eur double, co2_g_km double, fuel_type string, first_registration_date date, declaration_date date, eaer_city_range_km double, seat_count int, is_camper boolean, is_new_vehicle boolean"
+    day = dt.date(2025, 7, 10)
+    rows = [(70318.61, 136.0, "diesel", dt.date(2020, 8, 17), day, None, None, False, False), (40000.0, 180.0, "steam", dt.date(2020, 8, 17), day, None, None, False, False)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{source}/a")
+    priced = streams.priced_stream(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source))
+    runs = priced.select(F.lit("site").alias("site"), F.when(F.col("status") != "ok", F.col("status")).alias("error"), "final_ppmv")
+    streams.run_to_end(runs, fresh(), mode="append", sink=streams.outcome_sink(out))
+    assert [r.final_ppmv for r in spark.read.parquet(f"{out}/listings").collect()] == [3475.5]
+    assert sorted((r.status, r.error_message) for r in spark.read.parquet(f"{out}/runs").collect()) == [("failed", "unknown_fuel"), ("success", None)]
