@@ -12,6 +12,7 @@ from motorfisc.functions import text as txt
 from motorfisc.functions.similarity import indel_ratio, token_set_ratio
 from motorfisc.operators import brands
 from motorfisc.operators.upsert import last_by
+from motorfisc.session import settled
 
 _L = dims.LOOKUP
 CO2_MOST, POWER_MOST, CC_LEAST, CC_MOST, WIDE = 500.0, 1500.0, 200.0, 9000.0, 40.0
@@ -66,11 +67,27 @@ def eligible(engines: DataFrame) -> DataFrame:
     return engines.where((c("brand_check") != "unverified") & (c("co2_min").isNotNull() | c("co2_max").isNotNull()))
 
 
+def _read_engines(engines: DataFrame) -> DataFrame:
+    """Engines with the months of their production period, read once a row rather than once a pair."""
+    return engines.withColumn("_start", num.period_months(c("production_start"))).withColumn("_end", num.period_months(c("production_end")))
+
+
+def _read_vehicles(vehicles: DataFrame) -> DataFrame:
+    """Vehicles with the month of their registration and their fuel, where they have these columns."""
+    out = vehicles.withColumn("_month", F.year("registered") * 12 + F.month("registered") - 1)
+    return out.withColumn("_fuel", cat.corpus_fuel(c("v_fuel"))) if "v_fuel" in vehicles.columns else out
+
+
+def _of_pairs(pairs: DataFrame) -> tuple[Column, Column, Column, Column]:
+    """Start, end, registration and fuel of pairs: as they were read before, else read now."""
+    read = lambda name, plain: c(name) if name in pairs.columns else plain
+    registered = read("_month", F.year("registered") * 12 + F.month("registered") - 1)
+    return read("_start", num.period_months(c("production_start"))), read("_end", num.period_months(c("production_end"))), registered, read("_fuel", cat.corpus_fuel(c("v_fuel")))
+
+
 def drop_reason(pairs: DataFrame) -> Column:
     """Why an engine row can't be the vehicle's, or null. Missing on either side speaks against nothing."""
-    start, end = num.period_months(c("production_start")), num.period_months(c("production_end"))
-    registered = F.year("registered") * 12 + F.month("registered") - 1
-    fuel = cat.corpus_fuel(c("v_fuel"))
+    start, end, registered, fuel = _of_pairs(pairs)
     return (
         F.when(c("brand_check") == "unverified", "brand_unverified")
         .when(c("co2_min").isNull() & c("co2_max").isNull(), "no_co2")
@@ -117,7 +134,8 @@ def scored(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
     """
     v = vehicles.withColumn("_brand", F.lower("brand")).drop("brand").withColumn("v_text", txt.corpus_text(c("v_model"))).withColumn("v_marks", txt.designators(c("v_text")))
     e = engines.withColumn("_brand", F.lower("brand")).withColumn("hay", haystack(c("title"), c("engine_code"), c("brand"))).withColumn("e_marks", txt.designators(c("hay")))
-    left = _brand_pairs(v, eligible(e)).withColumn("drop_reason", drop_reason(v)).where("drop_reason is null").drop("_brand")
+    pairs = _brand_pairs(_read_vehicles(v), _read_engines(eligible(e)))
+    left = settled(pairs.withColumn("drop_reason", drop_reason(pairs)).where("drop_reason is null").drop("_brand", "_start", "_end", "_month"))
     by = Window.partitionBy("vehicle_id")
     left = left.withColumn("_known", F.max(F.arrays_overlap("v_marks", "e_marks").cast("int")).over(by) == 1)
     alike = left.where("v_text <> ''").select("v_text", "hay").distinct().withColumn("_alike", token_set_ratio(c("v_text"), c("hay")))
@@ -129,12 +147,12 @@ def scored(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
     cc = F.coalesce(num.fade(F.abs(c("v_cc") - c("displacement_cc")), _L["cc_exact"], _L["cc_zero"], _L["displacement"]), F.lit(0.0))
     both = c("v_power").isNotNull() & c("power_kw").isNotNull()
     cc_both = c("v_cc").isNotNull() & c("displacement_cc").isNotNull()
-    fuel = F.when(cat.corpus_fuel(c("v_fuel")) == c("fuel_type"), _L["fuel"]).otherwise(0.0)
+    fuel = F.when(c("_fuel") == c("fuel_type"), _L["fuel"]).otherwise(0.0)
     unlike = c("_known") & (F.size("e_marks") > 0) & ~F.arrays_overlap("v_marks", "e_marks")
     total = text + F.when(both, power).otherwise(0.0) + F.when(cc_both, cc).otherwise(0.0) + fuel
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), total) - F.when(unlike, _L["designator"]).otherwise(0.0))
     low, high = F.coalesce("co2_min", "co2_max"), F.coalesce("co2_max", "co2_min")
-    return left.withColumn("score", score).withColumn("low", low).withColumn("high", high).where(c("score") >= _L["floor"]).drop("_alike")
+    return left.withColumn("score", score).withColumn("low", low).withColumn("high", high).where(c("score") >= _L["floor"]).drop("_alike", "_fuel")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -176,8 +194,7 @@ def co2_range(vehicles: DataFrame, engines: DataFrame) -> DataFrame:
 
 def in_scope(pairs: DataFrame, key: str) -> DataFrame:
     """Pairs whose production period holds the date asked for, with grace; all of a query's pairs if none does."""
-    start, end = num.period_months(c("production_start")), num.period_months(c("production_end"))
-    asked = F.year("registered") * 12 + F.month("registered") - 1
+    start, end, asked, _ = _of_pairs(pairs)
     out = F.coalesce(asked < start - SCOPE_BEFORE, F.lit(False)) | F.coalesce(asked > end + SCOPE_AFTER, F.lit(False))
     flagged = pairs.withColumn("_in", ~out).withColumn("_any", F.max(F.col("_in").cast("int")).over(Window.partitionBy(key)) == 1)
     return flagged.where(c("_in") | ~c("_any")).drop("_in", "_any")
@@ -228,8 +245,8 @@ def browse_engines(queries: DataFrame, engines: DataFrame, limit: int = BROWSE_R
 
     A query may also name an ``article``, an exact title that outranks the date.
     """
-    q = queries.withColumn("_brand", F.lower("brand")).drop("brand")
-    e = engines.withColumn("_brand", F.lower("brand")).withColumn("hay", txt.corpus_text(F.concat_ws(" ", "title", "engine_code")))
+    q = _read_vehicles(queries).withColumn("_brand", F.lower("brand")).drop("brand")
+    e = _read_engines(engines).withColumn("_brand", F.lower("brand")).withColumn("hay", txt.corpus_text(F.concat_ws(" ", "title", "engine_code")))
     pairs = q.join(e, "_brand")
     pool = in_scope(pairs, "query_id")
     pool = of_article(pool, pairs, "query_id") if "article" in queries.columns else pool
@@ -269,8 +286,8 @@ def model_groups(pool: DataFrame, keys: list[str]) -> DataFrame:
 
 def browse_models(queries: DataFrame, engines: DataFrame) -> DataFrame:
     """(query_id, place, title, ...): every article of the brand in scope, those that meet the query first."""
-    q = queries.withColumn("_brand", F.lower("brand")).drop("brand")
-    pool = in_scope(q.join(engines.withColumn("_brand", F.lower("brand")), "_brand"), "query_id")
+    q = _read_vehicles(queries).withColumn("_brand", F.lower("brand")).drop("brand")
+    pool = in_scope(q.join(_read_engines(engines).withColumn("_brand", F.lower("brand")), "_brand"), "query_id")
     keys = ["query_id", "title"]
     groups = model_groups(pool, keys)
     hay = pool.groupBy(*keys, "q_text").agg(F.array_join(F.collect_set(txt.corpus_text(F.concat_ws(" ", "title", "engine_code"))), " ").alias("hay"))
