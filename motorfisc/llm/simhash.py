@@ -22,6 +22,8 @@ RADIUS = 3
 SEGMENTS = 4
 #: Fingerprints, each with some 70 keys, that a task of the search starts from.
 SPREAD = 1 << 14
+#: Hashes of rows that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_ROWS = 1 << 21
 _WIDTH = BITS // SEGMENTS
 _CHUNK = 1 << 16
 
@@ -132,7 +134,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = settle(marked.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).join(kept.distinct(), "_row", "left"))
     gone, again = rows.where("_kept is null").select("_row"), rows.where("_kept and n > 1").select("_row")
     own = docs.withColumn("_row", row)
-    out = own.join(gone.unionByName(again), "_row", "left_anti")
+    left_out = gone.unionByName(again)
+    out = own.join(F.broadcast(left_out) if left_out.count() <= BROADCAST_ROWS else left_out, "_row", "left_anti")
     if not again.isEmpty():
         out = out.unionByName(own.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
     return out.select(*docs.columns)

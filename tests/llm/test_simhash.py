@@ -52,7 +52,10 @@ def test_near_duplicates_with_nulls_ties_and_clashing_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 6, 7, 8]
 
 
-def test_one_row_of_each_component_stays_without_ids_and_with_repeated_ones(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_row_of_each_component_stays_without_ids_and_with_repeated_ones(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
     a, b, d, e = ("alpha beta gamma delta " * 20, "one two three four five six " * 20, "red green blue black white " * 20, "north south east west up down " * 20)
     rows = [(None, a), (None, b), (None, b), (None, None), (5, d), (5, e), (5, e), (9, d)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
