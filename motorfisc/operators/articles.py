@@ -11,7 +11,7 @@ from motorfisc.operators.upsert import last_by
 from motorfisc.session import settled
 
 c = F.col
-LEAST_LINKS, SNIPPET, SAMPLES = 5, 4000, 12
+LEAST_LINKS, SNIPPET, SAMPLES, MINORITY = 5, 4000, 12, 0.4
 # Namespaces and sister projects whose links aren't articles; templates that name a section's main article.
 NAMESPACES = "datei file bild image media kategorie category vorlage template wikipedia wp hilfe help portal benutzer user benutzerin diskussion talk spezial special s b q n v wikt commons c d en fr it es nl pl sv hr cs ru ja zh".split()
 DENIED = ["konzeptfahrzeug", "konzeptauto", "konzeptstudie", "studien", "motorrad", "motorräder", "motorroller", "lastkraftwagen", "nutzfahrzeug", "omnibus", "traktor", "rennwagen", "rennsport", "formel", "militärfahrzeug"]
@@ -102,6 +102,38 @@ def co2_shaped(table: Column) -> Column:
     return F.slice(F.regexp_extract_all(table, F.lit(r"([0-9]{2,3})\s*g/km"), F.lit(1)), 1, SAMPLES)
 
 
+def prefilter_yield(articles: DataFrame) -> DataFrame:
+    """One row: articles with text, their tables, the different ones of each with emissions, and the share of these.
+
+    An article stored several times, for several anchors, counts once.
+    """
+    own = articles.where("wikitext <> ''").dropDuplicates(["title"])
+    found = tables(own).groupBy("title").agg(F.count(F.lit(1)).alias("_seen"), F.count_distinct(F.when(has_co2(c("table")), c("fingerprint"))).alias("_kept"))
+    sums = own.select("title").join(found, "title", "left").agg(F.count(F.lit(1)).alias("articles"), F.coalesce(F.sum("_seen"), F.lit(0)).alias("tables_seen"), F.coalesce(F.sum("_kept"), F.lit(0)).alias("tables_kept"))
+    return sums.withColumn("share", F.try_divide("tables_kept", "tables_seen"))
+
+
+def spot_check_sample(results: DataFrame, size: int, order: Column) -> DataFrame:
+    """Some ``size`` of (orientation, brand, ...) rows with ``turn``: in each orientation a row of every brand in turn.
+
+    MINORITY of the sample is shared by all orientations but the most frequent one (of equals the first by name), one
+    row each at least, as far as they have rows; the most frequent one takes the rest. Brands with most rows come first,
+    the rows of a brand by ``order``.
+    """
+    counts = results.groupBy("orientation").agg(F.count(F.lit(1)).alias("_n"))
+    some = Window.partitionBy(F.lit(0)).orderBy(F.desc("_n"), "orientation")  # a row for each orientation, of which there are a few
+    everything = Window.partitionBy(F.lit(0))
+    each = F.greatest(F.lit(1), F.floor(F.lit(int(size * MINORITY)) / (F.count(F.lit(1)).over(everything) - 1)))
+    ranked = counts.withColumn("_major", F.row_number().over(some) == 1).withColumn("_quota", F.when(~c("_major"), F.least("_n", each)))
+    quota = ranked.withColumn("_quota", F.coalesce("_quota", F.least(c("_n"), size - F.coalesce(F.sum("_quota").over(everything), F.lit(0))))).select("orientation", "_quota")
+    by = Window.partitionBy("orientation", "brand")
+    brands = results.groupBy("orientation", "brand").agg(F.count(F.lit(1)).alias("_of_brand"))
+    first = results.withColumn("_turn", F.row_number().over(by.orderBy(order))).where(c("_turn") <= size)
+    first = first.join(brands, first["orientation"].eqNullSafe(brands["orientation"]) & first["brand"].eqNullSafe(brands["brand"])).drop(brands["orientation"]).drop(brands["brand"])
+    dealt = first.withColumn("turn", F.row_number().over(Window.partitionBy("orientation").orderBy("_turn", F.desc("_of_brand"), "brand")))
+    return dealt.where(c("turn") <= size).join(F.broadcast(quota), "orientation").where(c("turn") <= c("_quota")).select(*results.columns, "turn")
+
+
 def cells(found: DataFrame) -> DataFrame:
     """(fingerprint, row, col, text, is_header) of each table's cells."""
     rows = found.select("fingerprint", F.posexplode(F.split(F.regexp_replace("table", r"^\{\|[^\n]*\n(\|-[^\n]*\n)?|\n?\|\}$", ""), r"(?m)^\|-[^\n]*\n?")).alias("row", "raw"))

@@ -267,17 +267,17 @@ def ignored_terms(queries: DataFrame, shown: DataFrame) -> DataFrame:
 def model_groups(pool: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each article: rows, period, sample codes and emissions.
 
-    The period is open if the newest generation of the article is.
+    The period is open if the newest generation of the article is. A start or end that can't be read counts as the
+    earliest; of equals the first by text is the start, the last the end.
     """
-    newest = F.max(num.period_months(c("production_start"))).over(Window.partitionBy(*keys))
-    pool = pool.withColumn("_newest", newest)
-    start = num.period_months(c("production_start"))
-    ends = num.period_months(c("production_end"))
+    read = lambda name: F.coalesce(num.period_months(c(name)), F.lit(0))
+    pool = pool.withColumn("_newest", F.max(read("production_start")).over(Window.partitionBy(*keys)))
+    told = lambda name: F.when(c(name) != "", F.struct(read(name), c(name)))
     codes = pool.where(F.trim("engine_code") != "").select(*keys, F.trim("engine_code").alias("code")).distinct()
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.length("code"), "code"))
     sample = codes.withColumn("n", nth).where(c("n") <= SAMPLE_CODES).groupBy(*keys).agg(F.array_sort(F.collect_list("code")).alias("sample_codes"))
     groups = pool.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("variant_count"), F.min_by("production_start", start).alias("production_start"), F.max_by("production_end", ends).alias("_end"), F.bool_or(c("production_end").isNull() & (start == c("_newest"))).alias("_open"),
+        F.count(F.lit(1)).alias("variant_count"), F.min_by("production_start", told("production_start")).alias("production_start"), F.max_by("production_end", told("production_end")).alias("_end"), F.bool_or(c("production_end").isNull() & (read("production_start") == c("_newest"))).alias("_open"),
         F.least(F.min("co2_min"), F.min("co2_max")).alias("co2_min"), F.greatest(F.max("co2_min"), F.max("co2_max")).alias("co2_max"),
     )
     out = groups.join(sample, keys, "left").withColumn("production_end", F.when(~c("_open"), c("_end")))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from motorfisc.functions import dims
 from motorfisc.functions import text as txt
+from motorfisc.operators import articles as art
 from motorfisc.operators import brands, corpus, price
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.plans.table_queries import catalogue, listings
+from motorfisc.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,6 +155,36 @@ def job12_browse_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.browse_models(_searches(spark, sf_dir), corpus.eligible(derive(spark, sf_dir, "engines"))).withColumn("sample_codes", F.array_join("sample_codes", "|"))
 
 
+_READ = lambda x: f"coalesce({_M(x)}, 0)"
+
+
+@_query(f"WITH {_E}, u AS (SELECT *, {_READ('production_start')} AS s, {_READ('production_end')} AS t, max({_READ('production_start')}) OVER (PARTITION BY brand, title) AS newest FROM e WHERE brand_check <> 'unverified' AND (co2_min IS NOT NULL OR co2_max IS NOT NULL)), k AS (SELECT DISTINCT brand, title, trim(engine_code) AS code FROM u WHERE trim(engine_code) <> ''), n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY brand, title ORDER BY length(code), code) <= {corpus.SAMPLE_CODES}), m AS (SELECT brand, title, array_to_string(list_sort(list(code)), '|') AS sample_codes FROM n GROUP BY ALL), g AS (SELECT brand, title, count(*) AS variant_count, min({{'s': s, 'x': production_start}}) FILTER (WHERE production_start <> '') AS a, max({{'t': t, 'x': production_end}}) FILTER (WHERE production_end <> '') AS z, bool_or(production_end IS NULL AND s = newest) AS is_open, least(min(co2_min), min(co2_max)) AS co2_min, greatest(max(co2_min), max(co2_max)) AS co2_max FROM u GROUP BY ALL) SELECT brand, title, variant_count, a.x AS production_start, CASE WHEN NOT is_open THEN z.x END AS production_end, co2_min, co2_max, sample_codes FROM g LEFT JOIN m USING (brand, title)")
+def agg8_srt3_model_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article of the corpus: rows, period, sample codes and emissions."""
+    groups = corpus.model_groups(corpus.eligible(derive(spark, sf_dir, "engines")), ["brand", "title"])
+    return groups.select("brand", "title", "variant_count", "production_start", "production_end", "co2_min", "co2_max", F.array_join("sample_codes", "|").alias("sample_codes"))
+
+
+_SPOT = 50
+
+
+@_query(f"WITH {_E}, r AS (SELECT engine_id, brand, CASE WHEN engine_id % 9 = 0 THEN 'normal' WHEN engine_id % 31 = 0 THEN 'unclear' ELSE 'transposed' END AS orientation FROM e), b AS (SELECT *, row_number() OVER (PARTITION BY orientation, brand ORDER BY md5(CAST(engine_id AS VARCHAR)), engine_id) AS t, count(*) OVER (PARTITION BY orientation, brand) AS of_brand, count(*) OVER (PARTITION BY orientation) AS n FROM r), d AS (SELECT *, row_number() OVER (PARTITION BY orientation ORDER BY t, of_brand DESC, brand) AS turn FROM b), q AS (SELECT DISTINCT orientation, least(n, 10) AS quota FROM b WHERE orientation <> 'transposed'), w AS (SELECT * FROM q UNION ALL SELECT 'transposed', {_SPOT} - (SELECT sum(quota) FROM q)) SELECT orientation, brand, engine_id, turn FROM d JOIN w USING (orientation) WHERE turn <= quota")
+def job16_win10_spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty tables to check by hand, two fifths of them kept for the rarer orientations."""
+    kind = F.when(c("engine_id") % 9 == 0, "normal").when(c("engine_id") % 31 == 0, "unclear").otherwise("transposed")
+    results = derive(spark, sf_dir, "engines").select(kind.alias("orientation"), "brand", "engine_id", F.md5(c("engine_id").cast("string")).alias("h"))
+    return art.spot_check_sample(results, _SPOT, F.struct("h", "engine_id")).select("orientation", "brand", "engine_id", "turn")
+
+
+@_query(f"WITH {_E} SELECT brand AS crawl_brand, title AS model_article_title, source_url, 'phase2_5_tripwire' AS reason, 'table returned no CO2 but its wikitext contains CO2-shaped text: ' || CAST(engine_id AS VARCHAR) || ' g/km, g/km' AS error FROM e WHERE brand IN ('BMW', 'Mazda') AND co2_min IS NULL AND co2_max IS NULL")
+def src8_tripwires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows of two brands out of the reports of all tables without emissions."""
+    found = F.array(F.concat(c("engine_id").cast("string"), F.lit(" g/km")), F.lit("g/km"))
+    tables = derive(spark, sf_dir, "engines").where("co2_min is null and co2_max is null").select("brand", c("title").alias("article_title"), "source_url", found.alias("co2_shaped_matches"))
+    reports = tables.select(F.to_json(F.struct(F.array(F.struct("*")).alias("tripwire"))).alias("value"))
+    return readers.tripwire_rows(reports, ["BMW", "Mazda"]).select("crawl_brand", "model_article_title", "source_url", "reason", F.element_at("validation_errors", 1).alias("error"))
+
+
 @_query()
 def job13_price_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing priced end to end."""

@@ -13,6 +13,7 @@ from motorfisc.operators import accounting, brands, match, upsert
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.session import table
+from motorfisc.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -333,11 +334,20 @@ def jn4_jn5_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_force(asked: DataFrame, cars: DataFrame) -> DataFrame:
-    """The row of the car's brand in force in its year, else the soonest later one."""
+    """The row of the car's brand in force in its year, else the soonest later one.
+
+    A brand's rows count by year before anything is joined: its newest row of each year, carried forward, and its oldest
+    one, carried back.
+    """
     asked = asked.select("id", "p_brand", F.year("valid_from").alias("y"))
-    pairs = asked.join(cars.select("p_brand", c("id").alias("row_id"), "valid_from"), "p_brand").withColumn("in_force", F.year("valid_from") <= c("y"))
-    w = Window.partitionBy("id").orderBy(F.desc("in_force"), F.desc_nulls_last(F.when(c("in_force"), c("valid_from"))), "valid_from", "row_id")
-    return pairs.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("id", "row_id", "valid_from")
+    rows = cars.select("p_brand", F.year("valid_from").alias("y"), "valid_from", c("id").alias("row_id"))
+    pick = F.struct("valid_from", "row_id")
+    years = rows.groupBy("p_brand", "y").agg(F.max_by(pick, F.struct(c("valid_from"), -c("row_id"))).alias("newest"), F.min(pick).alias("oldest"))
+    w = Window.partitionBy("p_brand").orderBy("y")
+    now = F.last("newest", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.first("oldest", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    found = years.join(asked.select("p_brand", "y").distinct(), ["p_brand", "y"], "full").withColumn("row", F.coalesce(now, later))
+    return asked.join(found, ["p_brand", "y"]).select("id", "row.row_id", "row.valid_from")
 
 
 @_query(f"WITH {_CARS}, l AS (SELECT id, p_brand, year(valid_from) AS y FROM cars), j AS (SELECT l.id, y, r.id AS row_id, r.valid_from AS v, year(r.valid_from) <= y AS inforce FROM l JOIN cars r USING (p_brand)) SELECT id, row_id, v AS valid_from FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY inforce DESC, CASE WHEN inforce THEN v END DESC NULLS LAST, v ASC, row_id) = 1")
@@ -372,8 +382,11 @@ def job14_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_CARS}, h AS (SELECT id, sha1(lower(trim(model))) AS key, CASE WHEN id % 5 = 0 THEN 'fail' ELSE 'ok' END AS status, variant FROM cars) SELECT key, id, variant FROM h WHERE status = 'ok' QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1")
 def job15_src3_mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store under new keys: failures dropped, the first entry of a key kept."""
-    store = derive(spark, sf_dir, "cars").select("id", F.sha1(F.lower(F.trim("model"))).alias("key"), F.when(c("id") % 5 == 0, "fail").otherwise("ok").alias("status"), "variant")
-    return upsert.last_by(store.where("status = 'ok'"), ["key"], [c("id")]).select("key", "id", "variant")
+    fields = F.create_map(F.lit("id"), c("id").cast("string"), F.lit("variant"), c("variant"))
+    entry = F.struct(F.when(c("id") % 5 == 0, "fail").otherwise("ok").alias("status"), fields.alias("fields"))
+    store = derive(spark, sf_dir, "cars").select(F.to_json(F.create_map(F.sha1(F.lower(F.trim("model"))), entry)).alias("value"))
+    entries = readers.mapping_entries(store).select(c("fingerprint").alias("key"), c("fields")["id"].cast("long").alias("id"), c("fields")["variant"].alias("variant"))
+    return upsert.last_by(entries, ["key"], [c("id")])
 
 
 @_query(f"WITH {_CARS}, {_BRANDED} SELECT brand, id, price_eur FROM branded WHERE lower(brand) = 'bmw'")

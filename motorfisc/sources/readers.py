@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "url string, path string, brand string, year int, filename string"
-STORE_ENTRY = "status string, price_currency string, confidence double, fields map<string,string>"
+STORE = "status:string,price_currency:string,confidence:double,fields:map<string,string>"
+TRIPWIRE = "tripwire array<struct<brand:string,article_title:string,heading_context:string,source_url:string,co2_shaped_matches:array<string>,variants_returned:int>>"
 VARIANTS = "array<struct<engine_code:string,production_start:string,production_end:string,displacement_cc:double,power_kw:double,fuel_type:string,co2_min:double,co2_max:double>>"
 
 
@@ -22,9 +23,14 @@ def manifest_lines(lines: DataFrame) -> DataFrame:
 
 
 def mapping_store(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a store file, one JSON object by fingerprint, that have a mapping."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<status:string,price_currency:string,confidence:double,fields:map<string,string>>>").alias("m"))
-    return whole.select(F.explode("m").alias("fingerprint", "e")).where("e.status = 'ok'").select("fingerprint", "e.*")
+    """The entries of a store file that have a mapping; see ``mapping_entries``."""
+    return mapping_entries(spark.read.text(path, wholetext=True))
+
+
+def mapping_entries(texts: DataFrame) -> DataFrame:
+    """(value) JSON objects by fingerprint -> entries that have a mapping; failures and what can't be read are left out."""
+    found = texts.select(F.explode(F.from_json("value", f"map<string,struct<{STORE}>>")).alias("fingerprint", "e"))
+    return found.where("e.status = 'ok'").select("fingerprint", "e.*")
 
 
 def exploded_variants(store: DataFrame, column: str = "variants") -> DataFrame:
@@ -38,11 +44,20 @@ def fetched(articles: DataFrame, brands: list[str] | None = None) -> DataFrame:
     return ok.where(F.col("brand").isin(brands)) if brands else ok
 
 
-def tripwires(spark: SparkSession, path: str, brand: Column | None = None) -> DataFrame:
-    """Review rows of a run report's tripwire list."""
-    rows = spark.read.option("multiLine", True).schema("tripwire array<struct<brand:string,fingerprint:string,samples:array<string>>>").json(path)
-    out = rows.select(F.explode("tripwire").alias("t")).select("t.*").withColumn("reason", F.lit("tripwire"))
-    return out.where(brand) if brand is not None else out
+def tripwires(spark: SparkSession, path: str, brands: list[str] | None = None) -> DataFrame:
+    """Review rows of a run report; see ``tripwire_rows``."""
+    return tripwire_rows(spark.read.text(path, wholetext=True), brands)
+
+
+def tripwire_rows(texts: DataFrame, brands: list[str] | None = None) -> DataFrame:
+    """(value) run reports in JSON -> review rows of their tables with emission text but no emission, of some brands or all."""
+    t = texts.select(F.explode(F.from_json("value", TRIPWIRE)["tripwire"]).alias("t")).select("t.*")
+    t = t.where(F.col("brand").isin(brands)) if brands else t
+    error = F.concat(F.lit("table returned no CO2 but its wikitext contains CO2-shaped text: "), F.array_join(F.coalesce("co2_shaped_matches", F.array().cast("array<string>")), ", "))
+    return t.select(
+        F.col("brand").alias("crawl_brand"), F.col("brand").alias("effective_brand"), F.lit(None).cast("string").alias("brand_check"), F.col("article_title").alias("model_article_title"), "heading_context", "source_url",
+        F.lit("phase2_5_tripwire").alias("reason"), F.array(error).alias("validation_errors"), "variants_returned",
+    )
 
 
 def write_report(review: DataFrame, summary: DataFrame, path: str) -> None:
