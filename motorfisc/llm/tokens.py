@@ -129,13 +129,17 @@ class RankedMerges:
 
     def _learn(self, words: list[list[str]]) -> None:
         """Sees to it that the tokens of each of these units are known."""
+        own = set().union(*words)
         if len(self.known) > _KEPT:
-            self.known = dict.fromkeys(self.special, 1)
-        new = [w for w in set().union(*words) if w not in self.known]
-        if new:
-            pieces = [[w] if w.lstrip(" ").isalpha() else self.pieces(w) for w in new]
-            sizes = self.lengths([p for ps in pieces for p in ps])
-            self.known.update(zip(new, np.add.reduceat(sizes, np.cumsum([0, *map(len, pieces)])[:-1]).tolist(), strict=True))
+            # what occurs here again is likely to later, unlike most of the rest
+            self.known = dict.fromkeys(self.special, 1) | {w: self.known[w] for w in own & self.known.keys()}
+        new = own.difference(self.known)
+        mixed = {w: self.pieces(w) for w in new if not w.lstrip(" ").isalpha()}
+        single = new.difference(mixed).union(*mixed.values()).difference(self.known)
+        if single:
+            self.known.update(zip(single, self.lengths(list(single)).tolist(), strict=True))
+        known = self.known.__getitem__
+        self.known.update({w: sum(map(known, pieces)) for w, pieces in mixed.items()})
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; special tokens that occur in a text count as one each."""
