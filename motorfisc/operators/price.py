@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motorfisc.functions import categories as cat
 from motorfisc.operators import corpus, match, tax
+from motorfisc.session import settled
 
 c = F.col
 
@@ -19,7 +20,7 @@ def price_listings(listings: DataFrame, catalogue: DataFrame, engines: DataFrame
     A stated fuel that the tax has no spelling for ends as ``needs_fuel``; the matched row's fuel counts only where the
     listing states none. Electric range and camper use aren't known of listings and don't count.
     """
-    matched = match.match_listings(listings, catalogue, k).select("listing_id", c("status").alias("match_status"), "matched_id")
+    matched = settled(match.match_listings(listings, catalogue, k).select("listing_id", c("status").alias("match_status"), "matched_id"))  # read three times
     rows = catalogue.select(c("catalogue_id").alias("matched_id"), c("co2_g_km").alias("_co2"), c("fuel_type").alias("_fuel"))
     own = listings.join(matched, "listing_id").join(rows, "matched_id", "left")
     listed = F.when((c("co2_g_km") > 0) | (cat.tax_fuel(c("fuel_type")) == "electric"), c("co2_g_km"))
