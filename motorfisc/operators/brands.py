@@ -52,15 +52,25 @@ def named_in_text(df: DataFrame, key: str, text: Column, allowed: Column | None
     return hits.groupBy(key).agg(F.min_by("brand", F.struct(-F.col("width"), F.col("at"))).alias("named"))
 
 
+def _slugs(spark: SparkSession) -> dict[str, str]:
+    """Brand by slug of its spellings; some 60 of fixed values, told by the functions that read slugs of rows."""
+    rows = vocabulary(spark).select(brand_slug(F.col("alias")).alias("s"), "brand").collect()
+    return {s: brand for s, brand in sorted(rows, reverse=True)}
+
+
 def slug_prefix(df: DataFrame, slug: str) -> DataFrame:
-    """Adds ``brand`` and ``consumed``: the longest brand that the hyphen-separated slug starts with, and its words."""
-    v = vocabulary(df.sparkSession).select(brand_slug(F.col("alias")).alias("s"), "brand").dropDuplicates(["s"])
-    v = F.broadcast(v.withColumn("consumed", F.size(F.split("s", "-"))))
-    own = df.withColumn("_id", F.monotonically_increasing_id())
-    prefix = F.array_join(F.slice(F.split(F.lower(F.col(slug)), "-"), F.lit(1), F.col("_w")), "-")
-    hits = own.withColumn("_w", F.explode(F.sequence(F.lit(1), F.lit(LONGEST)))).join(v, (prefix == v["s"]) & (F.col("_w") == v["consumed"]))
-    best = hits.groupBy("_id").agg(F.max_by("brand", "consumed").alias("brand"), F.max("consumed").alias("consumed"))
-    return own.join(best, "_id", "left").drop("_id").withColumn("consumed", F.coalesce("consumed", F.lit(0)))
+    """Adds ``brand`` and ``consumed``: the longest brand that the hyphen-separated slug starts with, and its words.
+
+    Each row is looked up by its first words in a map of fixed values: no join, no shuffle.
+    """
+    known = F.create_map(*[F.lit(x) for pair in _slugs(df.sparkSession).items() for x in pair])
+    words = F.split(F.lower(F.col(slug)), "-")
+    at = lambda w: F.try_element_at(known, F.array_join(F.slice(words, 1, w), "-"))
+    longest = [(w, at(w)) for w in range(LONGEST, 0, -1)]
+    there = lambda w, found: (F.size(words) >= w) & found.isNotNull()
+    brand = F.coalesce(*[F.when(there(w, found), found) for w, found in longest])
+    consumed = F.coalesce(*[F.when(there(w, found), F.lit(w)) for w, found in longest], F.lit(0))
+    return df.withColumns({"brand": brand, "consumed": consumed})
 
 
 def snapped(rows: DataFrame, cutoff: float = 80.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from motorfisc.functions import dims
 from motorfisc.functions import text as txt
 from motorfisc.operators import articles as art
-from motorfisc.operators import brands, corpus, price
+from motorfisc.operators import brands, corpus, load, price
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.plans.table_queries import catalogue, listings
-from motorfisc.sources import readers
+from motorfisc.session import checkpoint_folder
+from motorfisc.sources import readers, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +60,26 @@ def job9_flt17_load_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.load_engines(derive(spark, sf_dir, "engines")).select("engine_id", "source_fingerprint", "variant_index", "review_reason")
 
 
+#: What the titles of crawled variants say of their brand, and the rows of a load with their reasons, one for each key.
+_FILED = {"BMW 3er F30": "BMW", "BMW i3": "BMW", "Opel Astra G": "Opel", "VW Golf VII": "Volkswagen"}
+_CHECKED = f"(SELECT *, CASE WHEN marque IS NULL THEN 'unverified' WHEN marque = crawl_brand THEN 'confirmed' ELSE 'refiled' END AS brand_check, coalesce(marque, crawl_brand) AS brand FROM (SELECT *, {tw.case('title', _FILED, 'NULL')} AS marque FROM {{}}) t)"
+_LOADED = f"SELECT *, {_REVIEW} AS reason FROM {{}} QUALIFY row_number() OVER (PARTITION BY source_fingerprint, variant_index ORDER BY engine_id DESC) = 1"
+
+
+_DIESEL = "(SELECT * REPLACE (co2_min + 50 AS co2_min) FROM w WHERE fuel_type = 'diesel') s"
+_LOADS = f"w AS ({duck(SQL['crawled'])}), e AS (SELECT * FROM {_CHECKED.replace('{}', 'w')}), {_FIXED}, a AS ({_LOADED.replace('{}', 'o')}), e2 AS (SELECT * FROM {_CHECKED.replace('{}', _DIESEL)}), {_FIXED.replace('o AS', 'o2 AS').replace('FROM e)', 'FROM e2)')}, b AS ({_LOADED.replace('{}', 'o2')})"
+
+
+@_query(f"WITH {_LOADS}, u AS (SELECT * FROM b UNION ALL BY NAME SELECT a.* FROM a LEFT JOIN b ON a.source_fingerprint = b.source_fingerprint AND a.variant_index = b.variant_index WHERE b.engine_id IS NULL) SELECT source_fingerprint, variant_index, engine_id, brand, brand_check, co2_min, co2_max, source_order_corrected FROM u WHERE reason IS NULL")
+def job9_snk4_committed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine table after a load of all variants and one of the diesels with other figures: checked, put in, pruned."""
+    path = f"{checkpoint_folder(spark)}/engines-{uuid4().hex}"
+    crawled = derive(spark, sf_dir, "crawled")
+    load.load(spark, path, crawled, "crawl", 0)
+    load.load(spark, path, crawled.where("fuel_type = 'diesel'").withColumn("co2_min", c("co2_min") + 50), "crawl", 1)
+    return versions.read(spark, path).select("source_fingerprint", "variant_index", "engine_id", "brand", "brand_check", "co2_min", "co2_max", "source_order_corrected")
+
+
 @_query(f"WITH {_E}, {_FIXED}, r AS (SELECT *, {_REVIEW} AS reason FROM o QUALIFY row_number() OVER (PARTITION BY source_fingerprint, variant_index ORDER BY engine_id DESC) = 1) SELECT brand, reason, count(*) AS n, count(*) FILTER (WHERE source_order_corrected) AS corrected FROM r GROUP BY ALL")
 def agg11_upsert_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded and reviewed rows by brand and reason."""

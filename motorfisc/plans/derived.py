@@ -81,7 +81,12 @@ SELECT s_suppkey AS vehicle_id, {pick("s_suppkey", ["BMW", "Volkswagen", "Mazda"
        CASE WHEN s_suppkey % 8 <> 0 THEN ADD_DAYS(DATE '2012-01-01', d) END AS registered
 FROM (SELECT *, CAST((s_suppkey * 61) % 3600 AS INT) AS d FROM {{supplier}}) s"""
 
-SQL = {"engines": _ENGINES, "vehicles": _VEHICLES, "offers": _OFFERS, "cars": _CARS, "number_texts": _NUMBERS, "date_texts": _DATES}
+_CRAWLED = f"""
+SELECT engine_id, {pick("engine_id", ["BMW", "Subaru", "Volkswagen", "BMW"])} AS crawl_brand, {pick("engine_id", ["BMW 3er F30", "Opel Astra G", "VW Golf VII", "601 Kombi", "BMW i3"])} AS title, engine_code, production_start, production_end,
+       displacement_cc, power_kw, fuel_type, co2_min, co2_max, source_url, source_fingerprint, variant_index
+FROM ({_ENGINES}) e"""
+
+SQL = {"engines": _ENGINES, "crawled": _CRAWLED, "vehicles": _VEHICLES, "offers": _OFFERS, "cars": _CARS, "number_texts": _NUMBERS, "date_texts": _DATES}
 
 
 def duck(text: str) -> str:

@@ -28,16 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there, which cuts its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that intermediate results are written to, which all executors share.
 
-    The folder is the one in ``spark.checkpoint.dir``; where that is unset, one machine gets a temporary one, and a
-    cluster, whose executors would not share it, an error.
+    It is the one in ``spark.checkpoint.dir``; where that is unset, one machine gets a temporary one, and a cluster,
+    whose executors would not share it, an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it from there, which cuts its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
