@@ -68,6 +68,13 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def shielded(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the columns that have one of the names renamed, and the columns that give back those of ``df`` as they were."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    new = dict(zip(clash, free_names(df, *[f"_given_{c}" for c in clash]), strict=True))
+    return df.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorfisc.llm.common import bounded_sample, crc_mod, table
+from motorfisc.llm.common import bounded_sample, crc_mod, free_names, shielded, table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents that the model is fitted on at most: those of the least hashes of doc_id among the labelled ones.
@@ -178,9 +178,14 @@ def fit(counts: pd.DataFrame, path: str = VOCABULARY) -> SegmentModel:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str = VOCABULARY) -> SegmentModel:
-    """Fits on (text, lang, doc_id) rows with a lang: ``rows`` of them at most, one for each doc_id, words counted on the executors."""
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    chosen = bounded_sample(labelled, rows, "language", "doc_id")
+    """Fits on (text, lang, doc_id) rows with a lang: ``rows`` of them at most, words counted on the executors.
+
+    One row is taken for each doc_id, and one for each text of the rows without a doc_id. Without such rows nothing is
+    learned: the model has no language.
+    """
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("own")
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", own, "lang", "text")
+    chosen = bounded_sample(labelled, rows, "language", "doc_id", "own")
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return fit(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toPandas(), path)
 
@@ -210,8 +215,9 @@ def identify(docs: DataFrame, model: SegmentModel) -> DataFrame:
                     held, size = [], 0
             yield pd.DataFrame({"lang_pred": pd.Series(labels, dtype=object), "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    out = docs.drop("lang_pred", "score").withColumn("_p", predicted("text"))
-    return out.select(*[c for c in out.columns if c != "_p"], "_p.lang_pred", "_p.score")
+    kept = docs.drop("lang_pred", "score")
+    (p,) = free_names(kept, "_p")
+    return kept.withColumn(p, predicted("text")).select(*kept.columns, f"{p}.lang_pred", f"{p}.score")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -220,8 +226,14 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: SegmentModel, least: float = 0.5) -> DataFrame:
-    """The documents with a language of posterior ``least`` or more; columns as they came."""
-    return identify(docs, model).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*docs.columns)
+    """The documents with a language of posterior ``least`` or more; columns and their values as they came.
+
+    A model without a language can't reject: all documents stay.
+    """
+    if not model.languages:
+        return docs
+    given, back = shielded(docs, "lang_pred", "score")
+    return identify(given, model).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(*back)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motorfisc.llm.common import NO_WORD, n_words, settle, table
+from motorfisc.llm.common import NO_WORD, n_words, settle, shielded, table
 
 #: Weights that the sources get in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -16,11 +16,13 @@ SHARDS = 16
 #: Words of a block. A source is cut into LEAST_BLOCKS at least; of very large ones blocks are longer, so that their
 #: number stays below MOST_BLOCKS.
 BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 16, 128, 1 << 20
-#: Parts of a shard that rows are shuffled within.
-CHUNKS = 16
+#: Parts of a shard that rows are shuffled within at least; there are more of them the more words the mix has (one part
+#: has about CHUNK_WORDS) and the more partitions a shuffle has (DEALT parts of all shards for each).
+CHUNKS, CHUNK_WORDS, DEALT = 16, 1 << 22, 8
 SEED = 42
-#: Slices of a source's permuted order, for prefix sums in parallel: 2 ** SLICE_BITS.
-SLICE_BITS = 10
+#: Slices of a source's permuted order, for prefix sums in parallel: 2 ** SLICE_BITS, or more of them with more
+#: documents, so that of evenly spread ones a slice has about SLICE_ROWS at most.
+SLICE_BITS, SLICE_ROWS = 10, 1 << 15
 #: Sources that a draw goes through one after another: more of them are drawn for as groups first, by hash, so many bits a time.
 GROUP, GROUP_BITS = 256, 6
 
@@ -140,7 +142,8 @@ def _draws(targets: DataFrame) -> DataFrame:
     order, that hold its target; the tree deals them out, and each shard draws what its leaf says. The last of a
     source's blocks is cut so that the words drawn are the target rounded to whole words.
     """
-    edge = lambda b: F.floor(b * F.col("source_size") / F.col("blocks")).cast("long")
+    # b * source_size / blocks, which as a product could outgrow a long
+    edge = lambda b: b * F.expr("source_size div blocks") + F.floor(b * (F.col("source_size") % F.col("blocks")) / F.col("blocks")).cast("long")
     units = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("pass")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     units = units.withColumn("lo", edge(F.col("block"))).withColumn("hi", edge(F.col("block") + 1)).where("hi > lo")
     order = Window.partitionBy("id").orderBy("pass", F.xxhash64(F.lit(SEED), "id", "pass", "block"), "block")
@@ -150,9 +153,13 @@ def _draws(targets: DataFrame) -> DataFrame:
     return units.join(leaves, "id").where("rank > first and rank <= last").select("id", "pass", "block", "shard", "lo", F.least(F.col("hi"), F.col("lo") + F.col("left")).alias("hi"))
 
 
+_ADDED = ("source_size", "target", "taken", "draws")
+_OWN = ("_id", "_null", "_h", "_slice", "_end", "_first", "_blocks", "_drawn")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """Documents with ``size``, the words of their text; a column of that name is replaced."""
-    return docs.drop("size").withColumn("size", n_words(F.col("text")))
+    """Documents with ``size``, the words of their text, and ``_salt``, its hash; columns of those names are replaced."""
+    return docs.drop("size", "_salt").withColumn("size", n_words(F.col("text"))).withColumn("_salt", F.xxhash64("text"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -160,7 +167,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     ``draws`` lists what the mix takes of a row, in the order of passes and words: (shard, pass, first, words),
     ``first`` counting words from 0 within the text; ``taken`` is the sum of its words. Each source's words stand in an
-    order permuted by a hash of doc_id, and are cut into blocks of equal size; a splitting tree deals the drawn blocks
+    order permuted by a hash of doc_id and text, and are cut into blocks of equal size; a splitting tree deals the drawn blocks
     out to SHARDS shards, and what it deals is what is taken.
 
     Null texts have size 0 and nothing is taken of them; a null source is a source of its own, the last; repeated rows
@@ -171,66 +178,94 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def place(docs: DataFrame) -> DataFrame:
-    """``mix`` of documents whose ``size`` is given.
+    """``mix`` of documents that are ``sized``."""
+    return _placed(docs)[0]
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, float]:
+    """``mix`` and the words that it takes, of documents that are ``sized``, of which nothing but that is looked at (and doc_id and source).
 
     A source's positions come from sums over slices of its order and a window within a slice, so that a source with
-    most of the rows is spread over 2 ** SLICE_BITS groups. What is drawn of a slice is joined to its rows by the same
+    most of the rows is spread over 2 ** SLICE_BITS groups or more, as are rows without a doc_id or of one doc_id (by
+    their texts; rows that repeat in both are neighbours in one slice). What is drawn of a slice is joined to its rows by the same
     keys as the window's: rows are shuffled once.
     """
-    added = ["source_size", "target", "taken", "draws"]
-    own = docs.drop(*added, "_id", "_null", "_h", "_slice", "_end", "_first", "_blocks", "_drawn")
+    own = docs.drop(*_ADDED, *_OWN)
     own = own.withColumn("_id", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
-    own = own.withColumn("_h", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
+    bits = max(SLICE_BITS, (docs.count() // SLICE_ROWS).bit_length())
+    own = own.withColumn("_h", F.xxhash64(F.lit(SEED), "doc_id", "_salt")).withColumn("_slice", F.shiftright("_h", 64 - bits))
     cell = ["_id", "_null", "_slice"]
     cells = settle(own.groupBy("source", *cell).agg(F.sum("size").alias("words")))
     blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long")
     sources = settle(_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumn("blocks", blocks).withColumn("id", F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"))))
+    goal = sources.agg(F.sum("target")).first()[0] or 0.0
     drawn = settle(_draws(sources.select("id", "source_size", "target", "blocks")).select(F.col("id.name").alias("_id"), F.col("id.none").alias("_null"), "block", F.struct("pass", "lo", "hi", "shard").alias("one")))
     # of every slice its first word, and the draws among its words
     running = F.sum("words").over(Window.partitionBy("_id", "_null").orderBy("_slice"))
     cells = cells.withColumn("_first", running - F.col("words")).join(sources.select(F.col("id.name").alias("_id"), F.col("id.none").alias("_null"), "source_size", "target", F.col("blocks").alias("_blocks")), ["_id", "_null"]).drop("source")
-    at = lambda x: F.floor(x * F.col("_blocks") / F.greatest(F.lit(1), F.col("source_size"))).cast("long")
+    # within one block of the right one, which is looked at as well
+    at = lambda x: F.floor(x / F.greatest(F.lit(1), F.col("source_size")) * F.col("_blocks")).cast("long")
     near = cells.where("words > 0").select(*cell, F.explode(F.sequence(F.greatest(F.lit(0), at(F.col("_first")) - 1), F.least(F.col("_blocks"), at(F.col("_first") + F.col("words")) + 1))).alias("block"))
     lists = near.join(drawn, ["_id", "_null", "block"]).groupBy(*cell).agg(F.array_sort(F.collect_list("one")).alias("_drawn"))
     cells = settle(cells.drop("words").join(lists, cell, "left"))
-    within = Window.partitionBy(*cell).orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*cell).orderBy("_h", "doc_id", "_salt", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = own.withColumn("_end", F.sum("size").over(within)).join(cells, cell).withColumn("_end", F.col("_end") + F.col("_first"))
     start = "(_end - size)"
     overlaps = f"transform(filter(coalesce(_drawn, array()), b -> b.lo < _end AND b.hi > {start}), b -> named_struct('shard', b.shard, 'pass', b.pass, 'first', greatest(b.lo, {start}) - {start}, 'words', least(b.hi, _end) - greatest(b.lo, {start})))"
     placed = placed.withColumn("draws", F.expr(overlaps))
-    return placed.withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")).select(*[c for c in own.columns if c not in (*cell, "_h")], "source_size", "target", "taken", "draws")
+    return placed.withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")).select(*[c for c in own.columns if c not in (*cell, "_h", "_salt")], "source_size", "target", "taken", "draws"), goal
+
+
+def chunks_of(words: float, partitions: int) -> int:
+    """Parts of a shard of a mix of so many words."""
+    return max(CHUNKS, -(-DEALT * partitions // SHARDS), int(-(-words // (SHARDS * CHUNK_WORDS))))
+
+
+def _chunks(mixed: DataFrame) -> int:
+    return chunks_of(mixed.agg(F.sum("taken")).first()[0] or 0, int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """What the mix takes, as documents: a row for each pass over a document, with the columns of ``docs``.
 
     A text that a pass takes whole stays as it is. Of the others the taken words are kept, joined by spaces. ``n_chars``,
-    where there is one, counts the characters of the new text. The rows are laid out by shard and shuffled within, as
-    ``laid_out`` does it; a document stays whole and stands in the shard of its first draw in the pass.
+    where there is one, counts the characters of the new text; all other columns keep their values. The rows are laid out
+    by shard and shuffled within, as ``laid_out`` does it; a document stays whole and stands in the shard of its first
+    draw in the pass. Null and empty texts are taken by no pass; repeated rows are taken like any other; an empty table
+    gives an empty one.
     """
+    given, back = shielded(docs, "size", "_size", "_draws", "_shard", "_chunk", "_salt", *_ADDED, *_OWN)
     passes = F.expr("filter(transform(sequence(0, %d), i -> filter(draws, d -> d.pass = i)), x -> size(x) > 0)" % (PASSES - 1))
-    taken = mix(docs).select(*docs.columns, F.col("size").alias("_size"), F.explode(passes).alias("_draws"))
-    taken = _dealt(taken, F.col("_draws")[0])
+    mixed, goal = _placed(sized(given))
+    chunks = chunks_of(goal, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    taken = mixed.select(*given.columns, F.col("size").alias("_size"), F.explode(passes).alias("_draws"))
+    taken = _dealt(taken, F.col("_draws")[0], chunks)
     words = F.split(F.regexp_replace("text", f"^{NO_WORD}", ""), NO_WORD)
     some = F.array_join(F.flatten(F.transform("_draws", lambda d: F.slice(words, (d["first"] + 1).cast("int"), d["words"].cast("int")))), " ")
     whole = F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]) == F.col("_size")
     out = taken.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
-def _dealt(rows: DataFrame, draw: Column) -> DataFrame:
+def _dealt(rows: DataFrame, draw: Column, chunks: int) -> DataFrame:
     """Rows dealt out by the shard of a draw and by chunk, and shuffled within, with ``_shard`` and ``_chunk`` added."""
-    order = F.xxhash64(F.lit(SEED), "doc_id", draw["pass"], draw["first"])
-    placed = rows.withColumn("_shard", draw["shard"]).withColumn("_chunk", F.pmod(order, F.lit(CHUNKS)))
+    order = F.xxhash64(F.lit(SEED), "doc_id", "text", draw["pass"], draw["first"])
+    placed = rows.withColumn("_shard", draw["shard"]).withColumn("_chunk", F.pmod(order, F.lit(chunks)))
     return placed.repartition("_shard", "_chunk").sortWithinPartitions("_shard", "_chunk", order)
 
 
-def laid_out(mixed: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """The draws of ``mix`` one a row, dealt out by shard and chunk and shuffled within: ready to be written by shard."""
+def laid_out(mixed: DataFrame, chunks: int | None = None) -> DataFrame:
+    """The draws of ``mix`` one a row, dealt out by shard and chunk and shuffled within: ready to be written by shard.
+
+    Without ``chunks`` there are as many as the words of the mix and the session's shuffle partitions ask for. Rows of
+    which nothing is taken have no draws and so no row; an empty mix gives an empty table.
+    """
+    chunks = _chunks(mixed) if chunks is None else chunks
     draws = mixed.select("*", F.explode("draws").alias("d")).select(*[c for c in mixed.columns if c != "draws"], "d.*")
-    order = F.xxhash64(F.lit(SEED), "doc_id", "pass", "first")
+    salt = ["text"] if "text" in mixed.columns else []
+    order = F.xxhash64(F.lit(SEED), "doc_id", *salt, "pass", "first")
     return draws.withColumn("chunk", F.pmod(order, F.lit(chunks))).repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", order)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from motorfisc.llm.common import settle, table
+from motorfisc.llm.common import settle, shielded, table
 from motorfisc.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 64
@@ -117,7 +117,7 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each component: that of the smallest doc_id; columns as they came.
+    """The documents with one row of each component: that of the smallest doc_id; columns and their values as they came.
 
     Of several rows with that doc_id, or in a component without any, the one with the least hash of its columns (maps
     aside) stays. The least row is aggregated by fingerprint before it is by component. Null and blank texts are one
@@ -126,7 +126,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts are read twice and not shuffled unless the list of the rows that go outgrows a broadcast: only hashes of
     rows are compared. Of a row that stays and occurs more than once, its repeats are taken out in a step of their own.
     """
-    row = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    docs, back = shielded(docs, "_row", "_kept", "fp", "n")
+    row = F.xxhash64(*[f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     marked = settle(docs.select("doc_id", row.alias("_row"), fingerprint("text").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     group = _grouped(settle(marked.groupBy("fp").agg(first.alias("first"))))
@@ -138,7 +139,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     out = own.join(F.broadcast(left_out) if left_out.count() <= BROADCAST_ROWS else left_out, "_row", "left_anti")
     if not again.isEmpty():
         out = out.unionByName(own.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from motorfisc.llm.common import bounded_sample, crc_mod, table
+from motorfisc.llm.common import bounded_sample, crc_mod, shielded, table
 
 #: Features are hashed into 2 ** HASH_BITS places; the last one is the constant.
 HASH_BITS = 20
@@ -142,8 +142,14 @@ def training_rows(labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The documents that are not predicted toxic; columns as they came."""
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+    """The documents that are not predicted toxic; columns and their values as they came.
+
+    A model without weights (no label, or too few for any weight) can't reject: all documents stay.
+    """
+    if not len(model[0]):
+        return docs
+    given, back = shielded(docs, "score", "predicted")
+    return score(given, model).where("predicted = 0").select(*back)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,14 +76,14 @@ def k_means(points: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
 def search_blocks(queries: DataFrame, rows: DataFrame, key: str, search: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kind: str, keys: int) -> DataFrame:
     """Calls ``search`` on each block of queries with each block of rows of the same key: (query_id, vec_id, score).
 
-    A key with many rows or queries is cut into blocks by a hash of the id, so that one very common vector spreads
-    over as many tasks as its rows need. ``keys`` is the number of keys that there can be: the table of blocks by key,
+    A key with many rows or queries is cut into blocks by a hash of the id and vector, so that one very common
+    vector, or id, spreads over as many tasks as its rows need. ``keys`` is the number of keys that there can be: the table of blocks by key,
     which is broadcast, has no more rows than that.
     """
     by = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     parts = by(queries, "query_parts").join(by(rows, "row_parts"), key)
     parts = F.broadcast(parts.limit(keys))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.join(parts, key).select("*", block("query_parts").alias("query_block"), every("row_parts").alias("row_block"))
     right = rows.join(parts, key).select("*", block("row_parts").alias("row_block"), every("query_parts").alias("query_block"))
