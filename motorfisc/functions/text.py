@@ -177,9 +177,16 @@ def vin(text: Column) -> Column:
     return F.when(up.rlike("^[A-HJ-NPR-Z0-9]{11,17}$"), up)
 
 
+def unescaped(text: Column) -> Column:
+    """A link's text with percent codes decoded (where they are all right), non-breaking spaces and underscores as spaces, single spaces."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    spaced = F.translate(F.regexp_replace(decoded, "(?i)&nbsp;|&#160;", " "), "_\u00a0", "  ")
+    return F.trim(F.regexp_replace(F.replace(spaced, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+
+
 def page_title(text: Column) -> Column:
-    """An article title: underscores as spaces, single spaces, first letter upper case."""
-    plain = F.trim(F.regexp_replace(F.replace(text, F.lit("_"), F.lit(" ")), r"\s+", " "))
+    """An article title: as ``unescaped``, without colons before it, first letter upper case."""
+    plain = F.ltrim(F.regexp_replace(unescaped(text), "^:+", ""))
     return F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 10_000))
 
 

@@ -19,6 +19,10 @@ DENIED = ["konzeptfahrzeug", "konzeptauto", "konzeptstudie", "studien", "motorra
 ATTRIBUTES = ["bauzeit", "hubraum", "leistung", "drehmoment", "abgasnorm", "kraftstoff", "verbrauch", "emission", "getriebe", "beschleunigung", "höchstgeschwindigkeit", "motor"]
 
 
+#: A link, and the template that names a section's main article.
+PLAIN_LINK, MAIN_LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", r"(?i)\{\{(?:hauptartikel|main|siehe hauptartikel)\|([^}|]+)[^}]*\}\}"
+
+
 def sections(articles: DataFrame) -> DataFrame:
     """(title, pos, heading, body) of the level-2 sections."""
     parts = F.split("wikitext", r"(?m)^==(?!=)")
@@ -35,20 +39,32 @@ def links(found: DataFrame) -> DataFrame:
 
     Links into other namespaces and projects are left out.
     """
-    plain, main = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", r"(?i)\{\{(?:hauptartikel|main|siehe hauptartikel)\|([^}|]+)[^}]*\}\}"
-    targets = F.concat(F.regexp_extract_all("body", F.lit(main), F.lit(1)), F.regexp_extract_all("body", F.lit(plain), F.lit(1)))
+    targets = F.concat(F.regexp_extract_all("body", F.lit(MAIN_LINK), F.lit(1)), F.regexp_extract_all("body", F.lit(PLAIN_LINK), F.lit(1)))
     each = found.select("title", "pos", F.posexplode(targets).alias("at", "raw"))
-    name, anchor = txt.page_title(F.regexp_replace(F.split_part("raw", F.lit("#"), F.lit(1)), "^:+", "")), F.trim(F.replace(F.split_part("raw", F.lit("#"), F.lit(2)), F.lit("_"), F.lit(" ")))
-    each = each.select("title", "pos", "at", name.alias("target"), F.nullif(anchor, F.lit("")).alias("anchor"))
-    space = F.lower(F.trim(F.split_part("target", F.lit(":"), F.lit(1))))
-    each = each.where((c("target") != "") & ~(F.contains("target", F.lit(":")) & space.isin(NAMESPACES)))
+    name, anchor = link_parts(c("raw"))
+    each = each.select("title", "pos", "at", name.alias("target"), anchor.alias("anchor")).where(is_article(c("target")))
     return last_by(each, ["title", "target", "anchor"], [c("pos"), c("at")])
 
 
+def link_parts(raw: Column) -> tuple[Column, Column]:
+    """The title that a link names, and its anchor (null without one)."""
+    return txt.page_title(F.split_part(raw, F.lit("#"), F.lit(1))), F.nullif(txt.unescaped(F.split_part(raw, F.lit("#"), F.lit(2))), F.lit(""))
+
+
+def is_article(target: Column) -> Column:
+    """Whether a title is one, and not in a namespace or project of its own."""
+    space = F.lower(F.trim(F.split_part(target, F.lit(":"), F.lit(1))))
+    return (target != "") & ~(F.contains(target, F.lit(":")) & space.isin(NAMESPACES))
+
+
 def brand_links(found: DataFrame, brand: Column) -> DataFrame:
     """Links that start with the brand and aren't lists of something else."""
-    denied = F.exists(F.array(*[F.lit(w) for w in DENIED]), lambda w: F.contains(F.lower("target"), w))
-    return found.where(F.startswith(F.lower("target"), F.lower(brand)) & ~denied)
+    return found.where(F.startswith(F.lower("target"), F.lower(brand)) & ~denied(c("target")))
+
+
+def denied(target: Column) -> Column:
+    """Whether a title lists something else than cars."""
+    return F.exists(F.array(*[F.lit(w) for w in DENIED]), lambda w: F.contains(F.lower(target), w))
 
 
 def outer_tables(part: Column) -> Column:
@@ -162,7 +178,7 @@ def for_anchor(found: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _followed(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_f, _t, hops) -> the same followed to the end, and the rows that no end is found for, as they lead into loops.
+    """(_f, _t, hops, frag) -> the same followed to the end, with the last fragment on the way, and the rows that no end is found for, as they lead into loops.
 
     Pointers are doubled, so that rounds grow with the logarithm of the longest chain. A round in which no row comes to
     its end proves that the others have none: a longer chain would have its own tail among the rows. The loop rows are
@@ -171,8 +187,8 @@ def _followed(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
     done, rows, before = None, settled(hops), None
     while True:
         ahead = rows if done is None else rows.unionByName(done)
-        step = rows.join(ahead.select(c("_f").alias("_g"), c("_t").alias("_u"), c("hops").alias("_m")), c("_t") == c("_g"), "left")
-        step = settled(step.select("_f", F.coalesce("_u", "_t").alias("_t"), (c("hops") + F.coalesce("_m", F.lit(0))).alias("hops"), c("_u").isNotNull().alias("_open")))
+        step = rows.join(ahead.select(c("_f").alias("_g"), c("_t").alias("_u"), c("hops").alias("_m"), c("frag").alias("_n")), c("_t") == c("_g"), "left")
+        step = settled(step.select("_f", F.coalesce("_u", "_t").alias("_t"), (c("hops") + F.coalesce("_m", F.lit(0))).alias("hops"), F.coalesce("_n", "frag").alias("frag"), c("_u").isNotNull().alias("_open")))
         ended = step.where(~c("_open")).drop("_open")
         done, rows = ended if done is None else settled(done.unionByName(ended)), step.where("_open").drop("_open")
         count = rows.count()
@@ -180,7 +196,7 @@ def _followed(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         before = count
     for _ in range(count.bit_length()):
-        rows = settled(rows.alias("a").join(rows.alias("b"), c("a._t") == c("b._f")).select("a._f", "b._t", (c("a.hops") + c("b.hops")).alias("hops")))
+        rows = settled(rows.alias("a").join(rows.alias("b"), c("a._t") == c("b._f")).select("a._f", "b._t", (c("a.hops") + c("b.hops")).alias("hops"), "a.frag"))
     return done, rows
 
 
@@ -195,18 +211,25 @@ def _loops(r: DataFrame, cyclic: DataFrame) -> DataFrame:
 
 
 def resolved(titles: DataFrame, redirects: DataFrame) -> DataFrame:
-    """(title, final, hops): titles followed through redirects until there is none or the next title was seen before."""
-    r = settled(redirects.where("from_title is not null and to_title is not null and from_title <> to_title").groupBy(c("from_title").alias("_f")).agg(F.min("to_title").alias("_t")).withColumn("hops", F.lit(1).cast("long")))
+    """(title, final, hops, fragment): titles followed through redirects until there is none or the next title was seen before.
+
+    ``fragment`` is the last one that a redirect on the way names, where redirects have such a column (to_fragment); it
+    is null for titles that lead into a loop.
+    """
+    named = c("to_fragment") if "to_fragment" in redirects.columns else F.lit(None)
+    first = F.min(F.struct(c("to_title").alias("_t"), F.nullif(named.cast("string"), F.lit("")).alias("frag")))
+    given = redirects.where("from_title is not null and to_title is not null and from_title <> to_title").groupBy(c("from_title").alias("_f")).agg(first.alias("x"))
+    r = settled(given.select("_f", "x._t", F.lit(1).cast("long").alias("hops"), "x.frag"))
     found, stuck = _followed(r)
     if not stuck.isEmpty():
         cyclic = settled(stuck.select(c("_t").alias("_f")).distinct())
         loops = _loops(r, cyclic)
         tails = _followed(r.join(stuck, "_f", "left_semi").join(cyclic, "_f", "left_anti"))[0]
-        entered = tails.unionByName(cyclic.select("_f", c("_f").alias("_t"), F.lit(0).cast("long").alias("hops")))
-        ended = entered.alias("a").join(loops.alias("b"), c("a._t") == c("b._f")).select("a._f", c("b.last").alias("_t"), (c("a.hops") + c("b.turn")).alias("hops"))
+        entered = tails.drop("frag").unionByName(cyclic.select("_f", c("_f").alias("_t"), F.lit(0).cast("long").alias("hops")))
+        ended = entered.alias("a").join(loops.alias("b"), c("a._t") == c("b._f")).select("a._f", c("b.last").alias("_t"), (c("a.hops") + c("b.turn")).alias("hops"), F.lit(None).cast("string").alias("frag"))
         found = found.unionByName(ended)
     out = titles.select("title").join(found, c("title") == c("_f"), "left")
-    return out.select("title", F.coalesce("_t", "title").alias("final"), F.coalesce("hops", F.lit(0)).cast("int").alias("hops"))
+    return out.select("title", F.coalesce("_t", "title").alias("final"), F.coalesce("hops", F.lit(0)).cast("int").alias("hops"), c("frag").alias("fragment"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorfisc.operators import articles as art
+from motorfisc.operators import harvest as hv
 from motorfisc.operators import listings as lst
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.session import table
@@ -150,7 +151,7 @@ def agg16_prefilter_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _redirected(people: DataFrame, asked: DataFrame) -> DataFrame:
     hops = people.where("c_custkey % 10 > 0").select(c("c_custkey").cast("string").alias("from_title"), (c("c_custkey") - 1).cast("string").alias("to_title"))
     loops = people.where("c_custkey % 10 = 0").select(c("c_custkey").cast("string").alias("from_title"), c("c_custkey").cast("string").alias("to_title"))
-    found = art.resolved(asked.select(c("c_custkey").cast("string").alias("title")), hops.unionByName(loops))
+    found = art.resolved(asked.select(c("c_custkey").cast("string").alias("title")), hops.unionByName(loops)).drop("fragment")
     return found.select(c("title").cast("long").alias("title"), c("final").cast("long").alias("final"), "hops")
 
 
@@ -175,3 +176,52 @@ def jn10_jn17_resolved_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with what is stored for them, missing ones kept and marked."""
     stored = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return table(spark, sf_dir, "customer").join(stored, c("c_custkey") == c("o_custkey"), "left").select(c("c_custkey").alias("id"), F.when(c("n").isNull(), "not_found").otherwise("ok").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_K = "(SELECT p_partkey AS id, CAST(p_partkey AS STRING_TYPE) AS k, CAST(p_partkey + 1 AS STRING_TYPE) AS j FROM {part})"
+_ARTICLES = {
+    "'Marke ', k": "'== Modelle ==', NL, '{{Hauptartikel|Liste ', k, '}} {{Hauptartikel|Marke ', j, '}} {{Hauptartikel|Motorrad ', k, '}}', NL, '* [[Marke ', k, ' Uno]] [[Kurz ', k, ']] [[Fremd ', k, ']] [[Marke%20', k, '_Uno|x]]', NL, '== Anderes ==', NL, '[[Marke ', k, ' Nie]]'",
+    "'Liste ', k": "'== PKW ==', NL, '[[Marke ', k, ' Due#Motoren]] {{Hauptartikel|Liste ', k, ' b}} [[Marke ', k, ' Uno]]'",
+    "'Liste ', k, ' b'": "'== X ==', NL, '[[Marke ', k, ' Tre]] {{Hauptartikel|Liste ', k, '}} {{Hauptartikel|Liste ', k, ' c}}'",
+    "'Liste ', k, ' c'": "'== Y ==', NL, '[[Marke ', k, ' Zu weit]]'",
+    **{f"'Marke ', k, ' {x}'": "'text'" for x in ("Uno", "Due", "Vier")},
+    "'Fremd ', k": "'text'",
+}
+SQL["harvest_articles"] = " UNION ALL ".join([*(f"SELECT concat({t}) AS title, concat({w}) AS wikitext FROM {_K} p" for t, w in _ARTICLES.items()), f"SELECT concat('Marke ', k, ' Tre') AS title, 'text' AS wikitext FROM {_K} p WHERE id % 3 > 0"]).replace("NL", "chr(10)")
+SQL["harvest_redirects"] = f"SELECT concat('Kurz ', k) AS from_title, concat('Kurz alt ', k) AS to_title, CASE WHEN id % 2 = 0 THEN 'Erst' END AS to_fragment FROM {_K} p UNION ALL SELECT concat('Kurz alt ', k), concat('Marke ', k, ' Vier'), CASE WHEN id % 4 < 2 THEN 'Zweiter_Teil' END FROM {_K} p"
+SQL["harvest_brands"] = f"SELECT concat('B', k) AS brand, concat('Marke ', k) AS title, concat('Marke ', k) AS prefix FROM {_K} p"
+
+#: The links that were laid out, walked over two hops, and followed through redirects.
+_EDGES = " UNION ALL ".join(
+    f"SELECT 'B' || k AS brand, 'Marke ' || k AS prefix, {src} AS src, {target} AS target, {anchor} AS anchor, {main} AS main FROM p"
+    for src, target, anchor, main in [
+        *[("'Marke ' || k", t, "NULL", m) for t, m in (("'Liste ' || k", "true"), ("'Marke ' || j", "true"), ("'Motorrad ' || k", "true"), ("'Marke ' || k || ' Uno'", "false"), ("'Kurz ' || k", "false"), ("'Fremd ' || k", "false"))],
+        ("'Liste ' || k", "'Marke ' || k || ' Due'", "'Motoren'", "false"), ("'Liste ' || k", "'Liste ' || k || ' b'", "NULL", "true"), ("'Liste ' || k", "'Marke ' || k || ' Uno'", "NULL", "false"),
+        ("'Liste ' || k || ' b'", "'Marke ' || k || ' Tre'", "NULL", "false"), ("'Liste ' || k || ' b'", "'Liste ' || k", "NULL", "true"), ("'Liste ' || k || ' b'", "'Liste ' || k || ' c'", "NULL", "true"), ("'Liste ' || k || ' c'", "'Marke ' || k || ' Zu weit'", "NULL", "false"),
+    ]
+)
+_WALK = f"""WITH RECURSIVE p AS {duck(_K)}, a AS ({duck(SQL['harvest_articles'])}), r AS ({duck(SQL['harvest_redirects'])}), e AS ({_EDGES}),
+f AS (SELECT 'B' || k AS brand, 'Marke ' || k AS title, 0 AS depth FROM p UNION SELECT f.brand, e.target, f.depth + 1 FROM f JOIN e ON e.brand = f.brand AND e.src = f.title WHERE e.main AND f.depth < 2 AND NOT starts_with(e.target, e.prefix) AND e.target NOT IN (SELECT 'Marke ' || k FROM p) AND NOT contains(lower(e.target), 'motorrad')),
+w AS (SELECT from_title AS title, to_title AS final, to_fragment AS fragment FROM r UNION ALL SELECT w.title, r.to_title, coalesce(r.to_fragment, w.fragment) FROM w JOIN r ON r.from_title = w.final),
+x AS (SELECT title, final, fragment FROM w WHERE final NOT IN (SELECT from_title FROM r)),
+l AS (SELECT e.brand, e.prefix, e.target, e.anchor, f.depth, NOT (e.main OR starts_with(e.target, e.prefix)) AS rescued, coalesce(x.final, e.target) AS final, x.fragment, coalesce(x.final, e.target) IN (SELECT title FROM a) AS there FROM f JOIN e ON e.brand = f.brand AND e.src = f.title LEFT JOIN x ON x.title = e.target),
+h AS (SELECT brand, CASE WHEN there THEN final ELSE target END AS title, CASE WHEN there THEN coalesce(anchor, replace(fragment, '_', ' ')) ELSE anchor END AS anchor, CASE WHEN there THEN 'ok' ELSE 'missing' END AS state, rescued, depth FROM l WHERE NOT rescued OR depth = 0 AND there AND starts_with(final, prefix)),
+g AS (SELECT brand, title, anchor, state, min(rescued) AS rescued, min(depth) AS depth FROM h GROUP BY ALL)"""
+
+
+def _harvest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    brands = derive(spark, sf_dir, "harvest_brands").select("brand", "title", F.array("prefix").alias("prefixes"))
+    texts = derive(spark, sf_dir, "harvest_articles")
+    return brands, texts, hv.harvest(brands, texts, derive(spark, sf_dir, "harvest_redirects"), hops=2)
+
+
+@_query(f"{_WALK} SELECT * FROM g")
+def job7_jn17_flt13_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model articles of every brand, two index hops deep, with short names rescued by redirects and their last fragments."""
+    return _harvest(spark, sf_dir)[2]
+
+
+@_query(f"{_WALK} SELECT brand, CAST(4 AS BIGINT) AS direct, count(*) AS pairs, count(*) FILTER (WHERE rescued) AS rescued, count(*) FILTER (WHERE depth > 0) AS from_index, count(*) FILTER (WHERE state = 'missing') AS missing, count(DISTINCT CASE WHEN state = 'ok' THEN title END) AS articles, true AS escalate FROM g GROUP BY brand")
+def job7_agg13_harvest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the harvest of each brand found, and how."""
+    return hv.report(*_harvest(spark, sf_dir))
