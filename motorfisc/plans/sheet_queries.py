@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from motorfisc.functions import categories as cat
 from motorfisc.functions import dims
 from motorfisc.functions import text as txt
-from motorfisc.operators import sheets
+from motorfisc.operators import ingest, sheets
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
-from motorfisc.session import settled
+from motorfisc.session import checkpoint_folder, settled
+from motorfisc.sources import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +126,64 @@ def job3_catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = sheets.canonical_rows(sheet_cells(spark, sf_dir), mapping(spark), files(spark, sf_dir))
     rows = sheets.catalogue_rows(canonical, cat.file_standard(F.lit(2019)))
     return rows.select("file", "sheet", "source_row", "brand", "model", "variant", "price_eur", "co2_g_km", "fuel_type", "match_key")
+
+
+#: Layouts of sheets besides the first one: header names that differ, and what there is of a mapping for them.
+_OTHER = {
+    "renamed": ({"full_name": "TRGOVAČKI NAZIV"}, ("ok", 0.9, {})),
+    "unmapped": ({"full_name": "OPIS"}, None),
+    "unsure": ({"full_name": "NAZIV VOZILA"}, ("ok", 0.5, {})),
+    "invented": ({"full_name": "IME"}, ("ok", 0.9, {"model_name": "NEMA"})),
+}
+_NUMBER = "CAST(substr(file, 7) AS INT)"
+_LAYOUT = f"CASE WHEN {_NUMBER} % 5 = 0 THEN 'renamed' WHEN {_NUMBER} % 5 = 2 AND sheet = 'B' THEN 'unmapped' WHEN {_NUMBER} % 5 = 3 AND sheet = 'A' THEN 'unsure' WHEN {_NUMBER} % 5 = 4 THEN 'invented' ELSE 'first' END"
+_FOLDER = f"CASE {_NUMBER} % 4 WHEN 0 THEN 'bmw-mini' WHEN 1 THEN 'toyota' WHEN 2 THEN 'citroën-ds' ELSE 'elsewhere' END"
+
+
+def _header(layout: str) -> list[str]:
+    return [_OTHER[layout][0].get(f, h) for f, h in zip(FIELDS, HEADER, strict=True)]
+
+
+def sheets_of_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of ``sheet_cells`` in several layouts: other header names, and in one of them the columns the other way round."""
+    names = F.create_map(*[F.lit(x) for k in _OTHER for x in (f"{k}/{FIELDS.index('full_name')}", _OTHER[k][0]["full_name"])])
+    laid = sheet_cells(spark, sf_dir).withColumn("layout", F.expr(_LAYOUT))
+    renamed = F.when(F.col("row_idx") == 1, F.try_element_at(names, F.concat_ws("/", "layout", F.col("col_idx").cast("string"))))
+    turned = F.when((F.col("layout") == "renamed") & (F.col("row_idx") > 0), len(HEADER) - 1 - F.col("col_idx")).otherwise(F.col("col_idx"))
+    return laid.select("file", "sheet", "row_idx", turned.alias("col_idx"), F.coalesce(renamed, "value").alias("value"), "kind")
+
+
+def mappings(spark: SparkSession) -> DataFrame:
+    """The mappings of the layouts that have one."""
+    out = mapping(spark)
+    for name, (_, entry) in _OTHER.items():
+        if entry:
+            status, confidence, wrong = entry
+            fields = dict(zip(FIELDS, _header(name), strict=True)) | wrong
+            df = spark.createDataFrame([(status, "HRK", confidence, fields)], "status string, price_currency string, confidence double, fields map<string,string>")
+            out = out.unionByName(df.withColumn("fingerprint", txt.header_fingerprint(F.array(*[F.lit(h) for h in _header(name)]))))
+    return out
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).withColumn("folder", F.expr(_FOLDER))
+
+
+_SNAP = f"CASE {_NUMBER} % 4 WHEN 1 THEN 'Toyota' WHEN 2 THEN NULL ELSE brand END"
+_OUTCOMES = f"""{_CANON}, s AS (SELECT * REPLACE ({_SNAP} AS brand), {_LAYOUT} AS layout FROM canon), f AS (SELECT *, coalesce({tw.engine_word_fuel(_TEXT)}, {tw.badge_fuel(_TEXT, 'brand')}, {_STORED}) AS fuel_type FROM s),
+o AS (SELECT *, CASE WHEN file = 'Brand#7' THEN 'file:no_valid_from' WHEN layout = 'unmapped' THEN 'sheet:no_mapping' WHEN layout = 'unsure' THEN 'sheet:low_confidence' WHEN layout = 'invented' THEN 'sheet:unknown_header' WHEN skip_reason IS NOT NULL THEN 'row:' || skip_reason WHEN brand IS NULL THEN 'row:brand_not_allowed' WHEN fuel_type IS NULL THEN 'row:no_fuel' ELSE 'kept' END AS outcome FROM f)"""
+
+
+@_query(f"{_OUTCOMES} SELECT file, sheet, outcome, count(*) AS n FROM o GROUP BY ALL")
+def job3_flt22_flt24_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of sheets in five layouts by what became of them: kept, or quarantined by file, sheet or row."""
+    found = ingest.outcomes(sheets_of_layouts(spark, sf_dir), mappings(spark), manifest(spark, sf_dir))
+    return found.groupBy("file", "sheet", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"{_OUTCOMES}, k AS (SELECT *, coalesce(series, model_name) AS model, full_name AS variant FROM o WHERE outcome = 'kept'), m AS (SELECT *, {tw.match_key('brand', 'model', 'variant')} AS match_key FROM k QUALIFY row_number() OVER (PARTITION BY file, {tw.match_key('brand', 'model', 'variant')} ORDER BY sheet DESC, source_row DESC) = 1) SELECT brand, model, variant, valid_from, match_key, price_eur, co2_g_km, 'NEDC' AS co2_standard, fuel_type, power_kw, file AS source_file FROM m QUALIFY row_number() OVER (PARTITION BY brand, model, variant, valid_from ORDER BY file DESC, sheet DESC, source_row DESC) = 1")
+def job3_snk1_ingested_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue after an ingest of all sheets: read, snapped to the folder's brands, put in by key."""
+    path = f"{checkpoint_folder(spark)}/catalogue-{uuid4().hex}"
+    ingest.ingest(spark, path, sheets_of_layouts(spark, sf_dir), mappings(spark), manifest(spark, sf_dir), "ingest", 0)
+    return versions.read(spark, path).select("brand", "model", "variant", "valid_from", "match_key", "price_eur", "co2_g_km", "co2_standard", "fuel_type", "power_kw", "source_file")

@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorfisc.functions.text import unmarked
+
 MANIFEST = "url string, path string, brand string, year int, filename string"
 STORE = "status:string,price_currency:string,confidence:double,fields:map<string,string>"
 TRIPWIRE = "tripwire array<struct<brand:string,article_title:string,heading_context:string,source_url:string,co2_shaped_matches:array<string>,variants_returned:int>>"
 VARIANTS = "array<struct<engine_code:string,production_start:string,production_end:string,displacement_cc:double,power_kw:double,fuel_type:string,co2_min:double,co2_max:double>>"
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
+def manifest(spark: SparkSession, path: str, brand: str | None = None) -> DataFrame:
     """Manifest lines of a file; see ``manifest_lines``."""
-    return manifest_lines(spark.read.text(path))
+    return manifest_lines(spark.read.text(path), brand)
+
+
+def manifest_lines(lines: DataFrame, brand: str | None = None) -> DataFrame:
+    """(value) JSON lines -> manifest rows, all or those of a brand, which may be given as a slug; unreadable lines are left out."""
+    rows = _manifest(lines).where("reason is null").select("m.*")
+    slug = lambda x: F.regexp_replace(unmarked(x), "[^a-z0-9]+", "-")
+    return rows if brand is None else rows.where((F.col("brand") == brand) | (slug(F.col("brand")) == slug(F.lit(brand))))
+
+
+def manifest_rest(lines: DataFrame) -> DataFrame:
+    """(value) JSON lines -> (value, reason) of those that ``manifest_lines`` leaves out; blank lines are no lines."""
+    return _manifest(lines).where("reason is not null").select("value", "reason")
 
 
-def manifest_lines(lines: DataFrame) -> DataFrame:
-    """(value) JSON lines -> manifest rows; a line that can't be read is left out."""
-    read = F.from_json("value", MANIFEST)
-    return lines.select(read.alias("m")).where("m is not null and m.path is not null").select("m.*")
+def _manifest(lines: DataFrame) -> DataFrame:
+    read = lines.where(F.trim("value") != "").withColumn("m", F.from_json("value", f"{MANIFEST}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    reason = F.when(F.col("m").isNull() | F.col("m._bad").isNotNull(), "no JSON object of this form").when(F.col("m.path").isNull(), "no path")
+    return read.select("value", F.col("m").dropFields("_bad").alias("m"), reason.alias("reason"))
 
 
 def mapping_store(spark: SparkSession, path: str) -> DataFrame:
