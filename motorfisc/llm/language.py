@@ -25,12 +25,12 @@ FLOOR = 1e-8
 #: After so many letters the sums of a word are scaled anew, which keeps them within the range of doubles.
 _RESCALE = 8
 #: Letters of the words whose lattices are held at once.
-_BATCH = 1 << 17
+_BATCH = 1 << 16
 UNDECIDED = "und"
 _LETTERS = regex.compile(r"\p{L}+").findall
 _MARK = "▁"
-_KEPT = 300_000
-_HELD = 2_000_000
+_KEPT = 200_000
+_HELD = 500_000
 
 
 @cache

@@ -17,7 +17,7 @@ from motorfisc.llm.tokens import VOCABULARY, merges
 CAPACITIES = (512, 1024, 2048)
 OVERHEAD = 64
 #: Pieces, and characters of theirs, that are packed together at most; a partition with more is packed in several rounds.
-WINDOW, WINDOW_CHARS = 1 << 16, 1 << 22
+WINDOW, WINDOW_CHARS = 1 << 16, 1 << 21
 _OUT = 4096
 _SCHEMA = "doc_id long, no_id boolean, n_tokens long, piece long, text string, tokens long, bin_id long, capacity int, bin_offset int"
 

@@ -20,7 +20,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Tokens that a document may have before it counts as over the limit.
 LIMIT = 512
 #: Characters whose pre-tokens are held at once, and counts that a worker keeps.
-_HELD, _KEPT = 2_000_000, 200_000
+_HELD, _KEPT = 1_000_000, 150_000
 #: Longest word that is known as a whole, rather than by its pre-tokens.
 _UNIT = 48
 _NONE = np.int64(1) << 40

@@ -21,7 +21,7 @@ HASH_BITS = 20
 TRAIN_ROWS = 8_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.1, 3
 _WORDS = regex.compile(r"\p{L}+").findall
-_KEPT, _HELD = 400_000, 2_000_000
+_KEPT, _HELD = 100_000, 500_000
 
 
 class _Hashes(dict):
