@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorfisc.functions import categories as cat
-from motorfisc.functions import dims
+from motorfisc.functions import dims, folding
 from motorfisc.functions import numbers as num
 from motorfisc.functions import text as txt
 from motorfisc.plans import twins as tw
@@ -113,3 +113,12 @@ _columns("dat4_file_date", "date_texts", "id", day=(lambda: num.file_date(c("fil
     ("(^|\\D)(\\d{4})-(\\d{2})-(\\d{2})(\\D|$)", 2, 3, 4), ("(^|\\D)(\\d{1,2})[._](\\d{1,2})[._](\\d{2})(\\D|$)", 4, 3, 2, "20"), ("(^|\\D)(\\d{2})(\\d{2})(\\d{4})(\\D|$)", 4, 3, 2), ("(^|\\D)(\\d{1,2})\\.(\\d{1,2})\\.", 0, 3, 2)]) + ")"))
 _columns("dat6_period_months", "date_texts", "id", months=(lambda: num.period_months(c("period")), "CASE WHEN regexp_matches(period, '^\\d{4}$') THEN CAST(period AS INT) * 12 WHEN regexp_matches(period, '^\\d{4}-(0[1-9]|1[0-2])$') THEN CAST(left(period, 4) AS INT) * 12 + CAST(right(period, 2) AS INT) - 1 END"))
 _columns("dat7_day_and_windows", "events", "event_id", day=(lambda: F.date_trunc("day", c("ts").cast("timestamp")).cast("date"), "CAST(date_trunc('day', ts) AS DATE)"), fresh=(lambda: (F.unix_timestamp(c("ts").cast("timestamp")) > 1704844800), "epoch(ts)::BIGINT > 1704844800"))
+
+
+def udf2_folded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without the marks of any letter, as digests."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(folding.unmarked_all(c("text"))).alias("folded"))
+
+
+QUERIES["udf2_folded_documents"] = udf2_folded_documents
+ORACLES["udf2_folded_documents"] = "SELECT doc_id, md5(replace(strip_accents(lower(text)), 'đ', 'd')) AS folded FROM documents"

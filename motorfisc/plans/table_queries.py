@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from motorfisc.functions import text as txt
 from motorfisc.operators import accounting, brands, match, upsert
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
-from motorfisc.session import table
-from motorfisc.sources import readers
+from motorfisc.session import checkpoint_folder, table
+from motorfisc.sources import readers, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,8 +173,10 @@ def stm3_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT user_id, event_id, ts FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-10'")
 def src16_event_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one kind from a day on."""
-    return table(spark, sf_dir, "events").where((c("event_type") == "view") & (c("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))).select("user_id", "event_id", "ts")
+    """Events of one kind from a day on, of a log that is stored by day: earlier days aren't read."""
+    path = f"{checkpoint_folder(spark)}/by-day-{uuid4().hex}"
+    stores.write_events(table(spark, sf_dir, "events"), path)
+    return stores.event_scan(spark, path, since=datetime(2024, 1, 10), kinds=["view"]).select("user_id", "event_id", "ts")
 
 
 @_query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
@@ -391,5 +395,7 @@ def job15_src3_mapping_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_CARS}, {_BRANDED} SELECT brand, id, price_eur FROM branded WHERE lower(brand) = 'bmw'")
 def src4_brand_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A brand's rows."""
-    return brands.canonical(derive(spark, sf_dir, "cars")).where(F.lower("brand") == "bmw").select("brand", "id", "price_eur")
+    """A brand's rows, of a catalogue that is stored by brand: its partition alone is read."""
+    path = f"{checkpoint_folder(spark)}/by-brand-{uuid4().hex}"
+    stores.write_catalogue(brands.canonical(derive(spark, sf_dir, "cars")).select("brand", "id", "price_eur"), path)
+    return stores.catalogue_scan(spark, path, "BMW").select("brand", "id", "price_eur")
