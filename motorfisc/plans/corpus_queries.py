@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from motorfisc.functions import dims
 from motorfisc.functions import text as txt
 from motorfisc.operators import articles as art
-from motorfisc.operators import brands, corpus, load, price
+from motorfisc.operators import backtest, brands, corpus, load, price
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.plans.table_queries import catalogue, listings
@@ -211,3 +211,9 @@ def src8_tripwires(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job13_price_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing priced end to end."""
     return price.price_listings(listings(spark, sf_dir), catalogue(spark, sf_dir), corpus.ordered_range(derive(spark, sf_dir, "engines")), "2025-07-10")
+
+
+@_query()
+def agg17_job10_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges for all cars of the catalogue, held against the emission that it states, by bands of score."""
+    return backtest.by_band(backtest.answers(catalogue(spark, sf_dir), corpus.ordered_range(derive(spark, sf_dir, "engines"))))
