@@ -210,7 +210,8 @@ def src8_tripwires(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def job13_price_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing priced end to end."""
-    return price.price_listings(listings(spark, sf_dir), catalogue(spark, sf_dir), corpus.ordered_range(derive(spark, sf_dir, "engines")), "2025-07-10")
+    priced = price.price_listings(listings(spark, sf_dir), catalogue(spark, sf_dir), corpus.ordered_range(derive(spark, sf_dir, "engines")), "2025-07-10")
+    return priced.withColumn("warnings", F.array_join("warnings", ","))
 
 
 @_query()

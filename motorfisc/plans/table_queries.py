@@ -369,9 +369,10 @@ def job4_match_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def job5_catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve candidates of each listing, with the text that a search shows."""
+    """Twelve candidates of each listing, with the text that a search shows; a sure match is also row 0, of score 100."""
     rows = catalogue(spark, sf_dir)
-    found = match.match_listings(listings(spark, sf_dir), rows, 12).select("listing_id", "status", F.explode("candidates").alias("x"))
+    sure = F.array_compact(F.array(F.when(c("matched_id").isNotNull(), F.struct(F.lit(0).alias("nth"), c("matched_id").alias("catalogue_id"), F.lit(100.0).alias("score")))))
+    found = match.match_listings(listings(spark, sf_dir), rows, 12).select("listing_id", "status", F.explode(F.concat(sure, "candidates")).alias("x"))
     shown = rows.select("catalogue_id", "brand", txt.variant_display(c("brand"), c("variant")).alias("shown"))
     return found.select("listing_id", "status", c("x.nth").alias("rank"), c("x.catalogue_id").alias("catalogue_id"), c("x.score").alias("score")).join(shown, "catalogue_id")
 
