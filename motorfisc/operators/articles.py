@@ -92,19 +92,26 @@ def crawl_report(articles: DataFrame) -> DataFrame:
     return out.withColumn("escalate", c("links") < LEAST_LINKS)
 
 
+def _heading(part: Column) -> Column:
+    """The text of the heading that a part begins with, without links and marks."""
+    return F.trim(F.regexp_replace(F.regexp_extract(part, r"^=+([^\n]*?)=+[ \t]*(?:\n|$)", 1), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]|'{2,}|<[^>]*>", "$1"))
+
+
 def tables(articles: DataFrame) -> DataFrame:
     """(title, segment, at, heading_path, table, fingerprint): tables of an article, each with the headings above it.
 
-    Headings are folded over the article with a stack: one of level n closes those of level n and deeper. A table that
-    lies within another is a part of that one, not one of its own.
+    Headings are folded once over the article with a stack: one of level n closes those of level n and deeper. An article
+    is one row's work, so nothing is shuffled, and an article stored several times is read as often. A table that lies
+    within another is a part of that one, not one of its own.
     """
-    segments = articles.select("title", F.posexplode(F.split("wikitext", r"(?m)^(?==)")).alias("segment", "part"))
-    level = F.length(F.regexp_extract("part", "^(=+)", 1))
-    name = F.trim(F.regexp_replace(F.regexp_extract("part", r"^=+([^\n]*?)=+[ \t]*(?:\n|$)", 1), r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]|'{2,}|<[^>]*>", "$1"))
-    each = segments.select("title", "segment", level.alias("level"), name.alias("name"), outer_tables(c("part")).alias("found"))
-    before = F.collect_list(F.struct("segment", "level", "name")).over(Window.partitionBy("title").orderBy("segment"))
-    stack = F.aggregate("_heads", F.array().cast("array<struct<level:int,name:string>>"), lambda s, h: F.when(h["level"] == 0, s).otherwise(F.concat(F.filter(s, lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["name"].alias("name"))))))
-    pathed = each.withColumn("_heads", before).withColumn("heading_path", F.transform(stack, lambda x: x["name"]))
+    parts = F.split("wikitext", r"(?m)^(?==)")
+    heads = F.transform(parts, lambda p: F.struct(F.length(F.regexp_extract(p, "^(=+)", 1)).alias("level"), _heading(p).alias("name")))
+    start = F.struct(F.array().cast("array<struct<level:int,name:string>>").alias("stack"), F.array().cast("array<array<string>>").alias("paths"))
+    closed = lambda stack, h: F.when(h["level"] == 0, stack).otherwise(F.concat(F.filter(stack, lambda x: x["level"] < h["level"]), F.array(h)))
+    told = lambda s, stack: F.struct(stack.alias("stack"), F.concat(s["paths"], F.array(F.transform(stack, lambda x: x["name"]))).alias("paths"))
+    paths = F.aggregate(heads, start, lambda s, h: txt.let(closed(s["stack"], h), lambda stack: told(s, stack)), lambda s: s["paths"])
+    each = articles.select("title", F.posexplode(F.arrays_zip(parts.alias("part"), paths.alias("path"))).alias("segment", "x"))
+    pathed = each.select("title", "segment", c("x.path").alias("heading_path"), outer_tables(c("x.part")).alias("found"))
     out = pathed.select("title", "segment", "heading_path", F.posexplode("found").alias("at", "table"))
     return out.withColumn("fingerprint", F.sha1(F.concat(F.array_join("heading_path", " / "), F.lit("\n"), c("table"))))
 
