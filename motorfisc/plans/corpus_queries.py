@@ -15,7 +15,7 @@ from motorfisc.operators import backtest, brands, corpus, load, price
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
 from motorfisc.plans.table_queries import catalogue, listings
-from motorfisc.session import checkpoint_folder
+from motorfisc.session import checkpoint_folder, settled
 from motorfisc.sources import readers, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,5 +216,8 @@ def job13_price_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def agg17_job10_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges for all cars of the catalogue, held against the emission that it states, by bands of score."""
-    return backtest.by_band(backtest.answers(catalogue(spark, sf_dir), corpus.ordered_range(derive(spark, sf_dir, "engines"))))
+    """Ranges for all cars of the catalogue, held against the emission that it states, by bands of score; a row without a band tells how many were asked and answered."""
+    known = catalogue(spark, sf_dir)
+    found = settled(backtest.answers(known, corpus.ordered_range(derive(spark, sf_dir, "engines"))))
+    whole = backtest.coverage(known, found).select(F.lit(None).cast("double").alias("band"), c("answered").alias("n"), "contained", "asked")
+    return backtest.by_band(found).unionByName(whole, allowMissingColumns=True)

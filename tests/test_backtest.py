@@ -22,6 +22,8 @@ def test_bands_equal_a_plain_count_of_the_operators_answers(spark, sf_dir):
         miss = max(r.co2_min - truth[r.vehicle_id], truth[r.vehicle_id] - r.co2_max, 0.0)
         bands.setdefault(5.0 * (r.score // 5), []).append(miss)
     got = {r.band: r for r in corpus_queries.agg17_job10_backtest(spark, larger).collect()}
+    whole = got.pop(None)
+    assert (whole.asked, whole.n) == (len(truth), sum(map(len, bands.values())))
     assert got.keys() == bands.keys() and len(bands) > 1
     for band, misses in bands.items():
         r = got[band]
