@@ -96,33 +96,33 @@ def src13_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT title, unnest([0, 1]) AS pos, unnest(['Modelle', 'Technik']) AS heading FROM {_from('wiki_articles')}")
 def arr5_flt14_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level-2 sections of each article."""
-    return art.sections(derive(spark, sf_dir, "wiki_articles")).select("title", "pos", "heading")
+    return art.sections(derive(spark, sf_dir, "wiki_articles", spread=True)).select("title", "pos", "heading")
 
 
 @_query(f"SELECT title, unnest(['Brand main ' || CAST(id % 50 AS VARCHAR), 'Brand ' || p_name, 'Brand ' || p_name]) AS target, unnest([NULL, NULL, 'Motoren']) AS anchor FROM {_from('wiki_articles')}")
 def job7_arr4_flt13_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article links of model sections, namespaces and repeats left out."""
-    found = art.links(art.model_sections(art.sections(derive(spark, sf_dir, "wiki_articles"))))
+    found = art.links(art.model_sections(art.sections(derive(spark, sf_dir, "wiki_articles", spread=True))))
     return art.brand_links(found, F.lit("brand")).select("title", "target", "anchor")
 
 
 @_query(f"SELECT title, 3 AS links, true AS escalate FROM {_from('wiki_articles')}")
 def flt15_agg13_crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each article, and whether they are too few."""
-    return art.crawl_report(derive(spark, sf_dir, "wiki_articles"))
+    return art.crawl_report(derive(spark, sf_dir, "wiki_articles", spread=True))
 
 
 @_query(f"SELECT title, unnest(['Modelle / Ottomotoren', 'Technik']) AS path, unnest([true, false]) AS has_co2, unnest([CAST(100 + p_size AS VARCHAR), CAST(100 + p_size AS VARCHAR)]) AS shaped FROM {_from('wiki_articles')}")
 def arr1_win9_flt10_flt11_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with the headings above them, and the emission figures in them."""
-    found = art.tables(derive(spark, sf_dir, "wiki_articles"))
+    found = art.tables(derive(spark, sf_dir, "wiki_articles", spread=True))
     return found.select("title", F.array_join("heading_path", " / ").alias("path"), art.has_co2(c("table")).alias("has_co2"), F.array_join(art.co2_shaped(c("table")), ",").alias("shaped"))
 
 
 @_query(f"SELECT title, 'first' AS which, 'Motor|Hubraum|CO2|1.' || CAST(id % 10 AS VARCHAR) || '|' || CAST(1000 + p_size AS VARCHAR) || '|' || CAST(100 + p_size AS VARCHAR) || ' g/km' AS texts FROM {_from('wiki_articles')} UNION ALL SELECT title, 'second', 'Leistung|' || CAST(p_size AS VARCHAR) || ' kW|Hubraum|' || CAST(p_size AS VARCHAR) || ' at ' || CAST(100 + p_size AS VARCHAR) || ' g/km' FROM {_from('wiki_articles')}")
 def arr2_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each table in order."""
-    found = art.tables(derive(spark, sf_dir, "wiki_articles")).withColumn("which", F.when(F.size("heading_path") == 2, "first").otherwise("second")).withColumn("fingerprint", F.concat_ws("/", "title", "which"))
+    found = art.tables(derive(spark, sf_dir, "wiki_articles", spread=True)).withColumn("which", F.when(F.size("heading_path") == 2, "first").otherwise("second")).withColumn("fingerprint", F.concat_ws("/", "title", "which"))
     texts = art.cells(found).groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("row", "col", "text"))).alias("x"))
     parts = F.split("fingerprint", "/")
     return texts.select(parts[0].alias("title"), parts[1].alias("which"), F.array_join(F.transform("x", lambda x: x["text"]), "|").alias("texts"))
@@ -131,14 +131,14 @@ def arr2_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT title, unnest(['normal', 'transposed']) AS orientation FROM {_from('wiki_articles')}")
 def cat12_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which axis of each table has the labels."""
-    found = art.tables(derive(spark, sf_dir, "wiki_articles")).withColumn("fingerprint", F.concat_ws("/", "title", "at", "segment"))
+    found = art.tables(derive(spark, sf_dir, "wiki_articles", spread=True)).withColumn("fingerprint", F.concat_ws("/", "title", "at", "segment"))
     return art.orientation(art.cells(found)).select(F.split("fingerprint", "/")[0].alias("title"), "orientation")
 
 
 @_query(f"SELECT title, CASE id % 4 WHEN 0 THEN 'ottomotoren' WHEN 1 THEN 'Otto' WHEN 2 THEN 'Elsewhere' END AS anchor, CASE id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS tier, CASE WHEN id % 4 < 2 THEN 1 ELSE 2 END AS n FROM {_from('wiki_articles')}")
 def job8_jn16_tables_for_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables in scope of each crawled anchor."""
-    wiki = derive(spark, sf_dir, "wiki_articles")
+    wiki = derive(spark, sf_dir, "wiki_articles", spread=True)
     asked = wiki.select("title", F.when(c("id") % 4 == 0, "ottomotoren").when(c("id") % 4 == 1, "Otto").when(c("id") % 4 == 2, "Elsewhere").alias("anchor"))
     return art.for_anchor(art.tables(wiki), asked).groupBy("title", "anchor", "tier").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
@@ -146,7 +146,7 @@ def job8_jn16_tables_for_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT count(*) AS articles, 2 * count(*) AS tables_seen, count(*) AS tables_kept, 0.5::DOUBLE AS share FROM {_from('wiki_articles')}")
 def agg16_prefilter_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tables of all articles have emissions; half of the articles are stored twice."""
-    wiki = derive(spark, sf_dir, "wiki_articles")
+    wiki = derive(spark, sf_dir, "wiki_articles", spread=True)
     return art.prefilter_yield(wiki.unionByName(wiki.where("id % 2 = 0")))
 
 
@@ -213,7 +213,7 @@ g AS (SELECT brand, title, anchor, state, min(rescued) AS rescued, min(depth) AS
 
 def _harvest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     brands = derive(spark, sf_dir, "harvest_brands").select("brand", "title", F.array("prefix").alias("prefixes"))
-    texts = derive(spark, sf_dir, "harvest_articles")
+    texts = derive(spark, sf_dir, "harvest_articles", spread=True)
     return brands, texts, hv.harvest(brands, texts, derive(spark, sf_dir, "harvest_redirects"), hops=2)
 
 
@@ -235,6 +235,6 @@ _MARKED = "CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END"
 @_query(f"SELECT 2 * count(*) AS tables, count(*) AS with_co2, count(*) AS words_normal, count(*) AS words_transposed, CAST(0 AS BIGINT) AS words_no_header_cells, CAST(sum({_MARKED}) AS BIGINT) AS marks_normal, CAST(sum({_MARKED}) AS BIGINT) AS marks_transposed, CAST(2 * sum(1 - {_MARKED}) AS BIGINT) AS marks_no_header_cells, CAST(2 * sum({_MARKED}) AS BIGINT) AS agreeing FROM {_from('wiki_articles')}")
 def agg10_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run over all tables, observed while it writes them; every third article has no cells marked as headers."""
-    wiki = derive(spark, sf_dir, "wiki_articles").withColumn("wikitext", F.when(c("id") % 3 == 0, F.translate("wikitext", "!", "|")).otherwise(c("wikitext")))
+    wiki = derive(spark, sf_dir, "wiki_articles", spread=True).withColumn("wikitext", F.when(c("id") % 3 == 0, F.translate("wikitext", "!", "|")).otherwise(c("wikitext")))
     got = statistics.write_observed(statistics.analysed(art.tables(wiki)), f"{checkpoint_folder(spark)}/tables-{uuid4().hex}", statistics.totals())
     return spark.createDataFrame([tuple(got[k] for k in statistics.totals())], ", ".join(f"{k} long" for k in statistics.totals()))
