@@ -32,7 +32,8 @@ def beyond() -> str:
     known = set(table()[0])
     codes = [i for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and chr(i) not in known and stripped(chr(i)) != chr(i)]
     ranges = [[x for _, x in g] for _, g in groupby(enumerate(codes), lambda p: p[1] - p[0])]
-    return "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in ranges) + "\\x{10000}-\\x{10ffff}]"
+    # most characters are ASCII and fail at the first look, before hundreds of ranges are tried
+    return "(?=[^\\x00-\\x7f])[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in ranges) + "\\x{10000}-\\x{10ffff}]"
 
 
 @F.pandas_udf(StringType())
