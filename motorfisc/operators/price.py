@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motorfisc.functions import categories as cat
 from motorfisc.operators import corpus, match, tax
-from motorfisc.session import settled
+from motorfisc.session import stored
 
 c = F.col
 
@@ -26,9 +26,9 @@ def price_listings(listings: DataFrame, catalogue: DataFrame, engines: DataFrame
     where it has to be given by hand, and ``warnings`` lists, in order, co2_not_found (of listings with a brand),
     co2_not_positive, and of what keeps the others from being taxed unknown_fuel, no_registration_date or no_price.
     """
-    matched = settled(match.match_listings(listings, catalogue, k).select("listing_id", c("status").alias("match_status"), "matched_id"))  # read three times
+    matched = match.match_listings(listings, catalogue, k).select("listing_id", c("status").alias("match_status"), "matched_id")
     rows = catalogue.select(c("catalogue_id").alias("matched_id"), c("co2_g_km").alias("_co2"), c("fuel_type").alias("_fuel"))
-    own = listings.join(matched, "listing_id").join(rows, "matched_id", "left")
+    own = stored(listings.join(matched, "listing_id").join(rows, "matched_id", "left"))  # read by hints, tax and result
     stated = F.nullif(F.trim("fuel_type"), F.lit(""))
     own = own.withColumn("fuel", cat.tax_fuel(F.coalesce(stated, c("_fuel"))))
     bad = c("co2_g_km").isNotNull() & (c("co2_g_km") <= 0) & ~F.coalesce(c("fuel") == "electric", F.lit(False))
