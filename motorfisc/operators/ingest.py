@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motorfisc.functions import categories as cat
 from motorfisc.functions import text as txt
 from motorfisc.operators import brands, sheets, upsert
-from motorfisc.session import settled
+from motorfisc.session import settled, stored
 from motorfisc.sources import versions
 
 c = F.col
@@ -89,7 +89,7 @@ def outcomes(cells: DataFrame, mapping: DataFrame, files: DataFrame, policy: str
     told = told.select(*_SHEET, "row_idx", (c("row_idx") - F.coalesce("header_row", F.lit(-1)) + 1).cast("int").alias("source_row"), level.alias("_level"))
     ok = of_sheets.where("verdict = 'ok'").select(*_SHEET).join(of_files.where("_file = 'ok'").select("file"), "file", "left_semi")
     read = sheets.canonical_rows(cells.join(ok, _SHEET, "left_semi"), mapping, files.select("file", "default_valid_from"), policy)
-    rows = _snapped(read.join(files.select("file", "folder"), "file"))
+    rows = _snapped(stored(read.join(files.select("file", "folder"), "file")))  # looked at four times
     fuel = F.coalesce(cat.fuel_family(F.concat_ws(" ", "brand", F.coalesce("model_name", "type_code", F.lit("unknown")), F.coalesce("full_name", "type_code", "model_name", F.lit("unknown"))), c("brand")), cat.stored_fuel(c("fuel_category")))
     reason = F.when(c("skip_reason").isNotNull(), c("skip_reason")).when(c("brand").isNull(), "brand_not_allowed").when(c("brand") == "", "no_brand").when(fuel.isNull(), "no_fuel").when(c("co2_g_km").isNull(), "no_co2")
     rows = rows.withColumn("_row", F.coalesce(F.concat(F.lit("row:"), reason), F.lit(KEPT))).drop("folder")

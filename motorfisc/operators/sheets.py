@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motorfisc.functions import categories as cat
 from motorfisc.functions import numbers as num
 from motorfisc.functions import text as txt
-from motorfisc.session import settled
+from motorfisc.session import settled, stored
 
 #: Canonical fields that a mapping names a source column for.
 FIELDS = [
@@ -107,6 +107,7 @@ def canonical_rows(cells: DataFrame, mapping: DataFrame, files: DataFrame, polic
     header = settled(headers(cells))
     described = family_descriptions(cells, header).withColumnRenamed("power_kw", "_kw")
     rows = wide_rows(cells, settled(mapped_columns(header, mapping))).join(files, "file", "left").join(described, [*_SHEET, "row_idx"], "left")
+    rows = stored(rows)  # cells are turned into rows once
     rows = rows.join(_typical_brand(rows), _SHEET, "left")
     c = F.col
     has = lambda f: F.array_contains("has", f)

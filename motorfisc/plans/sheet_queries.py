@@ -14,7 +14,7 @@ from motorfisc.functions import text as txt
 from motorfisc.operators import ingest, sheets
 from motorfisc.plans import twins as tw
 from motorfisc.plans.derived import SQL, derive, duck
-from motorfisc.session import checkpoint_folder, settled
+from motorfisc.session import checkpoint_folder, stored
 from motorfisc.sources import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +48,7 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = names.select("file", "sheet", F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("Cjenik 2019").alias("value"))
     head = names.select("file", "sheet", F.lit(1).alias("row_idx"), F.posexplode(F.array(*[F.lit(h) for h in HEADER])).alias("col_idx", "value"))
     numeric = F.col("value").rlike("^[0-9]+$")
-    return settled(title.unionByName(head).unionByName(cells).withColumn("kind", F.when(numeric, "num").otherwise("str")))
+    return stored(title.unionByName(head).unionByName(cells).withColumn("kind", F.when(numeric, "num").otherwise("str")))
 
 
 def mapping(spark: SparkSession) -> DataFrame:
