@@ -118,16 +118,18 @@ def str15_haystack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCOPED = f"p AS (SELECT vehicle_id AS query_id, engine_id, NOT (coalesce({_REG} < ({_M('production_start')}) - 6, false) OR coalesce({_REG} > ({_M('production_end')}) + 24, false)) AS inside FROM v JOIN e USING (brand))"
 
 
+#: What decides whether a vehicle is shown a row, and the row's key.
+_SHOWN = ["engine_id", "brand", "title", "production_start", "production_end"]
 _CHOSEN = "a AS (SELECT vehicle_id AS query_id, CASE WHEN vehicle_id % 2 = 0 THEN (SELECT min(title) FROM e WHERE e.brand = v.brand) END AS article FROM v), t AS (SELECT p.*, title, article FROM p JOIN e USING (engine_id) JOIN a USING (query_id)), s AS (SELECT * FROM t QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY query_id)), i AS (SELECT * FROM s WHERE article IS NULL OR title = article)"
 
 
 @_query(f"WITH {_E}, {_V}, {_SCOPED}, {_CHOSEN} SELECT query_id, engine_id FROM i UNION ALL SELECT query_id, engine_id FROM t WHERE title = article AND query_id NOT IN (SELECT query_id FROM i)")
 def flt20_exact_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in scope of a vehicle, those of the article alone where half of the vehicles name one."""
-    engines = derive(spark, sf_dir, "engines")
+    engines = derive(spark, sf_dir, "engines").select(*_SHOWN)
     firsts = engines.groupBy("brand").agg(F.min("title").alias("article"))
     v = derive(spark, sf_dir, "vehicles").withColumnRenamed("vehicle_id", "query_id").join(firsts, "brand", "left").withColumn("article", F.when(c("query_id") % 2 == 0, c("article")))
-    return corpus.shown_rows(v, engines).select("query_id", "engine_id")
+    return corpus.shown_rows(v.select("query_id", "brand", "registered", "article"), engines).select("query_id", "engine_id")
 
 
 @_query(f"WITH {_E}, {_V}, {_SCOPED} SELECT query_id, engine_id FROM p QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY query_id)")
